@@ -185,7 +185,7 @@ def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, seed: int =
     cut = known.select("doc_id", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
     lo = F.greatest(F.col("start"), F.col("block_no") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("block_no") * block + F.least(F.lit(block).cast("long"), F.col("words")))
-    met = cut.join(dealt, ["src", "block_no"])
+    met = cut.join(dealt.hint("merge"), ["src", "block_no"])  # there are as many slots as blocks: never a broadcast
     parts = met.select("shard", "slot", "pass_no", "doc_id", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words")).where("n_words > 0")
     return parts, plans, places
 

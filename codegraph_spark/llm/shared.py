@@ -27,7 +27,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out
