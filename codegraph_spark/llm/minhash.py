@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
-def _sets(items: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+def _sets(items: DataFrame, ids: DataFrame, rule: Rule, distinct: bool) -> DataFrame:
     """(id, grams): full sets, as sorted 64-bit hashes, of the items whose id is asked for."""
 
     def build(batches):
@@ -161,6 +161,8 @@ def _sets(items: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[a:b].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)], pa.binary())], names=["id", "grams"])
 
     asked = items.select(F.col("id").cast("long"), "text").join(ids, "id", "left_semi")
+    if distinct:
+        asked = asked.dropDuplicates(["id"])
     return saved(asked.mapInArrow(build, "id long, grams binary"), "sets")
 
 
@@ -201,8 +203,8 @@ def _leftover_pairs(members: DataFrame, rule: Rule, per_task: int = 4000) -> Dat
     return rows.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(items: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """(signed, classes) for items (id, text).
+def near_duplicates(items: DataFrame, rule: Rule = Rule(), content_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes) for items (id, text); content_ids says that rows of one id have one set.
 
     signed has a row for each row of items: id, n (size of its set), h1, h2 (hashes of the set). classes has a row
     for each distinct set that is not empty: h1, h2, rep (smallest id with that set), component (smallest id reachable).
@@ -220,7 +222,7 @@ def near_duplicates(items: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, D
     pairs = members.join(centres, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     pairs = _fitting(pairs, facts, rule)
     ids = members.select("id").distinct()
-    sets = _sets(items, ids, rule)
+    sets = _sets(items, ids, rule, content_ids)
     links = saved(_verified(saved(pairs, "star-pairs"), sets, rule), "star-links")
     found = saved(connected(links), "star-components")
     known = members.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(facts, "id")
