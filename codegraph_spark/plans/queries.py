@@ -1,4 +1,585 @@
-"""Registry of the engine's queries and of their SQL twins."""
+"""The engine's queries over the lens tables, and their SQL twins for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import changes, checks, conventions, graph, index, rollup
+from . import lens
+from .language import QueryError, candidates, described, execute, parse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None, newer: bool = False):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = "WITH RECURSIVE " + lens.LENS_SQL + (", " + lens.NEW_SQL if newer else "") + " " + sql
+        return f
+
+    return register
+
+
+class Lens:
+    """Frames of a scale factor."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    @property
+    def nodes(self) -> DataFrame:
+        return lens.nodes(self.spark, self.dir)
+
+    @property
+    def functions(self) -> DataFrame:
+        return lens.functions(self.spark, self.dir)
+
+    @property
+    def newer(self) -> DataFrame:
+        return lens.new_functions(self.spark, self.dir)
+
+    @property
+    def raw_edges(self) -> DataFrame:
+        return lens.raw_edges(self.spark, self.dir)
+
+    @property
+    def edges(self) -> DataFrame:
+        return graph.resolved(self.raw_edges, self.nodes)
+
+    def table(self, name: str) -> DataFrame:
+        return lens.table(self.spark, self.dir, name)
+
+
+# --- the query language -------------------------------------------------------------------------------------------
+
+_LIVE = "NOT (node_kind = 'function' AND complexity IS NULL)"
+_VIS = "coalesce(visibility, 'private')"
+_CALLS = "node_id IN (SELECT src FROM edges JOIN nodes d ON d.node_id = dst WHERE src <> dst AND (contains(d.name, '{0}') OR d.short_name = '{0}'))"
+_CALLED = "node_id IN (SELECT dst FROM edges JOIN nodes s ON s.node_id = src WHERE src <> dst AND contains(s.name, '{0}'))"
+_GLOB_PART = "(strpos(name, 'Brand#1') = 1 AND strpos(substr(name, 8), '_') > 0)"
+
+#: Query texts by key, with the SQL condition of the same meaning.
+FIND = {
+    "find_functions": ("FIND functions", "node_kind = 'function'"),
+    "find_types": ("FIND types", "node_kind = 'type'"),
+    "find_modules": ("FIND modules", "node_kind = 'module'"),
+    "find_bindings": ("FIND bindings", "node_kind = 'binding'"),
+    "find_all": ("FIND all", "true"),
+    "skip_placeholders": ("FIND fns WHERE complexity <= 3", "node_kind = 'function' AND complexity <= 3"),
+    "and_conditions": ("FIND functions WHERE complexity > 10 AND visibility = public", "node_kind = 'function' AND complexity > 10 AND visibility = 'public'"),
+    "not_condition": ("FIND all WHERE NOT complexity > 5", "NOT (node_kind = 'function' AND coalesce(complexity, 0) > 5)"),
+    "not_not_condition": ("FIND all WHERE NOT NOT complexity > 45", "node_kind = 'function' AND complexity > 45"),
+    "or_is_ignored": ("FIND functions WHERE complexity > 48 OR async = true", "node_kind = 'function' AND complexity > 48"),
+    "name_eq": ("FIND all WHERE name = init_97", "name = 'init_97' OR short_name = 'init_97'"),
+    "name_ne": ("FIND types WHERE name != 'Supplier#000000001'", "node_kind = 'type' AND NOT (name = 'Supplier#000000001' OR short_name = 'Supplier#000000001')"),
+    "visibility_eq": ("FIND all WHERE vis = Private", f"{_VIS} = 'private'"),
+    "complexity_cmp": ("FIND functions WHERE complexity >= 20 AND complexity < 30", "node_kind = 'function' AND complexity >= 20 AND complexity < 30"),
+    "param_count_cmp": ("FIND functions WHERE param_count > 4", "node_kind = 'function' AND len(params) > 4"),
+    "field_count_cmp": ("FIND types WHERE fields > 5", "node_kind = 'type' AND len(fields) > 5"),
+    "async_eq": ("FIND functions WHERE async = true", "node_kind = 'function' AND is_async"),
+    "async_word": ("FIND functions WHERE async = yes", "node_kind = 'function' AND NOT is_async"),
+    "unsafe_eq": ("FIND functions WHERE unsafe = true", "node_kind = 'function' AND is_unsafe"),
+    "unsafe_word_ne": ("FIND functions WHERE unsafe != yes", "false"),
+    "file_suffix": ("FIND functions WHERE file = '_7.ts'", "node_kind = 'function' AND file LIKE '%\\_7.ts' ESCAPE '\\'"),
+    "kind_eq": ("FIND types WHERE kind = INTERFACE", "node_kind = 'type' AND lower(data_kind) = 'interface'"),
+    "num_eq_epsilon": ("FIND functions WHERE complexity = 7", "node_kind = 'function' AND complexity = 7"),
+    "nan_is_false": ("FIND functions WHERE complexity > nan", "false"),
+    "glob_name": ("FIND functions WHERE name ~ 'Brand#1*_*'", f"node_kind = 'function' AND {_GLOB_PART}"),
+    "glob_file": ("FIND functions WHERE file ~ 'src/*.rs'", "node_kind = 'function' AND file LIKE 'src/%.rs'"),
+    "glob_contains": ("FIND functions WHERE name ~ 'init_'", "node_kind = 'function' AND contains(name, 'init_')"),
+    "pred_calls": ("FIND functions WHERE calls(init_97)", "node_kind = 'function' AND " + _CALLS.format("init_97")),
+    "pred_not_calls": ("FIND functions WHERE NOT calls(Supplier)", "node_kind = 'function' AND NOT " + _CALLS.format("Supplier")),
+    "pred_called_by": ("FIND all WHERE called_by(EUROPE)", _CALLED.format("EUROPE")),
+    "pred_handles": ("FIND functions WHERE handles(Error)", "node_kind = 'function' AND node_id IN (SELECT src FROM edges WHERE src <> dst)"),
+    "pred_returns": ("FIND functions WHERE returns(Result)", "node_kind = 'function' AND contains(return_type_debug, 'Result')"),
+    "pred_implements": ("FIND types WHERE implements(AN)", "node_kind = 'type' AND contains(implements[1], 'AN')"),
+    "pred_has_field": ("FIND types WHERE has_field(f6)", "node_kind = 'type' AND list_contains(fields, 'f6')"),
+    "pred_in_file": ("FIND all WHERE in_file(consts/c_1)", "contains(file, 'consts/c_1')"),
+    "pred_unknown": ("FIND modules WHERE NOT no_such(x)", "node_kind = 'module'"),
+}
+
+
+def _finder(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = Lens(spark, sf_dir)
+        return execute(text, at.nodes, at.edges).select("node_id", "name", "file")
+
+    return run
+
+
+for _name, (_text, _where) in FIND.items():
+    _query(_name, f"SELECT node_id, name, file FROM nodes WHERE {_LIVE} AND ({_where})")(_finder(_text))
+
+
+@_query("match_projection", f"""SELECT node_id, file, start_line, name, CASE WHEN node_kind = 'type' THEN lower(data_kind) ELSE node_kind END AS kind,
+  CASE node_kind WHEN 'function' THEN concat(visibility, ' fn(', len(params), ' params, complexity ', complexity, ', ', CASE WHEN is_async THEN 'async, ' ELSE '' END, CASE WHEN is_unsafe THEN 'unsafe' ELSE '' END, ')')
+    WHEN 'type' THEN concat(data_kind, ' with ', len(fields), ' fields, 0 methods') WHEN 'binding' THEN CASE WHEN is_constant THEN 'const binding' ELSE 'let binding (mut)' END ELSE node_kind END AS description
+  FROM nodes WHERE {_LIVE}""")
+def match_projection(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return described(execute("FIND all", at.nodes, at.edges))
+
+
+@_query("total_scanned", f"SELECT count(*) AS total_scanned, count(*) FILTER (WHERE complexity > 10) AS matches FROM nodes WHERE node_kind = 'function' AND {_LIVE}")
+def total_scanned(spark, sf_dir):
+    at, query = Lens(spark, sf_dir), parse("FIND functions WHERE complexity > 10")
+    scanned = candidates(query, at.nodes).agg(F.count("*").alias("total_scanned"))
+    return scanned.crossJoin(execute(query, at.nodes, at.edges).agg(F.count("*").alias("matches")))  # one row each
+
+
+# --- graph --------------------------------------------------------------------------------------------------------
+
+
+@_query("graph_counts", "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
+def graph_counts(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return at.nodes.agg(F.count("*").alias("nodes")).crossJoin(at.edges.agg(F.count("*").alias("edges")))  # one row each
+
+
+@_query("edges_resolved", "SELECT src, dst, edge_kind FROM edges")
+def edges_resolved(spark, sf_dir):
+    return Lens(spark, sf_dir).edges
+
+
+@_query("nodes_in_file", "SELECT node_id, name FROM nodes WHERE file = 'src/types/t_3.ts'")
+def nodes_in_file(spark, sf_dir):
+    return Lens(spark, sf_dir).nodes.where("file = 'src/types/t_3.ts'").select("node_id", "name")
+
+
+@_query("find_by_short_name", "SELECT node_id, name FROM nodes WHERE short_name = 'FRANCE'")
+def find_by_short_name(spark, sf_dir):
+    return Lens(spark, sf_dir).nodes.where("short_name = 'FRANCE'").select("node_id", "name")
+
+
+@_query("qualified_name", "SELECT node_id, name, string_split(name, '::')[-1] AS last_segment FROM nodes")
+def qualified_name(spark, sf_dir):
+    return Lens(spark, sf_dir).nodes.select("node_id", "name", F.element_at(F.split("name", "::"), -1).alias("last_segment"))
+
+
+_KEY = "CASE WHEN contains(short_name, '.') AND string_split(short_name, '.')[-1] <> '' THEN string_split(short_name, '.')[-1] WHEN contains(short_name, '::') AND string_split(short_name, '::')[-1] <> '' THEN string_split(short_name, '::')[-1] ELSE short_name END"
+_LINKS = f"""links AS (
+  SELECT old_id, new_id FROM (
+    SELECT a.node_id AS old_id, b.node_id AS new_id, row_number() OVER (PARTITION BY a.node_id ORDER BY
+      CASE WHEN b.node_kind = 'function' AND b.visibility = 'public' THEN 10 WHEN b.node_kind = 'function' AND b.visibility = 'internal' THEN 5 ELSE 0 END
+      + CASE WHEN regexp_replace(a.file, '/[^/]*$', '') = regexp_replace(b.file, '/[^/]*$', '') THEN 20 ELSE 0 END - CASE WHEN contains(b.file, 'test') THEN 5 ELSE 0 END DESC, b.node_id) AS r
+    FROM (SELECT *, {_KEY} AS key FROM nodes WHERE node_kind = 'function' AND complexity IS NULL) a
+    JOIN nodes b ON {_LIVE.replace("node_kind", "b.node_kind").replace("complexity", "b.complexity")} AND a.key <> '' AND a.key IN (b.short_name, string_split(b.short_name, '::')[-1], string_split(b.short_name, '.')[-1])
+  ) WHERE r = 1),
+loose AS (SELECT * FROM nodes WHERE node_kind = 'function' AND complexity IS NULL AND node_id NOT IN (SELECT old_id FROM links)),
+merged AS (SELECT node_id AS old_id, least_id AS new_id FROM (SELECT *, min(node_id) OVER (PARTITION BY name) AS least_id FROM loose) WHERE node_id <> least_id)"""
+
+
+@_query("linker_short_names", f"SELECT node_id, {_KEY} AS key FROM nodes")
+def linker_short_names(spark, sf_dir):
+    return Lens(spark, sf_dir).nodes.select("node_id", graph.link_key().alias("key"))
+
+
+@_query("linker_resolve", f", {_LINKS} SELECT old_id, new_id FROM links")
+def linker_resolve(spark, sf_dir):
+    return graph.linked(Lens(spark, sf_dir).nodes)
+
+
+@_query("linker_unresolved", f", {_LINKS} SELECT node_id, name FROM loose")
+def linker_unresolved(spark, sf_dir):
+    nodes = Lens(spark, sf_dir).nodes
+    return graph.unresolved(nodes, graph.linked(nodes)).select("node_id", "name")
+
+
+@_query("linker_merge_duplicates", f", {_LINKS} SELECT old_id, new_id FROM merged")
+def linker_merge_duplicates(spark, sf_dir):
+    nodes = Lens(spark, sf_dir).nodes
+    return graph.merged_duplicates(graph.unresolved(nodes, graph.linked(nodes)))
+
+
+@_query("link_stats", f", {_LINKS} SELECT (SELECT count(*) FROM links) AS resolved, (SELECT count(*) FROM loose) AS unresolved, (SELECT count(*) FROM merged) AS merged")
+def link_stats(spark, sf_dir):
+    nodes = Lens(spark, sf_dir).nodes
+    links = graph.linked(nodes)
+    left = graph.unresolved(nodes, links)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(links, "resolved").crossJoin(one(left, "unresolved")).crossJoin(one(graph.merged_duplicates(left), "merged"))  # one row each
+
+
+@_query("retarget_edges", f", {_LINKS} SELECT coalesce(s.new_id, src) AS src, coalesce(d.new_id, dst) AS dst, edge_kind FROM edges LEFT JOIN links s ON s.old_id = src LEFT JOIN links d ON d.old_id = dst")
+def retarget_edges(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return graph.retargeted(at.edges, graph.linked(at.nodes))
+
+
+@_query("remove_file", "SELECT src, dst FROM edges WHERE src NOT IN (SELECT node_id FROM nodes WHERE file = 'src/types/t_3.ts') AND dst NOT IN (SELECT node_id FROM nodes WHERE file = 'src/types/t_3.ts')")
+def remove_file(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return graph.without_file(at.nodes, at.edges, "src/types/t_3.ts")[1].select("src", "dst")
+
+
+@_query("find_file_suffix", "SELECT node_id, file FROM nodes WHERE file = (SELECT min(file) FROM nodes WHERE file LIKE '%mod_7.rs')")
+def find_file_suffix(spark, sf_dir):
+    return graph.file_by_suffix(Lens(spark, sf_dir).nodes, "mod_7.rs").select("node_id", "file")
+
+
+@_query("find_target", "SELECT node_id, name FROM nodes WHERE file = 'src/types/t_3.ts' ORDER BY start_line, node_id LIMIT 1")
+def find_target(spark, sf_dir):
+    return graph.find_target(Lens(spark, sf_dir).nodes, "src/types/t_3.ts").select("node_id", "name")
+
+
+def _bfs(start: str, a: str, b: str, depth: int) -> str:
+    return f"""reached AS (
+  SELECT node_id AS root, node_id, 0 AS distance FROM nodes WHERE {start}
+  UNION SELECT root, {b}, distance + 1 FROM reached JOIN edges ON {a} = reached.node_id WHERE distance < {depth}),
+near AS (SELECT root, node_id, min(distance) AS distance FROM reached GROUP BY root, node_id HAVING min(distance) > 0)"""
+
+
+_ROOT = "node_id = 1000492"
+_BACK = "node_id = 2000005"
+
+
+def _root(at: Lens, root: int = 1_000_492) -> DataFrame:
+    return at.nodes.where(F.col("node_id") == root).select(F.col("node_id").alias("root"))
+
+
+@_query("impact_forward_d3", f", {_bfs(_ROOT, 'src', 'dst', 3)} SELECT node_id, distance, round(1.0::DOUBLE / distance, 6) AS confidence FROM near")
+def impact_forward_d3(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return graph.impact(at.edges, _root(at), 3).select("node_id", "distance", F.expr("round(1.0D / nullif(distance, 0), 6)").alias("confidence"))
+
+
+@_query("impact_reverse_d3", f", {_bfs(_BACK, 'dst', 'src', 3)} SELECT node_id, distance FROM near")
+def impact_reverse_d3(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return graph.impact(at.edges, _root(at, 2_000_005), 3, reverse=True).select("node_id", "distance")
+
+
+@_query("impact_risk", f", {_bfs('node_id % 250 = 0', 'src', 'dst', 2)} SELECT root, count(*) AS affected, round(least(ln(count(*)) / 10, 1.0), 6) AS risk FROM near GROUP BY root")
+def impact_risk(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return graph.impact_risk(graph.impact(at.edges, at.nodes.where("node_id % 250 = 0").select(F.col("node_id").alias("root")), 2))
+
+
+@_query("impact_top15", f", {_bfs(_ROOT, 'src', 'dst', 3)} SELECT node_id, distance FROM near ORDER BY distance, node_id LIMIT 15")
+def impact_top15(spark, sf_dir):
+    return impact_forward_d3(spark, sf_dir).select("node_id", "distance").orderBy("distance", "node_id").limit(15)
+
+
+@_query("impact_blast_radius", f", {_bfs(_ROOT, 'src', 'dst', 5)}, {_bfs(_ROOT, 'dst', 'src', 5).replace('reached', 'behind').replace('near AS', 'back AS')} SELECT (SELECT count(*) FROM near) AS forward, (SELECT count(*) FROM back) AS backward, (SELECT count(*) FROM near) + (SELECT count(*) FROM back) AS total")
+def impact_blast_radius(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    one = lambda reverse, name: graph.impact(at.edges, _root(at), 5, reverse).agg(F.count("*").alias(name))
+    return one(False, "forward").crossJoin(one(True, "backward")).withColumn("total", F.col("forward") + F.col("backward"))  # one row each
+
+
+_TEST = "(lower(x) LIKE 'test%' OR contains(lower(x), '::test'))"
+_CROSS = f"SELECT a.file AS from_file, b.file AS to_file, a.short_name AS caller, b.short_name AS callee FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.node_kind = 'function' AND a.file <> b.file AND NOT {_TEST.replace('x', 'a.short_name')}"
+
+
+@_query("cross_file_deps", _CROSS)
+def cross_file_deps(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return graph.cross_file(at.nodes, at.edges)
+
+
+# --- roll-ups -----------------------------------------------------------------------------------------------------
+
+_EXT = "lower(string_split(file, '.')[-1])"
+_LANGUAGE = "CASE " + " ".join(f"WHEN {_EXT} = '{ext}' THEN '{name}'" for ext, name in names.LANGUAGES.items()) + " ELSE 'other' END"
+
+
+@_query("project_overview", f"SELECT count(*) FILTER (WHERE node_kind = 'function') AS functions, count(*) FILTER (WHERE node_kind = 'type') AS types, count(DISTINCT file) AS files, count(DISTINCT {_LANGUAGE}) AS languages FROM nodes")
+def project_overview(spark, sf_dir):
+    return rollup.overview(Lens(spark, sf_dir).nodes)
+
+
+@_query("language_breakdown", f"SELECT {_LANGUAGE} AS language, count(*) AS nodes FROM nodes GROUP BY 1")
+def language_breakdown(spark, sf_dir):
+    return rollup.languages(Lens(spark, sf_dir).nodes)
+
+
+@_query("status_counts", f"SELECT count(*) FILTER (WHERE f) AS functions, count(*) FILTER (WHERE f AND visibility = 'public') AS public_functions, count(*) FILTER (WHERE f AND is_async) AS async_functions, count(*) FILTER (WHERE node_kind = 'type') AS types, count(*) FILTER (WHERE node_kind = 'module') AS modules FROM (SELECT *, node_kind = 'function' AND complexity IS NOT NULL AS f FROM nodes)")
+def status_counts(spark, sf_dir):
+    return rollup.status(Lens(spark, sf_dir).nodes)
+
+
+@_query("file_map", "SELECT file, coalesce(string_agg(short_name, ',' ORDER BY short_name) FILTER (WHERE node_kind = 'function'), '') AS functions, coalesce(string_agg(short_name, ',' ORDER BY short_name) FILTER (WHERE node_kind = 'type'), '') AS types FROM nodes WHERE node_kind IN ('function', 'type') GROUP BY file")
+def file_map(spark, sf_dir):
+    return rollup.file_map(Lens(spark, sf_dir).nodes)
+
+
+@_query("calls_list", "SELECT src AS node_id, string_agg(DISTINCT short_name, ',' ORDER BY short_name) AS calls FROM edges JOIN nodes ON nodes.node_id = dst WHERE src IN (SELECT node_id FROM nodes WHERE node_kind = 'function') GROUP BY src")
+def calls_list(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return rollup.callees(at.nodes, at.edges)
+
+
+@_query("called_by_list", f"SELECT dst AS node_id, string_agg(DISTINCT short_name, ',' ORDER BY short_name) AS called_by FROM edges JOIN nodes ON nodes.node_id = src WHERE dst IN (SELECT node_id FROM nodes WHERE node_kind = 'function') AND NOT {_TEST.replace('x', 'short_name')} GROUP BY dst")
+def called_by_list(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return rollup.callers(at.nodes, at.edges)
+
+
+_HOT = """hot AS (SELECT node_id, 'complexity' AS reason, CAST(complexity AS BIGINT) AS value FROM nodes WHERE node_kind = 'function' AND complexity > 15
+  UNION ALL SELECT n.node_id, 'callers', count(DISTINCT src) FROM nodes n JOIN edges ON dst = n.node_id AND src <> dst WHERE node_kind = 'function' AND complexity IS NOT NULL AND visibility = 'public' GROUP BY n.node_id HAVING count(DISTINCT src) > 5)"""
+
+
+@_query("hotspots", f", {_HOT} SELECT * FROM hot")
+def hotspots(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return rollup.hotspots(at.nodes, at.edges)
+
+
+@_query("health_snapshot", f", {_HOT} SELECT 100 - least(count(*) * 3, 30) AS health FROM hot")
+def health_snapshot(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return rollup.health(at.nodes, at.edges)
+
+
+def _top_sql(by: str) -> str:
+    return f"SELECT node_id, name, CAST({by} AS BIGINT) AS value FROM nodes WHERE node_kind = 'function' AND complexity IS NOT NULL ORDER BY {by} DESC, file, start_line, node_id LIMIT 5"
+
+
+@_query("top_complexity", _top_sql("complexity"))
+def top_complexity(spark, sf_dir):
+    return rollup.top(Lens(spark, sf_dir).nodes, F.col("complexity"))
+
+
+@_query("top_params", _top_sql("len(params)"))
+def top_params(spark, sf_dir):
+    return rollup.top(Lens(spark, sf_dir).nodes, F.size("params"))
+
+
+@_query("is_test_name", f"SELECT node_id, {_TEST.replace('x', 'short_name')} AS is_test, file LIKE '%/test\\_%' ESCAPE '\\' AS is_test_file FROM nodes")
+def is_test_name(spark, sf_dir):
+    return Lens(spark, sf_dir).nodes.select("node_id", names.is_test_name("short_name").alias("is_test"), names.is_test_file("file").alias("is_test_file"))
+
+
+@_query("relative_path", "SELECT node_id, CASE WHEN file LIKE 'src/%' THEN substr(file, 5) ELSE file END AS path FROM nodes")
+def relative_path(spark, sf_dir):
+    return Lens(spark, sf_dir).nodes.select("node_id", names.relative_path("file", "src").alias("path"))
+
+
+# --- versions -----------------------------------------------------------------------------------------------------
+
+_PAIRS = """lastly AS (SELECT 'o' AS v, * FROM fns WHERE complexity IS NOT NULL UNION ALL SELECT 'n', * FROM newer WHERE complexity IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v, file, short_name ORDER BY start_line DESC, node_id DESC) AS r FROM lastly) WHERE r = 1),
+pairs AS (SELECT coalesce(o.file, n.file) AS file, coalesce(o.short_name, n.short_name) AS short_name, o.node_id AS oid, n.node_id AS nid, o.visibility AS ov, n.visibility AS nv, o.params AS op, n.params AS np,
+  o.return_type_debug AS ort, n.return_type_debug AS nrt, o.complexity AS oc, n.complexity AS nc, o.is_async AS oa, n.is_async AS na
+  FROM (SELECT * FROM one WHERE v = 'o') o FULL JOIN (SELECT * FROM one WHERE v = 'n') n ON o.file = n.file AND o.short_name = n.short_name),
+found AS (
+  SELECT file, short_name, 'Added' AS kind, CASE WHEN nv = 'public' THEN 'NeedsReview' ELSE 'Safe' END AS risk, 'function added' AS description FROM pairs WHERE oid IS NULL
+  UNION ALL SELECT file, short_name, 'Removed', CASE WHEN ov = 'public' THEN 'Breaking' ELSE 'Safe' END, 'function removed' FROM pairs WHERE nid IS NULL
+  UNION ALL SELECT file, short_name, 'SignatureChange', CASE WHEN nv = 'public' THEN 'Breaking' ELSE 'NeedsReview' END, concat(len(op), ' -> ', len(np), ' parameters') FROM pairs WHERE len(op) <> len(np)
+  UNION ALL SELECT file, short_name, 'TypeChange', CASE WHEN nv = 'public' THEN 'Breaking' ELSE 'NeedsReview' END, concat('parameter ', i - 1, ': ', op[i], ' -> ', np[i]) FROM pairs, unnest(range(1, len(op) + 1)) AS u(i) WHERE len(op) = len(np) AND op[i] IS DISTINCT FROM np[i]
+  UNION ALL SELECT file, short_name, 'SignatureChange', CASE WHEN nv = 'public' THEN 'Breaking' ELSE 'NeedsReview' END, concat(coalesce(ort, 'None'), ' -> ', coalesce(nrt, 'None')) FROM pairs WHERE oid IS NOT NULL AND nid IS NOT NULL AND ort IS DISTINCT FROM nrt
+  UNION ALL SELECT file, short_name, 'ApiSurfaceChange', CASE WHEN ov = 'public' THEN 'Breaking' WHEN nv = 'public' THEN 'NeedsReview' ELSE 'Safe' END, concat(ov, ' -> ', nv) FROM pairs WHERE ov <> nv
+  UNION ALL SELECT file, short_name, 'ComplexityChange', CASE WHEN nc > 20 THEN 'NeedsReview' ELSE 'Safe' END, concat(oc, ' -> ', nc) FROM pairs WHERE abs(nc - oc) >= 3
+  UNION ALL SELECT file, short_name, 'ControlFlowChange', CASE WHEN nv = 'public' THEN 'Breaking' ELSE 'NeedsReview' END, CASE WHEN na THEN 'became async' ELSE 'no longer async' END FROM pairs WHERE oa <> na),
+files AS (SELECT DISTINCT file FROM found)"""
+
+_DIFFS = {
+    "diff_functions": ((changes.added, changes.removed), "kind IN ('Added', 'Removed')"),
+    "diff_param_count": ((changes.param_count,), "description LIKE '% parameters'"),
+    "diff_param_types": ((changes.param_types,), "kind = 'TypeChange'"),
+    "diff_return_type": ((changes.return_type,), "kind = 'SignatureChange' AND description NOT LIKE '% parameters'"),
+    "diff_visibility": ((changes.visibility,), "kind = 'ApiSurfaceChange'"),
+    "diff_complexity": ((changes.complexity,), "kind = 'ComplexityChange'"),
+    "diff_async": ((changes.asyncness,), "kind = 'ControlFlowChange'"),
+}
+
+
+def _differ(rules):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = Lens(spark, sf_dir)
+        pairs = changes.paired(at.functions, at.newer)
+        out = rules[0](pairs)
+        for rule in rules[1:]:
+            out = out.unionByName(rule(pairs))
+        return out
+
+    return run
+
+
+for _name, (_rules, _where) in _DIFFS.items():
+    _query(_name, f", {_PAIRS} SELECT * FROM found WHERE {_where}", newer=True)(_differ(_rules))
+
+
+def _diff(at: Lens) -> tuple[DataFrame, DataFrame]:
+    found = changes.semantic_diff(at.functions, at.newer)
+    return found, found.select("file").distinct()
+
+
+@_query("function_map", f", {_PAIRS} SELECT node_id, file, short_name FROM one WHERE v = 'o'", newer=True)
+def function_map(spark, sf_dir):
+    return changes.function_map(Lens(spark, sf_dir).functions).select("node_id", "file", "short_name")
+
+
+_STATIC = "SELECT file, short_name, 'ControlFlowChange' AS kind, 'SecuritySensitive' AS risk, 'unsafe function' AS description FROM newer WHERE is_unsafe AND file IN (SELECT file FROM files)"
+
+
+@_query("static_unsafe", f", {_PAIRS} {_STATIC}", newer=True)
+def static_unsafe(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return changes.static_findings(at.newer, _diff(at)[1])
+
+
+@_query("verify_changes", f", {_PAIRS} SELECT * FROM found UNION ALL {_STATIC}", newer=True)
+def verify_changes(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    found, files = _diff(at)
+    return found.unionByName(changes.static_findings(at.newer, files))
+
+
+@_query("verify_risk", f""", {_PAIRS}, every AS (SELECT * FROM found UNION ALL {_STATIC}) SELECT *, round(least(breaking * 0.25 + securitysensitive * 0.20 + needsreview * 0.05 + safe * 0.01 + changed_files * 0.02, 1.0), 6)::DOUBLE AS risk_score FROM (
+  SELECT count(*) FILTER (WHERE risk = 'Breaking') AS breaking, count(*) FILTER (WHERE risk = 'SecuritySensitive') AS securitysensitive, count(*) FILTER (WHERE risk = 'NeedsReview') AS needsreview, count(*) FILTER (WHERE risk = 'Safe') AS safe, (SELECT count(*) FROM files) AS changed_files FROM every)""", newer=True)
+def verify_risk(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return changes.risk_score(verify_changes(spark, sf_dir), _diff(at)[1])
+
+
+@_query("suggested_tests", f", {_PAIRS} SELECT file, short_name, 'High' AS priority, concat('test_', short_name) AS test_name FROM newer WHERE visibility = 'public' AND complexity IS NOT NULL AND file IN (SELECT file FROM files)", newer=True)
+def suggested_tests(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return changes.suggested_tests(at.newer, _diff(at)[1])
+
+
+_SARIF = "concat('codegraph/', lower(replace(kind, ' ', '-'))) AS rule_id"
+
+
+@_query("sarif_rows", f", {_PAIRS} SELECT {_SARIF}, CASE WHEN risk IN ('Breaking', 'SecuritySensitive') THEN 'error' WHEN risk = 'NeedsReview' THEN 'warning' ELSE 'note' END AS level, description, file, short_name FROM found", newer=True)
+def sarif_rows(spark, sf_dir):
+    return changes.sarif_rows(_diff(Lens(spark, sf_dir))[0])
+
+
+@_query("sarif_rules", f", {_PAIRS} SELECT DISTINCT {_SARIF} FROM found", newer=True)
+def sarif_rules(spark, sf_dir):
+    return sarif_rows(spark, sf_dir).select("rule_id").distinct()
+
+
+# --- conventions --------------------------------------------------------------------------------------------------
+
+
+@_query("inv_error_handling", "SELECT functions, nodes, round(least(functions / nodes, 1.0) * 0.8 + 0.1, 6)::DOUBLE AS confidence FROM (SELECT count(*) FILTER (WHERE return_type_debug LIKE 'Resolved(Result%' OR return_type_debug LIKE 'Unresolved(\"Result%') AS functions, count(*) AS nodes FROM nodes) WHERE functions >= 3")
+def inv_error_handling(spark, sf_dir):
+    return conventions.error_handling(Lens(spark, sf_dir).nodes)
+
+
+def _naming_sql(kind: str, least: int, pattern: str) -> str:
+    return f"SELECT total, conforming, round(conforming / total, 6)::DOUBLE AS confidence FROM (SELECT count(*) AS total, count(*) FILTER (WHERE regexp_full_match(short_name, '{pattern}')) AS conforming FROM nodes WHERE node_kind = '{kind}' AND visibility = 'public' AND {_LIVE}) WHERE total >= {least} AND conforming / total > 0.9"
+
+
+@_query("inv_snake_case", _naming_sql("function", 5, "[a-z_0-9]+"))
+def inv_snake_case(spark, sf_dir):
+    return conventions.naming(Lens(spark, sf_dir).nodes, "function", 5)
+
+
+@_query("inv_pascal_case", _naming_sql("type", 3, "[A-Z][^_]*"))
+def inv_pascal_case(spark, sf_dir):
+    return conventions.naming(Lens(spark, sf_dir).nodes, "type", 3)
+
+
+_INIT = "node_kind = 'function' AND (short_name IN ('init', 'new') OR short_name LIKE 'init%')"
+
+
+@_query("inv_call_ordering", f", {_bfs(_INIT, 'src', 'dst', 3)} SELECT root, count(*) AS affected FROM near GROUP BY root HAVING count(*) >= 3")
+def inv_call_ordering(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    return conventions.call_ordering(at.nodes, at.edges)
+
+
+@_query("inv_type_usage", "SELECT type_debug, count(*) AS users, min(file) AS file FROM (SELECT file, unnest(params) AS type_debug FROM fns) GROUP BY type_debug HAVING count(*) >= 3 AND min(file) = max(file)")
+def inv_type_usage(spark, sf_dir):
+    return conventions.type_usage(Lens(spark, sf_dir).nodes)
+
+
+# --- files --------------------------------------------------------------------------------------------------------
+
+_FILES = "files AS (SELECT concat(source, '/', doc_id, '.', CASE doc_id % 3 WHEN 0 THEN 'rs' WHEN 1 THEN 'ts' ELSE 'py' END) AS path, text, doc_id FROM documents)"
+_MANIFESTS = f"""{_FILES},
+new_m AS (SELECT path, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS hash FROM files),
+old_m AS (SELECT path, sha256(text) AS hash FROM files WHERE doc_id % 10 <> 0 UNION ALL SELECT concat('gone/', i, '.rs'), 'x' FROM range(5) t(i)),
+turned AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'Added' WHEN n.path IS NULL THEN 'Deleted' ELSE 'Modified' END AS change FROM old_m o FULL JOIN new_m n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files."""
+    ext = F.expr("CASE doc_id % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.ts' ELSE '.py' END")
+    return lens.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"), "text", "doc_id")
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = _files(spark, sf_dir)
+    new = index.hashed(files.select("path", F.when(F.expr("doc_id % 7 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content")))
+    gone = spark.range(5).select(F.concat(F.lit("gone/"), F.col("id").cast("string"), F.lit(".rs")).alias("path"), F.lit("x").alias("hash"))
+    return index.hashed(files.where("doc_id % 10 <> 0").withColumn("content", F.col("text"))).unionByName(gone), new
+
+
+@_query("scan_by_extension", f", {_FILES} SELECT path FROM files WHERE path LIKE '%.rs' OR path LIKE '%.py'")
+def scan_by_extension(spark, sf_dir):
+    return _files(spark, sf_dir).where(F.lower(F.substring_index("path", ".", -1)).isin("rs", "py")).select("path")
+
+
+@_query("content_hash", f", {_FILES} SELECT path, sha256(text) AS hash, sha256(text) = repeat('0', 64) AS is_zero FROM files")
+def content_hash(spark, sf_dir):
+    return index.hashed(_files(spark, sf_dir).withColumn("content", F.col("text"))).withColumn("is_zero", F.col("hash") == "0" * 64)
+
+
+@_query("detect_changes", f", {_MANIFESTS} SELECT path, change FROM turned")
+def detect_changes(spark, sf_dir):
+    return index.detect_changes(*_manifests(spark, sf_dir))
+
+
+@_query("commit_changes", f", {_MANIFESTS} SELECT path, hash FROM new_m")
+def commit_changes(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    return index.commit_changes(old, new, index.detect_changes(old, new))
+
+
+@_query("object_store_dedup", f", {_FILES} SELECT sha256(text) AS hash, concat('objects/', substr(sha256(text), 1, 2), '/', substr(sha256(text), 3)) AS path, count(*) AS copies FROM files GROUP BY text")
+def object_store_dedup(spark, sf_dir):
+    return index.object_store(_files(spark, sf_dir).withColumn("content", F.col("text")))
+
+
+@_query("bracket_balance")
+def bracket_balance(spark, sf_dir):
+    files = _files(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" the "), F.lit(" (the] ")))
+    return checks.check_texts(files, checks.bracket_findings)
+
+
+@_query("python_indent", f""", {_FILES}, l AS (SELECT path, i AS line, s[i] AS x FROM (SELECT path, string_split(replace(text, ' the ', chr(10) || chr(9) || ' the '), chr(10)) AS s FROM files), unnest(range(1, len(s) + 1)) AS u(i)),
+  m AS (SELECT path, line, regexp_extract(x, '^([ \\t]*)', 1) AS lead FROM l WHERE trim(x) <> '')
+  SELECT path, CAST(line AS INTEGER) AS line, 'error' AS severity FROM m WHERE contains(lead, chr(9)) AND contains(lead, ' ')
+  UNION ALL SELECT path, 0, 'warning' FROM m GROUP BY path HAVING bool_or(contains(lead, chr(9)) AND NOT contains(lead, ' ')) AND bool_or(contains(lead, ' ') AND NOT contains(lead, chr(9)))""")
+def python_indent(spark, sf_dir):
+    files = _files(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" the "), F.lit("\n\t the ")))
+    return checks.indentation(files)
+
+
+_TSC = "tsc AS (SELECT concat('src/f', event_id % 9, '.ts(', event_id, ',', event_id % 80, '): ', CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END, ' TS', user_id) AS text, * FROM events WHERE event_type IN ('error', 'click'))"
+
+
+@_query("tsc_parse", f", {_TSC} SELECT concat('src/f', event_id % 9, '.ts') AS file, CAST(event_id AS INTEGER) AS line, CAST(event_id % 80 AS INTEGER) AS col, CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END AS severity, concat('TS', user_id) AS message FROM tsc")
+def tsc_parse(spark, sf_dir):
+    events = lens.table(spark, sf_dir, "events").where("event_type IN ('error', 'click')")
+    return checks.tsc(events.select(F.expr("concat('src/f', event_id % 9, '.ts(', event_id, ',', event_id % 80, '): ', if(event_type = 'error', 'error', 'warning'), ' TS', user_id)").alias("text")))
+
+
+@_query("pylint_parse", "SELECT concat('m', event_id % 5, '.py') AS file, CAST(event_id AS INTEGER) AS line, 'warning' AS severity, concat(event_type, ': x') AS message FROM events")
+def pylint_parse(spark, sf_dir):
+    return checks.pylint(lens.table(spark, sf_dir, "events").select(F.expr("concat('m', event_id % 5, '.py:', event_id, ':1:C1: ', event_type, ': x')").alias("text")))
+
+
+@_query("eslint_parse", "SELECT concat('a', event_id % 5, '.js') AS file, CAST(event_id AS INTEGER) AS line, CASE WHEN event_id % 3 = 2 THEN 'error' ELSE 'warning' END AS severity, event_type AS message FROM events WHERE event_id % 3 > 0")
+def eslint_parse(spark, sf_dir):
+    reports = lens.table(spark, sf_dir, "events").select(F.expr("to_json(array(named_struct('filePath', concat('a', event_id % 5, '.js'), 'messages', array(named_struct('line', cast(event_id as int), 'severity', cast(event_id % 3 as int), 'message', event_type)))))").alias("json"))
+    return checks.eslint(reports)
+
+
+@_query("extract_line_number", "SELECT event_id, CAST(event_id AS INTEGER) AS line FROM events")
+def extract_line_number(spark, sf_dir):
+    return lens.table(spark, sf_dir, "events").select("event_id", names.line_number(F.expr("concat('at line ', event_id, ': x')")).alias("line"))
+
+
+__all__ = ["ORACLES", "QUERIES", "Lens", "QueryError"]
