@@ -170,7 +170,9 @@ def _truth(token: Token) -> bool | None:
     return {"keyword": token.value == "true", "ident": token.value == "true"}.get(token.kind)
 
 
-_KIND = F.when(F.col("node_kind") == "type", F.lower("data_kind")).otherwise(F.col("node_kind"))
+def kind_name() -> Column:
+    """The kind that a node is shown as: that of its data for types."""
+    return F.when(F.col("node_kind") == "type", F.lower("data_kind")).otherwise(F.col("node_kind"))
 
 
 def scalar(field: str, op: str, value: Token) -> Column:
@@ -203,7 +205,7 @@ def scalar(field: str, op: str, value: Token) -> Column:
         same = F.endswith(F.replace("file", F.lit("\\"), F.lit("/")), F.lit(_text(value)))
         found = same if op == "=" else ~same
     elif field == "kind":
-        same = _KIND == _text(value).lower()
+        same = kind_name() == _text(value).lower()
         found = same if op == "=" else ~same
     else:
         return no
@@ -267,4 +269,4 @@ def described(matches: DataFrame) -> DataFrame:
     data = F.concat("data_kind", F.lit(" with "), F.size("fields").cast("string"), F.lit(" fields, 0 methods"))
     binding = F.when(F.col("is_constant"), "const binding").otherwise("let binding (mut)")
     text = F.when(F.col("node_kind") == "function", function).when(F.col("node_kind") == "type", data).when(F.col("node_kind") == "binding", binding).otherwise(F.col("node_kind"))
-    return matches.select("node_id", F.replace("file", F.lit("\\"), F.lit("/")).alias("file"), "start_line", "name", _KIND.alias("kind"), text.alias("description"))
+    return matches.select("node_id", F.replace("file", F.lit("\\"), F.lit("/")).alias("file"), "start_line", "name", kind_name().alias("kind"), text.alias("description"))
