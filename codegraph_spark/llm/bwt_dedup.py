@@ -3,7 +3,7 @@
 Repeated strings are found in merged Burrows-Wheeler transforms. To merge transforms of all texts at once, all texts
 would have to lie in one place, so first the candidates are dealt: every ``LENGTH`` bytes in a row have one anchor, the
 ``GRAM`` bytes among them whose hash is smallest, and equal strings have equal anchors. Anchors that only one document
-has are done with. For each other one the bytes of all strings that it stands for, a region of some 66 bytes, go to the
+has are done with. For each other one the bytes of all strings that it stands for, a region of some 60 bytes, go to the
 task of the anchor's hash; equal regions are one, with the smallest doc_id that has it.
 
 There, regions are cut into shards, and each shard has its suffixes sorted and its transform made. The transforms are
@@ -14,6 +14,8 @@ neighbours part in that round, their common prefix ends. After LENGTH bytes, the
 repeated strings. Symbols are byte pairs (each region is the two rows of its even and odd pairs), which halves the
 rounds. An anchor with one region has nothing to be merged with.
 
+Copies: of equal texts the one of the smallest doc_id takes part, the others lose all bytes, if they have LENGTH.
+
 A document loses the strings of an interval with a smaller doc_id. Strings are compared in whole, hashes only say where
 to look. Null texts count as empty; rows without a doc_id lose nothing; rows that repeat a doc_id are one document here.
 """
@@ -26,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import dropped, saved
 from .textkit import U64, pieces, prefix_sums, power_tables, text_bytes
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
 SHARDS, DOCS_A_PART, REGIONS_A_TASK = 8, 2000, 20_000
 
 
@@ -65,13 +67,16 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, anchors): the hashes (40 bits and their part's) of each document's anchors that other ones have too."""
+    """(doc_id, anchors): the hashes (40 bits and their part's) of each document's anchors that different ones have too.
+
+    docs: (doc_id, text, content), content being a hash of the text.
+    """
     parts = max(8, docs.count() // DOCS_A_PART)
 
     def ask(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2)], axis=1)
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):
                 own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -85,13 +90,13 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
                 used = np.flatnonzero(np.diff(cuts))
                 lists = [order[cuts[p] : cuts[p + 1]] for p in used]
                 small = [np.ascontiguousarray(key[i].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for i in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), number)), pa.array([ids[lo:hi].astype(np.int64).tobytes()] * len(used), pa.binary()), pa.array([doc[i].astype(np.int32).tobytes() for i in lists], pa.binary()), pa.array(small, pa.binary())], names=["part", "piece", "ids", "doc", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), number)), pa.array([ids[lo:hi].tobytes()] * len(used), pa.binary()), pa.array([doc[i].astype(np.min_scalar_type(hi - lo)).tobytes() for i in lists], pa.binary()), pa.array(small, pa.binary())], names=["part", "piece", "ids", "doc", "key"])
 
     def answer(table):
         pieces_, keys, docs_ = table.column("piece").to_pylist(), [], []
         sizes = []
         for ids, doc, key in zip(table.column("ids").to_pylist(), table.column("doc").to_pylist(), table.column("key").to_pylist(), strict=True):
-            docs_.append(np.frombuffer(ids, np.int64)[np.frombuffer(doc, np.int32)])
+            docs_.append(np.frombuffer(ids, np.int64).reshape(-1, 2)[np.frombuffer(doc, f"u{len(doc) * 5 // len(key)}")])
             wide = np.zeros((len(docs_[-1]), 8), np.uint8)
             wide[:, :5] = np.frombuffer(key, np.uint8).reshape(-1, 5)
             keys.append(wide.view("<u8").ravel())
@@ -99,7 +104,8 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
         doc, key = np.concatenate(docs_), np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         cuts = _runs(key[order])
-        least, most = np.minimum.reduceat(doc[order], cuts[:-1]), np.maximum.reduceat(doc[order], cuts[:-1])
+        doc, content = doc[:, 0], doc[order, 1]
+        least, most = np.minimum.reduceat(content, cuts[:-1]), np.maximum.reduceat(content, cuts[:-1])
         hit = np.zeros(len(key), bool)
         hit[order] = np.repeat(least != most, np.diff(cuts))
         of = np.concatenate([[0], np.cumsum(sizes)])
@@ -199,10 +205,10 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH,
 
 
 def _class_runs(classes: DataFrame, length: int) -> DataFrame:
-    """(key, text, starts, owners): runs of strings of a region that have the same smallest owner.
+    """(key, h1, h2, n, starts, owners): the strings of a region, in runs that have the same smallest owner.
 
-    classes: (key, text, owner). Regions that share their anchor are merged; an anchor's regions are never parted, as
-    long as a task can hold them: what they share an anchor for is 20 equal bytes, and equal regions are one already.
+    classes: (key, h1, h2, text, owner). Regions that share their anchor are merged; an anchor's regions are never parted, as
+    long as a task can hold them: what they share an anchor for is 28 equal bytes, and equal regions are one already.
     """
     alone = saved(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
     bins = max(1, (alone.agg(F.sum("n")).first()[0] or 0) // REGIONS_A_TASK)
@@ -214,26 +220,36 @@ def _class_runs(classes: DataFrame, length: int) -> DataFrame:
             cuts = _runs(found)[:-1]
             starts.append(cuts.astype(np.int32))
             least.append(found[cuts])
-        return pa.table({"key": table.column("key"), "text": table.column("text"), "starts": pa.array(starts, pa.list_(pa.int32())), "owners": pa.array(least, pa.list_(pa.int64()))})
+        n = [len(t) - length + 1 for t in texts]
+        return pa.table({"key": table.column("key"), "h1": table.column("h1"), "h2": table.column("h2"), "n": pa.array(n, pa.int32()), "starts": pa.array(starts, pa.list_(pa.int32())), "owners": pa.array(least, pa.list_(pa.int64()))})
 
     shared = classes.join(alone.select("key"), "key").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
-    merged = shared.groupBy("bin").applyInArrow(merge, "key long, text binary, starts array<int>, owners array<long>")
-    own = classes.join(alone.select("key"), "key", "left_anti").select("key", "text", F.array(F.lit(0)).alias("starts"), F.array("owner").alias("owners"))
+    merged = shared.groupBy("bin").applyInArrow(merge, "key long, h1 long, h2 long, n int, starts array<int>, owners array<long>")
+    own = classes.join(alone.select("key"), "key", "left_anti").select("key", "h1", "h2", (F.octet_length("text") - (length - 1)).alias("n"), F.array(F.lit(0)).alias("starts"), F.array("owner").alias("owners"))
     return merged.unionByName(own)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans): for each document with repeated strings, runs (first, n) of places at which such strings start."""
     known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    found = saved(repeated_anchors(known, length), "anchors")
-    pieces_ = saved(regions(known, found, length), "regions")
-    classes = saved(pieces_.groupBy("key", "text").agg(F.min("doc_id").alias("owner")), "classes")
-    runs = saved(_class_runs(classes, length).select(F.col("key"), F.xxhash64("text").alias("h"), "text", "starts", "owners"), "runs")
-    met = pieces_.withColumn("h", F.xxhash64("text")).join(runs, ["key", "h", "text"])
-    n = F.octet_length("text") - (length - 1)
-    ends = F.expr(f"transform(sequence(1, size(starts)), k -> if(k < size(starts), starts[k], octet_length(text) - {length - 1}))")
+    each = saved(known.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n")), "contents")
+    first = saved(each.groupBy("sha").agg(F.min("doc_id").alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times"), "copied")
+    copies = saved(each.join(first, "sha").where("doc_id > origin").select("doc_id", "n").distinct(), "copies")
+    found = repeated_anchors(known.withColumn("content", F.xxhash64("text")), length)
+    found = saved(found.join(copies.select("doc_id"), "doc_id", "left_anti"), "anchors")
+    pieces_ = regions(known, found, length)
+    pieces_ = saved(pieces_.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}), "regions")
+    dropped(each, first, found)
+    classes = saved(pieces_.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text")), "classes")
+    runs = saved(_class_runs(classes, length), "runs")
+    dropped(classes)
+    met = pieces_.select("key", "h1", "h2", "doc_id", "first").join(runs, ["key", "h1", "h2"])
+    ends = F.expr("transform(sequence(1, size(starts)), k -> if(k < size(starts), starts[k], n))")
     spans = F.filter(F.transform(F.arrays_zip("starts", ends.alias("ends"), "owners"), lambda x: F.struct((F.col("first") + x["starts"]).alias("first"), (x["ends"] - x["starts"]).cast("long").alias("n"), x["owners"].alias("owner"))), lambda x: x["owner"] < F.col("doc_id"))
-    rows = met.where(n > 0).select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.first", "s.n")
+    rows = met.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.first", "s.n")
+    whole = copies.where(F.col("n") >= length).select("doc_id", F.lit(0).cast("long").alias("first"), (F.col("n") - (length - 1)).alias("n"))
+    rows = saved(rows.unionByName(whole), "spans")
+    dropped(pieces_, runs)
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 

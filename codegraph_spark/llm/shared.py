@@ -6,6 +6,7 @@ executor, and later steps that read it do not compute it again.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
+    # The table stands for the shuffles that made it; once unreferenced, Spark's cleaner deletes their files.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
