@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import dropped, saved
 from .textkit import U64, lowered, pieces, prefix_sums, span_hashes, text_bytes, word_spans
 
 DEPTH = 6
@@ -190,7 +190,8 @@ def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, flo
     words: as vocabulary() gives them; ends: how many training texts there are; parts: in how many parts the vocabulary
     and the trie are dealt.
     """
-    placed = words.withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
+    # Words that begin alike ask for the same grams, so they are dealt by their first bytes.
+    placed = words.withColumn("part", F.pmod(F.xxhash64(F.substring("word", 1, 4)), F.lit(parts)).cast("int"))
 
     def ask(key, table):
         gram, order, word = word_grams(table.column("word").to_pylist())
@@ -231,7 +232,9 @@ def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, flo
         return pa.table({"gram": gram.view(np.int64), "order": order, "code": code_lengths(gram, order, count, pairs, escape)})
 
     codes = saved(grams.groupBy("home").applyInArrow(code, "gram long, order int, code double"), "codes")
-    answers = asked.join(codes, ["gram", "order"]).select("part", "gram", "order", "code")
+    dropped(grams)
+    answers = saved(asked.join(codes, ["gram", "order"]).select("part", "gram", "order", "code"), "answers")
+    dropped(asked, codes)
 
     def add_up(table, answers):
         sort = np.lexsort((answers.column("gram").to_numpy().view(U64), answers.column("order").to_numpy()))
@@ -264,8 +267,10 @@ def score(docs: DataFrame, words_a_part: int = 50_000) -> DataFrame:
     total, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
     scored, end_code = word_scores(words, ends, max(1, seen["all"] // words_a_part))
     known = saved(scored, "word-codes")
+    dropped(words)
     asked = batches.select("batch", F.posexplode("hash").alias("place", "hash"))
-    answers = asked.join(known, "hash").select(F.col("batch").alias("asker"), "place", "count", "code")
+    answers = saved(asked.join(known, "hash").select(F.col("batch").alias("asker"), "place", "count", "code"), "answers")
+    dropped(known)
 
     def add_up(batch, answers):
         if not batch.num_rows:
