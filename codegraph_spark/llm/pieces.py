@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .textkit import pieces, text_bytes
 
@@ -272,7 +273,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", into: str =
             ids = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*keep, into])
 
-    return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add(into, "array<int>"))
+    return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add(into, ArrayType(IntegerType())))
 
 
 def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str = "decoded") -> DataFrame:
