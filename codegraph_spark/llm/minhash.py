@@ -10,7 +10,7 @@ Copies: texts with equal sets are one class, whose smallest id stands for it; on
 No bucket is expanded into all its pairs at once. First every bucket compares its members with one of them, the one
 that shares most buckets with others (in a group of copies the original), and verified links are united. What is left
 are buckets whose members are still in several components. In these, members of different components are compared by
-signature, in blocks of ``CHUNK`` by ``CHUNK`` members that are dealt over tasks, and what passes is verified and
+signature, in blocks of ``CHUNK`` by ``CHUNK`` members that are dealt over tasks, and what passes is verified there and
 united too. So all pairs of a bucket that could change the result are looked at, whatever the size of the bucket.
 
 Bands are as many as make a pair at the threshold miss all of them with odds of ``missed``.
@@ -120,6 +120,12 @@ def _sizes_fit(rule: Rule, a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {rule.percent} * greatest({a}, {b})"
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b), those that link on their full sets (id, grams: bytes).
 
@@ -142,10 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 if role == 0:
                     own = grams
                     continue
-                few, many = (own, grams) if len(own) < len(grams) else (grams, own)
-                at = np.searchsorted(many, few)
-                both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                if rule.linked(both, len(own), len(grams)):
+                if rule.linked(_common(own, grams), len(own), len(grams)):
                     out.append((name, other))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -166,20 +169,27 @@ def _sets(items: DataFrame, ids: DataFrame, rule: Rule, distinct: bool) -> DataF
     return saved(asked.mapInArrow(build, "id long, grams binary"), "sets")
 
 
-def _leftover_pairs(members: DataFrame, rule: Rule, per_task: int = 4000) -> DataFrame:
-    """(a, b) of different components within a bucket, by size and estimate. members: (key, id, n, sig, component)."""
+def _leftover_links(members: DataFrame, sets: DataFrame, rule: Rule, per_task: int = 4000) -> DataFrame:
+    """(a, b): links between different components within a bucket.
+
+    members: (key, id, n, sig, bands, component). Members bring their sets along, so candidates are verified where
+    they meet and only links leave a task. A pair that shares several buckets is looked at in the first of them.
+    """
     several = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     several = saved(several.where("lo <> hi and size > 2").select("key", "size"), "buckets")
     bins = max(1, (several.agg(F.sum("size")).first()[0] or 0) // per_task)
     rows = members.join(several, "key").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rows = rows.withColumn("home", F.when(F.col("chunks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins))))
-    rows = rows.select("home", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "n", "sig", "component")
+    rows = rows.select("home", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "n", "sig", "bands", "component")
+    rows = rows.join(sets, "id")
     least, half = rule.least_matches, PLANES // BITS
 
     def compare(table):
         key, chunk, ids, n, comp = (table.column(c).to_numpy() for c in ("key", "chunk", "id", "n", "component"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), PLANES)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        grams = [np.frombuffer(g.as_buffer(), U64) for g in table.column("grams").combine_chunks()]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
@@ -197,7 +207,9 @@ def _leftover_pairs(members: DataFrame, rule: Rule, per_task: int = 4000) -> Dat
                     for p in range(BITS):
                         other |= sig[fit, p * half : (p + 1) * half] ^ sig[x, p * half : (p + 1) * half]
                     near = fit[MINIMA - np.bitwise_count(other).sum(axis=1) >= least]
-                    out.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in near)
+                    shared = bands[near] == bands[x]
+                    near = near[bands[x][shared.argmax(axis=1)] == key[x]] if len(near) else near
+                    out.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in near if rule.linked(_common(grams[x], grams[y]), n[x], n[y]))
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
     return rows.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -218,7 +230,7 @@ def near_duplicates(items: DataFrame, rule: Rule = Rule(), content_ids: bool = F
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
     centres = saved(ranked.select("key", (-F.col("top.minus")).alias("a")), "centres")
-    facts = classes.select(F.col("rep").alias("id"), "n", "sig").dropDuplicates(["id"])
+    facts = classes.select(F.col("rep").alias("id"), "n", "sig", "bands").dropDuplicates(["id"])
     pairs = members.join(centres, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     pairs = _fitting(pairs, facts, rule)
     ids = members.select("id").distinct()
@@ -226,9 +238,9 @@ def near_duplicates(items: DataFrame, rule: Rule = Rule(), content_ids: bool = F
     links = saved(_verified(saved(pairs, "star-pairs"), sets, rule), "star-links")
     found = saved(connected(links), "star-components")
     known = members.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(facts, "id")
-    more = saved(_leftover_pairs(known, rule), "leftover-pairs")
+    more = saved(_leftover_links(known, sets, rule), "leftover-links")
     if more.limit(1).count():
-        links = saved(links.unionByName(_verified(more, sets, rule)), "links")
+        links = saved(links.unionByName(more), "links")
         found = saved(connected(links), "components")
     out = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("id"), "left")
     return signed.select("id", "n", "h1", "h2"), saved(out.select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")), "class-components")
