@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -59,7 +60,12 @@ class Pieces:
             self.units = re.compile(" *[^ \n]+| +|\n")
         self.piece_of = {k: piece for piece, k in self.ids.items()}
         self.chars = ({piece for piece in self.made if len(piece) == 1} - {SPACE}) | {" "}
-        self.cache, self.known = cache, {}
+        self.cache, self.known, self.older = cache, {}, {}
+        sizes = np.zeros(max(self.bytes_of, default=-1) + 2, np.int64)
+        for k, found in self.bytes_of.items():
+            sizes[k + 1] = len(found)
+        self.places = np.cumsum(sizes)
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of[k] for k in sorted(self.bytes_of)), np.uint8)
 
     @classmethod
     def load(cls, path: str = MODEL) -> tuple[dict, list[int]]:
@@ -207,28 +213,55 @@ class Pieces:
                 out += [self.byte_ids[b] for b in char.encode()]
         return tuple(out + self._segment(known)) if known else tuple(out)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of the texts. Units that are new are encoded first, in sorted order, then texts are put together."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of the texts, as bytes of 32-bit integers. Units that are new are encoded first, in sorted order, then
+        texts are put together. Units seen lately are kept in two generations of ``cache`` units at most and what one
+        call adds; a unit that comes again is taken over from the older one.
+        """
         units = [self.units.findall(" " + text) if text else [] for text in texts]
-        known, chars = self.known, self.chars
+        if len(self.known) > self.cache:
+            self.known, self.older = {}, self.known
+        known, chars, older = self.known, self.chars, self.older
         new = set(itertools.chain.from_iterable(units)).difference(known)
+        if older:
+            again = new.intersection(older)
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            new -= again
         plain = sorted(u for u in new if len(u) <= 64 and chars.issuperset(u))
-        known.update(zip(plain, self._sorted_segments([u.replace(" ", SPACE) for u in plain]), strict=True))
-        other = {u: self._unit(u) for u in new if u not in known}
+        found = self._sorted_segments([u.replace(" ", SPACE) for u in plain])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32).tobytes()
+        cuts = list(itertools.accumulate((4 * len(codes) for codes in found), initial=0))
+        known.update((unit, flat[lo:hi]) for unit, (lo, hi) in zip(plain, itertools.pairwise(cuts), strict=True))
+        other = {u: np.array(self._unit(u), np.int32).tobytes() for u in new if u not in known}
         if other:
             get = lambda u: known.get(u) or other[u]
         else:
             get = known.__getitem__
-        out = [list(itertools.chain.from_iterable(map(get, own))) for own in units]
-        if len(known) > self.cache:
-            known.clear()
-        return out
+        return [b"".join(map(get, own)) for own in units]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of the ids between neighbouring offsets, as a column; bytes that are no UTF-8 are replaced."""
+        ids = ids[offsets[0] : offsets[-1]]
+        lo = self.places[ids]
+        sizes = self.places[ids + 1] - lo
+        ends = np.cumsum(sizes)
+        data = self.all_bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + sizes, sizes)]
+        cuts = np.append(0, ends)[offsets - offsets[0]]
+        full = np.diff(cuts) > 0
+        data = np.delete(data, cuts[:-1][full])  # the blank before each text
+        cuts = cuts - np.append(0, np.cumsum(full))
+        try:
+            texts = pa.Array.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in itertools.pairwise(cuts)], pa.string())
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
+        ids = np.array(ids, np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 _held: dict = {}
@@ -266,11 +299,10 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", into: str =
             flat, offsets = [], np.zeros(len(texts) + 1, np.int32)
             for lo, hi in pieces(sizes, 4 << 20):
                 for k, ids in enumerate(model.encode_all([t or "" for t in texts[lo:hi].to_pylist()]), lo + 1):
-                    if ids:
-                        flat.append(np.array(ids, np.int32))
-                        offsets[k] = len(ids)
+                    flat.append(ids)
+                    offsets[k] = len(ids) // 4
             cut = pa.array(np.cumsum(offsets, dtype=np.int32), mask=np.append(np.asarray(texts.is_null()), False))
-            ids = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+            ids = pa.ListArray.from_arrays(cut, pa.array(np.frombuffer(b"".join(flat), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*keep, into])
 
     return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add(into, ArrayType(IntegerType())))
@@ -286,9 +318,10 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str =
         for batch in batches:
             ids = batch.column(at)
             flat = ids.values.to_numpy(zero_copy_only=False)
-            offsets, empty = ids.offsets.to_numpy(), np.asarray(ids.is_null())
-            texts = [None if empty[k] else model.decode(flat[offsets[k] : offsets[k + 1]].tolist()) for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, into])
+            offsets = ids.offsets.to_numpy()
+            texts = [model.decode_all(flat, offsets[lo : hi + 1]) for lo, hi in pieces(offsets, 1 << 20)]
+            whole = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(ids.is_null(), None, whole)], names=[*keep, into])
 
     return rows.select(*keep).mapInArrow(run, rows.select(*keep).schema.add(into, "string"))
 
