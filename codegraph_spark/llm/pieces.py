@@ -37,7 +37,7 @@ SPACE = "▁"
 class Pieces:
     """A vocabulary: (piece, score) of the normal pieces by id, and the ids of the 256 byte pieces."""
 
-    def __init__(self, normal: dict[int, tuple[str, float]], byte_ids: list[int], cache: int = 250_000):
+    def __init__(self, normal: dict[int, tuple[str, float]], byte_ids: list[int], cache: int = 100_000):
         self.ids = {piece: k for k, (piece, _) in normal.items()}
         self.rank = {piece: -score for piece, score in normal.values()}
         self.byte_ids = byte_ids
@@ -286,9 +286,17 @@ def _ready(path: str, held) -> Pieces:
     return _made[path]
 
 
-def encode(docs: DataFrame, path: str = MODEL, column: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the ids of a text column added (array<int>); a column of that name is replaced."""
-    keep, held = [c for c in docs.columns if c != into], _vocabulary(docs, path)
+def _decoded(model: Pieces, ids: pa.ListArray) -> pa.Array:
+    flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    texts = [model.decode_all(flat, offsets[lo : hi + 1]) for lo, hi in pieces(offsets, 1 << 18)]
+    return pc.if_else(ids.is_null(), None, pa.concat_arrays(texts) if texts else pa.array([], pa.string()))
+
+
+def encode(docs: DataFrame, path: str = MODEL, column: str = "text", into: str = "ids", back: str | None = None) -> DataFrame:
+    """docs with the ids of a text column added (array<int>) and, if ``back`` names a column, the text that decoding
+    them gives, in the same pass of the same worker; columns of those names are replaced."""
+    new = [into, back] if back else [into]
+    keep, held = [c for c in docs.columns if c not in new], _vocabulary(docs, path)
     at = keep.index(column)
 
     def run(batches):
@@ -297,15 +305,16 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", into: str =
             texts = batch.column(at)
             _, sizes = text_bytes(texts)
             flat, offsets = [], np.zeros(len(texts) + 1, np.int32)
-            for lo, hi in pieces(sizes, 4 << 20):
-                for k, ids in enumerate(model.encode_all([t or "" for t in texts[lo:hi].to_pylist()]), lo + 1):
-                    flat.append(ids)
-                    offsets[k] = len(ids) // 4
+            for lo, hi in pieces(sizes, 2 << 20):
+                found = model.encode_all([t or "" for t in texts[lo:hi].to_pylist()])
+                offsets[lo + 1 : hi + 1] = [len(ids) // 4 for ids in found]
+                flat.append(b"".join(found))
             cut = pa.array(np.cumsum(offsets, dtype=np.int32), mask=np.append(np.asarray(texts.is_null()), False))
             ids = pa.ListArray.from_arrays(cut, pa.array(np.frombuffer(b"".join(flat), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*keep, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, *([_decoded(model, ids)] if back else [])], names=[*keep, *new])
 
-    return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add(into, ArrayType(IntegerType())))
+    schema = docs.select(*keep).schema.add(into, ArrayType(IntegerType()))
+    return docs.select(*keep).mapInArrow(run, schema.add(back, "string") if back else schema)
 
 
 def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -316,12 +325,7 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str =
     def run(batches):
         model = _ready(path, held)
         for batch in batches:
-            ids = batch.column(at)
-            flat = ids.values.to_numpy(zero_copy_only=False)
-            offsets = ids.offsets.to_numpy()
-            texts = [model.decode_all(flat, offsets[lo : hi + 1]) for lo, hi in pieces(offsets, 1 << 20)]
-            whole = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(ids.is_null(), None, whole)], names=[*keep, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(model, batch.column(at))], names=[*keep, into])
 
     return rows.select(*keep).mapInArrow(run, rows.select(*keep).schema.add(into, "string"))
 
@@ -332,5 +336,5 @@ def same_text(a: str = "text", b: str = "decoded") -> Column:
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids_hash (xxhash64 of the ids), n_bytes, round_trip; n_ids is 0 for null and empty texts."""
-    back = decode(encode(docs.select("doc_id", "text"), path), path)
+    back = encode(docs.select("doc_id", "text"), path, back="decoded")
     return back.select("doc_id", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), same_text().alias("round_trip"))
