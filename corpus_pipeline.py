@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, and whether decoding them gives the texts back."""
-    back = pieces.decode(pieces.encode(docs))
+    back = pieces.encode(docs, back="decoded")
     return back.select("doc_id", "source", "ids", pieces.same_text().alias("round_trip"))
 
 
