@@ -32,7 +32,7 @@ from .shared import dropped, saved
 from .textkit import U64, pieces, prefix_sums, power_tables, text_bytes
 
 LENGTH, GRAM = 50, 28
-SHARDS, DOCS_A_PART, REGIONS_A_TASK = 8, 2000, 20_000
+SHARDS, DOCS_A_PART, REGIONS_A_TASK = 8, 2000, 4000
 
 
 def _window_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,14 +154,30 @@ def regions(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
 def _shard_order(symbols: np.ndarray, behind: np.ndarray) -> np.ndarray:
     """Places of a shard's suffixes in sorted order. symbols: 0 at ends; behind: for each place the number of places
     that its row still has, each two further on."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step, places = 1, np.arange(len(symbols))
+    n, step = len(symbols), 1
+    order = np.argsort(symbols, kind="stable")
+    parted = symbols[order[1:]] != symbols[order[:-1]]
+    rank, ranks = np.empty(n, np.int64), np.zeros(n, np.int64)
     while True:
-        follow = np.where(behind >= step, rank[np.minimum(places + 2 * step, len(rank) - 1)] + 1, 0)
-        wide = np.unique((rank << 32) | follow, return_inverse=True)[1]
-        if wide.max(initial=0) == rank.max(initial=0):
-            return np.argsort(rank, kind="stable")
-        rank, step = wide, step * 2
+        ranks[1:] = np.cumsum(parted)
+        rank[order] = ranks
+        if parted.all():
+            return order
+        follow = np.zeros(n, np.int64)
+        on = np.flatnonzero(behind >= step)
+        follow[on] = rank[np.minimum(on + 2 * step, n - 1)] + 1
+        # Suffixes of ranks of their own stay where they are; only the others are sorted anew.
+        tied = np.flatnonzero(np.append(False, ~parted) | np.append(~parted, False))
+        own = order[tied]
+        wide = (rank[own] << 32) | follow[own]
+        sort = np.argsort(wide, kind="stable")
+        order[tied], wide = own[sort], wide[sort]
+        more = parted.copy()
+        pairs = np.flatnonzero(np.diff(tied) == 1)
+        more[tied[pairs]] = wide[pairs + 1] != wide[pairs]
+        if not (more & ~parted).any():
+            return order
+        parted, step = more, step * 2
 
 
 def smallest_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
@@ -187,7 +203,7 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH,
         suffixes.append(order)
         transforms.append(before[order])
     interleave = np.repeat(np.arange(shards, dtype=np.uint8), np.diff(cuts))
-    block, suffixes, transforms = np.zeros(n, np.int64), np.concatenate(suffixes), np.concatenate(transforms)
+    block, suffixes, transforms = np.zeros(n, np.int32), np.concatenate(suffixes), np.concatenate(transforms)
     merged = np.empty(n, np.uint16)
     for _ in range(length // 2):
         merged[np.argsort(interleave, kind="stable")] = transforms
@@ -195,7 +211,7 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH,
         symbol, block, interleave = merged[order], block[order], interleave[order]
         parted = np.ones(n, bool)
         parted[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]) | (symbol[1:] == 0)
-        block = np.cumsum(parted) - 1
+        block = np.cumsum(parted, dtype=np.int32) - np.int32(1)
     place = np.empty(n, np.int64)
     place[np.argsort(interleave, kind="stable")] = suffixes
     least = np.minimum.reduceat(owners[text[place]], np.flatnonzero(parted))[block]
