@@ -223,7 +223,7 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH,
 def _class_runs(classes: DataFrame, length: int) -> DataFrame:
     """(key, h1, h2, n, starts, owners): the strings of a region, in runs that have the same smallest owner.
 
-    classes: (key, h1, h2, text, owner). Regions that share their anchor are merged; an anchor's regions are never parted, as
+    classes: (key, h1, h2, n, text, owner). Regions that share their anchor are merged; an anchor's regions are never parted, as
     long as a task can hold them: what they share an anchor for is 28 equal bytes, and equal regions are one already.
     """
     alone = saved(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
@@ -236,12 +236,11 @@ def _class_runs(classes: DataFrame, length: int) -> DataFrame:
             cuts = _runs(found)[:-1]
             starts.append(cuts.astype(np.int32))
             least.append(found[cuts])
-        n = [len(t) - length + 1 for t in texts]
-        return pa.table({"key": table.column("key"), "h1": table.column("h1"), "h2": table.column("h2"), "n": pa.array(n, pa.int32()), "starts": pa.array(starts, pa.list_(pa.int32())), "owners": pa.array(least, pa.list_(pa.int64()))})
+        return pa.table({**{name: table.column(name) for name in ("key", "h1", "h2", "n")}, "starts": pa.array(starts, pa.list_(pa.int32())), "owners": pa.array(least, pa.list_(pa.int64()))})
 
     shared = classes.join(alone.select("key"), "key").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
     merged = shared.groupBy("bin").applyInArrow(merge, "key long, h1 long, h2 long, n int, starts array<int>, owners array<long>")
-    own = classes.join(alone.select("key"), "key", "left_anti").select("key", "h1", "h2", (F.octet_length("text") - (length - 1)).alias("n"), F.array(F.lit(0)).alias("starts"), F.array("owner").alias("owners"))
+    own = classes.join(alone.select("key"), "key", "left_anti").select("key", "h1", "h2", "n", F.array(F.lit(0)).alias("starts"), F.array("owner").alias("owners"))
     return merged.unionByName(own)
 
 
@@ -256,7 +255,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces_ = regions(known, found, length)
     pieces_ = saved(pieces_.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}), "regions")
     dropped(each, first, found)
-    classes = saved(pieces_.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text")), "classes")
+    classes = saved(pieces_.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text")).withColumn("n", F.octet_length("text") - (length - 1)), "classes")
+    # The texts are in the classes now; what is left of the regions is where they are.
+    with_texts, pieces_ = pieces_, saved(pieces_.select("key", "h1", "h2", "doc_id", "first"), "places")
+    dropped(with_texts)
     runs = saved(_class_runs(classes, length), "runs")
     dropped(classes)
     met = pieces_.select("key", "h1", "h2", "doc_id", "first").join(runs, ["key", "h1", "h2"])
