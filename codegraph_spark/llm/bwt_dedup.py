@@ -253,11 +253,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = repeated_anchors(known.withColumn("content", F.xxhash64("text")), length)
     found = saved(found.join(copies.select("doc_id"), "doc_id", "left_anti"), "anchors")
     pieces_ = regions(known, found, length)
-    pieces_ = saved(pieces_.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}), "regions")
+    pieces_ = saved(pieces_, "regions")
+    hashes = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
     dropped(each, first, found)
-    classes = saved(pieces_.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text")).withColumn("n", F.octet_length("text") - (length - 1)), "classes")
+    classes = saved(pieces_.groupBy("key", "text").agg(F.min("doc_id").alias("owner")).withColumns({**hashes, "n": F.octet_length("text") - (length - 1)}), "classes")
     # The texts are in the classes now; what is left of the regions is where they are.
-    with_texts, pieces_ = pieces_, saved(pieces_.select("key", "h1", "h2", "doc_id", "first"), "places")
+    with_texts, pieces_ = pieces_, saved(pieces_.withColumns(hashes).select("key", "h1", "h2", "doc_id", "first"), "places")
     dropped(with_texts)
     runs = saved(_class_runs(classes, length), "runs")
     dropped(classes)
