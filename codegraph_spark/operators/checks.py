@@ -98,3 +98,18 @@ def eslint(reports: DataFrame) -> DataFrame:
     files = reports.select(F.explode(F.from_json("json", schema)).alias("f"))
     found = files.select(F.col("f.filePath").alias("file"), F.explode("f.messages").alias("m")).where("m.severity > 0")
     return found.select("file", "m.line", F.when(F.col("m.severity") >= 2, "error").otherwise("warning").alias("severity"), "m.message")
+
+
+def cargo(lines: DataFrame) -> DataFrame:
+    """(file, line, col, severity, message) of a build tool's JSON lines (text): compiler messages that are errors or
+    warnings, at their first span; without a span, at line 0 of no file. Lines that are no JSON are passed over."""
+    schema = "reason string, message struct<level: string, message: string, spans: array<struct<file_name: string, line_start: int, column_start: int>>>"
+    found = lines.select(F.from_json("text", schema).alias("j")).where("j.reason = 'compiler-message'").select("j.message.*")
+    span = F.try_element_at("spans", F.lit(1))
+    return found.where(F.col("level").isin("error", "warning")).select(
+        F.coalesce(F.replace(span["file_name"], F.lit("\\"), F.lit("/")), F.lit("")).alias("file"),
+        F.coalesce(span["line_start"], F.lit(0)).alias("line"),
+        F.coalesce(span["column_start"], F.lit(0)).alias("col"),
+        F.col("level").alias("severity"),
+        F.coalesce("message", F.lit("")).alias("message"),
+    )

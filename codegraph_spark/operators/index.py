@@ -33,3 +33,26 @@ def commit_changes(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFr
 def object_store(files: DataFrame) -> DataFrame:
     """(hash, path, copies): one object for each content, where it is kept and how many files have it."""
     return hashed(files).groupBy("hash").agg(F.count("*").alias("copies")).select("hash", F.concat(F.lit("objects/"), F.substring("hash", 1, 2), F.lit("/"), F.substring("hash", 3, 62)).alias("path"), "copies")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(path, module): the distinct modules that the lines of each file import. files: (path, language, text)."""
+    lines = files.select("path", "language", F.explode(F.split("text", "\n")).alias("x")).withColumn("x", F.regexp_replace("x", r"^\s+|\s+\z", ""))
+    get = lambda pattern: F.regexp_extract("x", pattern, 1)
+    begins = lambda word: F.startswith("x", F.lit(word))
+    source = F.when(begins("import "), F.regexp_replace(get(r"^.*?from (.*)\z"), "^[\\s\"';]+|[\\s\"';]+\\z", ""))
+    required = F.coalesce(F.nullif(get("require\\(\"([^\"']*)[\"']"), F.lit("")), get("require\\('([^\"']*)[\"']"))
+    listed = F.transform(F.split(F.substring("x", 8, 1 << 30), ","), lambda m: F.trim(F.substring_index(m, " as ", 1)))
+    used = F.trim(F.regexp_replace(get(r"^use (.*)\z"), r";+\z", ""))
+    inside = ~F.trim(F.substring_index(used, "::", 1)).isin("self", "super", "")
+    script = F.col("language").isin("typescript", "javascript")
+    python = F.col("language") == "python"
+    found = F.when(script, F.array(source, required)).when(python & begins("from "), F.array(get("^from ([^ ]*)"))).when(python & begins("import "), listed).when((F.col("language") == "rust") & inside, F.array(used))
+    return lines.select("path", F.explode(found).alias("module")).where("module <> ''").distinct()
+
+
+def dependencies(packages: DataFrame) -> DataFrame:
+    """(path, name): the distinct names under dependencies and devDependencies of package files (path, json)."""
+    both = packages.select("path", F.from_json("json", "dependencies map<string, string>, devDependencies map<string, string>").alias("j"))
+    keys = lambda name: F.coalesce(F.map_keys(f"j.{name}"), F.array().cast("array<string>"))
+    return both.select("path", F.explode(F.array_union(keys("dependencies"), keys("devDependencies"))).alias("name"))

@@ -582,4 +582,23 @@ def extract_line_number(spark, sf_dir):
     return lens.table(spark, sf_dir, "events").select("event_id", names.line_number(F.expr("concat('at line ', event_id, ': x')")).alias("line"))
 
 
+@_query("cargo_parse", "SELECT concat('src/c', event_id % 7, '.rs') AS file, CAST(event_id AS INTEGER) AS line, CAST(event_id % 80 AS INTEGER) AS col, CASE WHEN event_id % 3 = 2 THEN 'error' ELSE 'warning' END AS severity, event_type AS message FROM events WHERE event_id % 3 > 0")
+def cargo_parse(spark, sf_dir):
+    span = "named_struct('file_name', concat('src', chr(92), 'c', event_id % 7, '.rs'), 'line_start', cast(event_id as int), 'column_start', cast(event_id % 80 as int))"
+    message = f"named_struct('level', element_at(array('note', 'warning', 'error'), cast(event_id % 3 as int) + 1), 'message', event_type, 'spans', array({span}))"
+    return checks.cargo(lens.table(spark, sf_dir, "events").select(F.expr(f"to_json(named_struct('reason', 'compiler-message', 'message', {message}))").alias("text")))
+
+
+@_query("extract_imports", "SELECT DISTINCT concat('d', event_id % 50, '.py') AS path, m AS module FROM events, unnest([concat('pkg_', event_type), concat('mod_', event_id % 11), concat('mod_', event_id % 13)]) AS u(m)")
+def extract_imports(spark, sf_dir):
+    text = F.expr("concat('from pkg_', event_type, ' import x', chr(10), '  import mod_', event_id % 11, ' as y, mod_', event_id % 13)")
+    return index.imports(lens.table(spark, sf_dir, "events").select(F.expr("concat('d', event_id % 50, '.py')").alias("path"), F.lit("python").alias("language"), text.alias("text")))
+
+
+@_query("json_map_keys", "SELECT concat('p', event_id, '.json') AS path, n AS name FROM events, unnest(list_distinct([event_type, concat('lib', event_id % 9)])) AS u(n)")
+def json_map_keys(spark, sf_dir):
+    json = F.expr("to_json(named_struct('dependencies', map(event_type, '1'), 'devDependencies', map(concat('lib', event_id % 9), '2')))")
+    return index.dependencies(lens.table(spark, sf_dir, "events").select(F.expr("concat('p', event_id, '.json')").alias("path"), json.alias("json")))
+
+
 __all__ = ["ORACLES", "QUERIES", "Lens", "QueryError"]

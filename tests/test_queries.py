@@ -32,3 +32,18 @@ def test_bracket_findings():
     assert list(bracket_findings("f(a[1]) // )\n{'}'}")) == []
     assert list(bracket_findings("(]")) == [(1, "mismatch: '(' at line 1 closed by ']'")]
     assert list(bracket_findings("x)\n(")) == [(1, "unexpected ')'"), (2, "unclosed '('")]
+
+
+def test_imports_of_scripts_and_rust(spark):
+    from codegraph_spark.operators.index import imports
+
+    files = [("a.ts", "typescript", "import { x } from \"./y\";\nconst z = require('q')\nlet a = 1"), ("b.rs", "rust", "use std::io;\nuse self::x;\nuse super::y;\n  use a::{b, c};"), ("c.txt", "other", "import a"), ("d.py", "python", None)]
+    found = imports(spark.createDataFrame(files, "path string, language string, text string")).collect()
+    assert sorted(map(tuple, found)) == [("a.ts", "./y"), ("a.ts", "q"), ("b.rs", "a::{b, c}"), ("b.rs", "std::io")]
+
+
+def test_cargo_lines_without_span_or_json(spark):
+    from codegraph_spark.operators.checks import cargo
+
+    lines = ["no json", '{"reason": "build-finished"}', '{"reason": "compiler-message", "message": {"level": "error", "message": "m", "spans": []}}', '{"reason": "compiler-message", "message": {"level": "note", "message": "n"}}', None]
+    assert [tuple(r) for r in cargo(spark.createDataFrame([(x,) for x in lines], "text string")).collect()] == [("", 0, 0, "error", "m")]
