@@ -1,8 +1,8 @@
 """Language model scores by prediction by partial matching (PPM).
 
 A text is a sequence of tokens, its words in lower case (A-Z only) and one end. The model codes a word byte by byte,
-then a blank; the end is one symbol of its own. A symbol is predicted in the context of up to ``DEPTH`` bytes before it
-in its word and the blank before that. Contexts form a trie, with counts of all training texts; a context counts a
+then a blank; the end is one symbol of its own. A symbol is predicted in the context of up to ``DEPTH`` bytes before it,
+over blanks and back to the blank before the first word. Contexts form a trie, with counts of all training texts; a context counts a
 symbol once for each longer context that has it (update exclusion), the longest ones count each occurrence. If a symbol
 was not seen in its context, an escape is coded, and the next shorter context is used without the symbols that the
 longer one would have coded (exclusion), down to all bytes alike. How likely an escape is, is learned for each order
@@ -12,8 +12,11 @@ add-one smoothing.
 
 Nothing of the model is gathered in one place. Words are counted over all training texts; the trie lies dealt over
 tasks by the last two bytes of its contexts, so that each context is with all shorter ones but those of one byte, which
-are a table of 256 by 256 counts. Each part of the vocabulary asks for the grams it needs and gets their code lengths
-back, and each batch of texts asks for its words. Words meet under 64-bit hashes.
+are a table of 256 by 256 counts. Each batch of texts asks for the grams and words in it and gets the grams' code
+lengths and the words' counts back. Words meet under 64-bit hashes.
+
+Without ``across``, contexts end at the beginning of a word: the model then spells words one by one, the end is coded
+after a blank alone, and the vocabulary asks for grams instead of the batches.
 
 Null and empty texts have their end only. Rows that repeat a doc_id are texts of their own. With nothing to learn from,
 all symbols are alike.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +38,19 @@ DEPTH = 6
 BATCH = 3 << 20
 END = 0x0A
 END_HASH = -1
+GRAMS_A_PART = 500_000
 
 
 def _mask(bytes_: int) -> np.uint64:
     return U64((1 << (8 * bytes_)) - 1)
 
 
-def batches_of(docs: DataFrame) -> DataFrame:
+def batches_of(docs: DataFrame, across: bool = False) -> DataFrame:
     """Batches of whole texts. docs: (doc_id, text, held_out).
 
     A row a batch: its number; the documents' ids, flags, numbers of tokens and of distinct words; for each of their
     distinct words its place in the batch's word list and how often it is there; and the word list: hash, word, count
-    in training texts.
+    in training texts. With ``across``, also the documents' symbols, as symbols_of() gives them, and how many each has.
     """
 
     def count(parts):
@@ -74,13 +79,43 @@ def batches_of(docs: DataFrame) -> DataFrame:
                     "word": [own[a:b].tobytes() for a, b in zip(starts[first], ends[first], strict=True)],
                     "train": train,
                 }
-                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+                if across:
+                    flat, sizes = symbols_of(own, starts, ends, of)
+                    row |= {"flat": [flat.tobytes()], "sizes": [sizes]}
+                yield pa.RecordBatch.from_arrays([pa.array(row[f.name] if f.name in ("flat", "sizes") else [row[f.name]], f.type) for f in schema], schema=schema)
 
     def listed(kind):
         return pa.list_(kind)
 
-    schema = pa.schema([("batch", pa.int64()), ("doc_id", listed(pa.int64())), ("held_out", listed(pa.bool_())), ("n_tokens", listed(pa.int64())), ("n_words", listed(pa.int64())), ("place", listed(pa.int32())), ("times", listed(pa.int32())), ("hash", listed(pa.int64())), ("word", listed(pa.binary())), ("train", listed(pa.int64()))])
-    return docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(count, "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_words array<long>, place array<int>, times array<int>, hash array<long>, word array<binary>, train array<long>")
+    schema = pa.schema([("batch", pa.int64()), ("doc_id", listed(pa.int64())), ("held_out", listed(pa.bool_())), ("n_tokens", listed(pa.int64())), ("n_words", listed(pa.int64())), ("place", listed(pa.int32())), ("times", listed(pa.int32())), ("hash", listed(pa.int64())), ("word", listed(pa.binary())), ("train", listed(pa.int64())), *([("flat", pa.binary()), ("sizes", listed(pa.int64()))] if across else [])])
+    return docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(count, "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_words array<long>, place array<int>, times array<int>, hash array<long>, word array<binary>, train array<long>" + (", flat binary, sizes array<long>" if across else ""))
+
+
+def symbols_of(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of documents in a row and how many each has: a blank, its words with a blank after each, the end."""
+    width = ends - starts + 1  # with the blank
+    sizes = np.concatenate([[0], np.cumsum(width)])[of]
+    sizes = np.diff(sizes) + 2
+    flat = np.full(int(sizes.sum()), 0x20, np.uint8)
+    flat[np.cumsum(sizes) - 1] = END
+    doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    begin = np.cumsum(width) - width + 2 * doc + 1
+    size = ends - starts
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    flat[np.repeat(begin, size) + step] = own[np.repeat(starts, size) + step]
+    return flat, sizes
+
+
+def text_grams(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, order, document) of each symbol but the documents' first blanks, packed as word_grams() does."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[doc]
+    at = np.flatnonzero(inside > 0)
+    order = np.minimum(inside[at], DEPTH)
+    wide, gram = flat.astype(U64), np.zeros(len(at), U64)
+    for k in range(DEPTH + 1):
+        gram |= np.where(k <= order, wide[np.maximum(at - k, 0)], U64(0)) << U64(8 * k)
+    return gram, order, doc[at]
 
 
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,25 +219,16 @@ def vocabulary(batches: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.first("word").alias("word"), F.sum("train").alias("count"))
 
 
-def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, float]:
-    """(hash, count, code), the model's log10 probability of each word, and that of an end.
+def gram_codes(asked: DataFrame, ends: int, parts: int = 0) -> tuple[DataFrame, float]:
+    """(part, gram, order, code) for asked grams: the model's log10 probabilities, and that of an end after a blank alone.
 
-    words: as vocabulary() gives them; ends: how many training texts there are; parts: in how many parts the vocabulary
-    and the trie are dealt.
+    asked: (part, gram, order, count), count being that in the part's training texts; deleted when it has been answered.
+    ends: how many ends after a blank alone there are besides; parts: in how many parts the trie is dealt.
     """
-    # Words that begin alike ask for the same grams, so they are dealt by their first bytes.
-    placed = words.withColumn("part", F.pmod(F.xxhash64(F.substring("word", 1, 4)), F.lit(parts)).cast("int"))
-
-    def ask(key, table):
-        gram, order, word = word_grams(table.column("word").to_pylist())
-        packed, place = _unique(gram, order)
-        count = np.bincount(place, table.column("count").to_numpy()[word], len(packed[0])).astype(np.int64)
-        return pa.table({"part": np.full(len(count), key[0].as_py(), np.int32), "gram": packed[0].view(np.int64), "order": packed[1], "count": count})
-
-    asked = saved(placed.groupBy("part").applyInArrow(ask, "part int, gram long, order int, count long"), "grams-asked")
-    home = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(parts))
-    grams = saved(asked.groupBy("gram", "order").agg(F.sum("count").alias("count")).withColumn("home", home), "grams")
-    seen = grams.where("count > 0")
+    grams = saved(asked.groupBy("gram", "order").agg(F.sum("count").alias("count")), "grams")
+    parts = parts or max(1, grams.count() // GRAMS_A_PART)
+    counted = grams.withColumn("home", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(parts)))
+    seen = counted.where("count > 0")
     threes = seen.where("order > 1").select(F.col("gram").bitwiseAND(0xFFFFFF).alias("x")).distinct().select(F.col("x").bitwiseAND(0xFFFF).alias("two"), F.lit(1).alias("n"))
     firsts = seen.where("order = 1").select(F.col("gram").alias("two"), F.col("count").alias("n"))
     last_two = threes.unionByName(firsts).groupBy("two").agg(F.sum("n").alias("n")).toPandas()
@@ -231,10 +257,31 @@ def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, flo
         gram, order, count = rows_of(table)
         return pa.table({"gram": gram.view(np.int64), "order": order, "code": code_lengths(gram, order, count, pairs, escape)})
 
-    codes = saved(grams.groupBy("home").applyInArrow(code, "gram long, order int, code double"), "codes")
+    codes = saved(counted.groupBy("home").applyInArrow(code, "gram long, order int, code double"), "codes")
     dropped(grams)
     answers = saved(asked.join(codes, ["gram", "order"]).select("part", "gram", "order", "code"), "answers")
     dropped(asked, codes)
+    end = float(code_lengths(np.array([0x2000 + END], U64), np.array([1]), np.array([0]), pairs, escape)[0])
+    return answers, end
+
+
+def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, float]:
+    """(hash, count, code), the model's log10 probability of each word, and that of an end.
+
+    words: as vocabulary() gives them; ends: how many training texts there are; parts: in how many parts the vocabulary
+    and the trie are dealt.
+    """
+    # Words that begin alike ask for the same grams, so they are dealt by their first bytes.
+    placed = words.withColumn("part", F.pmod(F.xxhash64(F.substring("word", 1, 4)), F.lit(parts)).cast("int"))
+
+    def ask(key, table):
+        gram, order, word = word_grams(table.column("word").to_pylist())
+        packed, place = _unique(gram, order)
+        count = np.bincount(place, table.column("count").to_numpy()[word], len(packed[0])).astype(np.int64)
+        return pa.table({"part": np.full(len(count), key[0].as_py(), np.int32), "gram": packed[0].view(np.int64), "order": packed[1], "count": count})
+
+    asked = saved(placed.groupBy("part").applyInArrow(ask, "part int, gram long, order int, count long"), "grams-asked")
+    answers, end = gram_codes(asked, ends, parts)
 
     def add_up(table, answers):
         sort = np.lexsort((answers.column("gram").to_numpy().view(U64), answers.column("order").to_numpy()))
@@ -243,7 +290,6 @@ def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, flo
         _, place = _unique(gram, order)
         return pa.table({"hash": table.column("hash"), "count": table.column("count"), "code": np.bincount(word, codes[place], table.num_rows)})
 
-    end = float(code_lengths(np.array([0x2000 + END], U64), np.array([1]), np.array([0]), pairs, escape)[0])
     scored = placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(add_up, "hash long, count long, code double")
     return scored, end
 
@@ -255,27 +301,52 @@ def _unique(gram: np.ndarray, order: np.ndarray) -> tuple[tuple[np.ndarray, np.n
     return (both & _mask(7), (both >> U64(56)).astype(np.int32)), place
 
 
-def score(docs: DataFrame, words_a_part: int = 50_000) -> DataFrame:
+def batch_grams(batches: DataFrame) -> DataFrame:
+    """(part, gram, order, count): the distinct grams of each batch, and how often its training texts have them."""
+
+    def ask(parts):
+        for batch in parts:
+            for k in range(batch.num_rows):
+                flat, sizes, held = (batch.column(c)[k] for c in (1, 2, 3))
+                gram, order, doc = text_grams(np.frombuffer(flat.as_py(), np.uint8), sizes.values.to_numpy())
+                packed, place = _unique(gram, order)
+                count = np.bincount(place, ~held.values.to_numpy(zero_copy_only=False)[doc], len(packed[0])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), batch.column(0)[k].as_py())), pa.array(packed[0].view(np.int64)), pa.array(packed[1]), pa.array(count)], names=["part", "gram", "order", "count"])
+
+    return batches.select("batch", "flat", "sizes", "held_out").mapInArrow(ask, "part long, gram long, order int, count long")
+
+
+def score(docs: DataFrame, words_a_part: int = 50_000, across: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs.
 
-    docs: (doc_id, text, held_out); learns from the texts that are not held out.
+    docs: (doc_id, text, held_out); learns from the texts that are not held out. across: whether contexts reach over
+    blanks.
     """
-    batches = saved(batches_of(docs), "batches")
+    batches = saved(batches_of(docs, across), "batches")
     words = saved(vocabulary(batches), "vocabulary")
     seen = words.agg(F.count("*").alias("all"), F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
     ends = batches.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0
     total, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
-    scored, end_code = word_scores(words, ends, max(1, seen["all"] // words_a_part))
-    known = saved(scored, "word-codes")
-    dropped(words)
+    if across:
+        known, end_code = words.select("hash", "count", F.lit(0.0).alias("code")), 0.0
+    else:
+        scored, end_code = word_scores(words, ends, max(1, seen["all"] // words_a_part))
+        known = saved(scored, "word-codes")
+        dropped(words)
     asked = batches.select("batch", F.posexplode("hash").alias("place", "hash"))
     answers = saved(asked.join(known, "hash").select(F.col("batch").alias("asker"), "place", "count", "code"), "answers")
-    dropped(known)
+    dropped(words if across else known)
+    if across:
+        grams, _ = gram_codes(saved(batch_grams(batches), "grams-asked"), 0)
+        answers = answers.unionByName(grams.withColumnRenamed("part", "asker"), allowMissingColumns=True)
 
     def add_up(batch, answers):
         if not batch.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in schema}, schema=schema)
         get = lambda name: batch.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        if across:
+            of_words = pc.is_valid(answers.column("place"))
+            grams, answers = answers.filter(pc.invert(of_words)), answers.filter(of_words)
         counts, codes = np.zeros(answers.num_rows), np.zeros(answers.num_rows)
         place = answers.column("place").to_numpy()
         counts[place], codes[place] = answers.column("count").to_numpy(), answers.column("code").to_numpy()
@@ -295,14 +366,20 @@ def score(docs: DataFrame, words_a_part: int = 50_000) -> DataFrame:
             "score": add(codes) + end_code,
         }
         assert of[-1] == len(at)
+        if across:
+            sort = np.lexsort((grams.column("gram").to_numpy().view(U64), grams.column("order").to_numpy()))
+            gram, order, doc = text_grams(np.frombuffer(batch.column("flat")[0].as_py(), np.uint8), get("sizes"))
+            packed, place = _unique(gram, order)
+            assert len(packed[0]) == len(sort)
+            out["score"] = np.bincount(doc, grams.column("code").to_numpy()[sort][place], len(n))
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema}, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    pairs = batches.select("batch", "doc_id", "held_out", "n_tokens", "n_words", "place", "times").groupBy("batch")
+    pairs = batches.select("batch", "doc_id", "held_out", "n_tokens", "n_words", "place", "times", *(["flat", "sizes"] if across else [])).groupBy("batch")
     return pairs.cogroup(answers.groupBy("asker")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_folds(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score_folds(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool = False) -> DataFrame:
     """score() with the fold ``held_out`` of crc32(doc_id) held out."""
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)), F.lit(0))
-    return score(docs.select("doc_id", "text", (fold == held_out).alias("held_out")))
+    return score(docs.select("doc_id", "text", (fold == held_out).alias("held_out")), across=across)

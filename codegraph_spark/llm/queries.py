@@ -24,7 +24,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_folds(_table(spark, sf_dir, "documents"))
+    return ppm.score_folds(_table(spark, sf_dir, "documents"), across=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

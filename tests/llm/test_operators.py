@@ -194,6 +194,57 @@ def test_ppm(docs, texts):
         assert math.isclose(r["score"], sum(code(*x) for w in own for x in symbols(w)), rel_tol=1e-9)
 
 
+def test_ppm_across_words(docs, texts):
+    """Contexts run over blanks through the whole text."""
+    got = {r["doc_id"]: r for r in ppm.score_folds(docs, across=True).collect()}
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d in range(len(texts))]
+    streams = [b"".join(b" " + w.encode() for w in WORD.findall(lower(t))) + b" \n" for t in texts]
+    symbols = lambda s: [(s[max(0, p - ppm.DEPTH) : p], s[p]) for p in range(1, len(s))]
+    levels = [collections.defaultdict(collections.Counter) for _ in range(ppm.DEPTH + 1)]
+    for s, h in zip(streams, held):
+        for context, x in symbols(s) if not h else []:
+            levels[len(context)][context][x] += 1
+    for k in range(ppm.DEPTH, 0, -1):
+        for context, found in list(levels[k].items()):
+            for x in found:
+                levels[k - 1][context[1:]][x] += 1
+    bucket = lambda x: int(ppm._bucket(np.array([x]))[0])
+    new = np.zeros((ppm.DEPTH + 1, ppm.CLASSES, ppm.CLASSES, 2))
+    for k, level in enumerate(levels):
+        for found in level.values():
+            total, once = sum(found.values()), sum(c == 1 for c in found.values())
+            new[k, bucket(total - 1), bucket(len(found)), 0] += total - once
+            new[k, bucket(total - 1), bucket(len(found) - 1), 1] += once
+    escape = ppm.escape_odds(new)
+
+    def code(context, x):
+        out, gone = 0.0, set()
+        for k in range(len(context), -1, -1):
+            found = levels[k].get(context[len(context) - k :])
+            if found:
+                left = {a: c for a, c in found.items() if a not in gone}
+                odds = escape[k, bucket(sum(left.values())), bucket(len(left))] if left else 1.0
+                if x in left:
+                    return out + math.log10((1 - odds) * left[x] / sum(left.values()))
+                out += math.log10(odds)
+                gone |= set(found)
+        return out - math.log10(256 - len(gone))
+
+    for d, s in enumerate(streams):
+        assert math.isclose(got[d]["score"], sum(code(*x) for x in symbols(s)), rel_tol=1e-9), d
+
+
+def test_op4_scores_depend_on_the_order_of_words(spark, tmp_path):
+    from codegraph_spark.llm import queries
+
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 != 2][:20]
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows = [(k, "red fox runs far") for k in ids] + [(held[0], "red fox runs far"), (held[1], "far runs fox red")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.op4_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
 def test_language_id(spark):
     sample = {"en": "the and of that with this from have which", "fr": "le que les des est dans pour une avec", "de": "der und die nicht das ist mit auch sich"}
     r = random.Random(1)
