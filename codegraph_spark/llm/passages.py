@@ -9,7 +9,10 @@ the ``PASSAGE`` words from a content-defined anchor on, anchors being the words
 in a row. Whatever surrounds it, a passage of NEAR + PASSAGE words or more holds such a paragraph in full wherever it
 occurs. One changed word takes a fourth of the shingles of one so short, which leaves no similarity of 0.8 but 1, so
 these have one band, the hash of all their words, and need no verification. Their first places stay, too; places
-in the same document only count if they do not overlap the first.
+in the same document only count if they do not overlap the first. From each one that goes, the words shared to its left
+and right go with it: as far as the longer run, too, has a first place that is earlier, whichever that is. NEAR - 1
+words to each side are looked at. Where more are shared, another anchor is among them, so that of a run of
+NEAR + PASSAGE - 1 words or more that an earlier place has, no word stays.
 
 Words are compared in lower case (A-Z) and without regard to white space. Null texts stay null, texts without such
 paragraphs are not touched; rows without a doc_id are kept as they are; rows that repeat a doc_id are at the same
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import Rule, near_duplicates
-from .shared import saved
+from .shared import dropped, saved
 from .textkit import U64, lowered, mixed, pieces, prefix_sums, span_hashes, text_bytes, word_spans
 
 PARAGRAPH, PASSAGE, NEAR = 20, 24, 26
@@ -115,6 +118,50 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(find, "id long, text string")
 
 
+def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, first, left, right): of passages, by how many words to each side an earlier place has the same.
+
+    repeated: (id, doc_id, first): all places of the passages that are there more than once.
+    """
+    asked = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("first", "id")).alias("asked"))
+
+    def find(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, offsets = text_bytes(batch.column(1))
+            lists = batch.column(2)
+            for lo, hi in pieces(offsets):
+                own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
+                starts, ends, of = word_spans(own, at)
+                words = span_hashes(prefix_sums(own), starts, ends)
+                part = lists.slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
+                flat = part.flatten()
+                spot, name = of[doc] + flat.field("first").to_numpy(), flat.field("id").to_numpy()
+                here = np.flatnonzero(spot + PASSAGE <= of[doc + 1])
+                # Where a doc_id repeats, the place may be that of another text.
+                here = here[_run_hashes(words, spot[here], spot[here] + PASSAGE).view(np.int64) == name[here]]
+                spot, doc = spot[here], doc[here]
+                for sides in np.array_split(np.concatenate([-np.arange(1, NEAR), np.arange(1, NEAR)]), 5):
+                    by, place, of_doc = np.repeat(sides, len(spot)), np.tile(spot, len(sides)), np.tile(doc, len(sides))
+                    a, b = place + np.minimum(by, 0), place + PASSAGE + np.maximum(by, 0)
+                    fit = (a >= of[of_doc]) & (b <= of[of_doc + 1])
+                    hashes = _run_hashes(words, a[fit], b[fit]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[lo:hi][of_doc[fit]]), pa.array((place - of[of_doc])[fit]), pa.array(by[fit].astype(np.int32))], names=["run", "doc_id", "first", "by"])
+
+    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    runs = saved(known.join(asked, "doc_id").mapInArrow(find, "run long, doc_id long, first long, by int"), "longer-runs")
+    start = F.col("first") + F.least("by", F.lit(0))
+    origins = runs.groupBy("run").agg(F.min(F.struct("doc_id", start.alias("start"))).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
+    size = PASSAGE + F.abs("by")
+    later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") + size <= start))
+    shared = runs.join(saved(origins, "longer-origins"), "run").where(later)
+    out = shared.groupBy("doc_id", "first").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right"))
+    out = saved(out, "longer")
+    dropped(runs)
+    return out
+
+
 def removals(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, first, n, passage): the runs of words to remove."""
     found = saved(places(docs), "places")
@@ -128,7 +175,12 @@ def removals(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     first = own.groupBy("passage", "id").agg(F.min(F.struct("doc_id", "first", "n")).alias("origin"), F.count("*").alias("times"))
     first = saved(first.where("times > 1").drop("times"), "first-places")
     later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.first") + F.col("origin.n") <= F.col("first")))
-    return own.join(first, ["passage", "id"]).where(later).select("doc_id", "first", "n", "passage")
+    met = own.join(first, ["passage", "id"])
+    gone = met.where(later).select("doc_id", "first", "n", "passage")
+    longer = longer_runs(docs, met.where("passage").select("id", "doc_id", "first")).withColumn("passage", F.lit(True))
+    left, right = (F.coalesce(side, F.lit(0)) for side in ("left", "right"))
+    gone = gone.join(longer, ["doc_id", "first", "passage"], "left")
+    return gone.select("doc_id", (F.col("first") - left).alias("first"), (F.col("n") + left + right).alias("n"), "passage")
 
 
 def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:

@@ -145,6 +145,27 @@ def test_passages(docs, texts):
     assert got[22]["kept_sha256"] is None
 
 
+def test_passages_go_in_whole(spark):
+    """No word of a run of 50 that an earlier text has stays, whichever text that is, and no other word goes."""
+    r = random.Random(6)
+    new = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    rows, wanted = [], []
+    for size in list(range(50, 80)) * 2:
+        shared, tail = new(size), new(20)
+        seed = shared[10:40]
+        for own, gone in ((new(30) + seed + new(30), None), (new(40) + shared + new(25), None), (tail + shared + new(33), tail)):
+            rows.append((len(rows), " ".join(own)))
+            if gone:
+                wanted.append((len(rows) - 1, own[:20] + own[20 + size :]))
+    got = {x["doc_id"]: x["text"].split() for x in passages.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, want in wanted:
+        assert got[d] == want, d
+    words = new(70)
+    got = passages.dedup_passages(spark.createDataFrame([(1, " ".join(words + new(9) + words + ["end"])), (2, " ".join(["a"] * 400))], "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got}[1] == 70
+    assert len({x["doc_id"]: x["text"] for x in got}[2].split()) >= 24
+
+
 def test_ppm(docs, texts):
     got = {r["doc_id"]: r for r in ppm.score_folds(docs).collect()}
     tokens = [[*WORD.findall(lower(t)), None] for t in texts]
