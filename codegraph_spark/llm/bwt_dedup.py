@@ -33,6 +33,7 @@ from .textkit import U64, pieces, prefix_sums, power_tables, text_bytes
 
 LENGTH, GRAM = 50, 28
 SHARDS, DOCS_A_PART, REGIONS_A_TASK = 8, 2000, 4000
+PLACE_BITS = 24
 
 
 def _window_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,19 +47,25 @@ def _window_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     hashes ^= hashes >> U64(29)
     hashes *= U64(0xBF58476D1CE4E5B9)
     hashes ^= hashes >> U64(32)
-    # The place in the low bits breaks ties to the right; the few bits of the hash that go do not matter.
-    low = U64((1 << 24) - 1)
-    rank = (hashes & ~low) | (low - np.arange(len(hashes), dtype=U64))
-    size = 1
-    while size < near:
-        step = min(size, near - size)
-        rank[: len(rank) - step] = np.minimum(rank[: len(rank) - step], rank[step:])
-        size += step
+    # The place in the low bits breaks ties to the right; the few bits of the hash that go do not matter. Places are
+    # counted in slices that overlap by a string, so they fit, however long the texts are.
+    low = U64((1 << PLACE_BITS) - 1)
+    anchors = np.empty(n - length + 1, np.int64)
+    for lo in range(0, len(anchors), (1 << PLACE_BITS) - near):
+        part = hashes[lo : lo + (1 << PLACE_BITS) - 1]
+        rank = (part & ~low) | (low - np.arange(len(part), dtype=U64))
+        size = 1
+        while size < near:
+            step = min(size, near - size)
+            rank[: len(rank) - step] = np.minimum(rank[: len(rank) - step], rank[step:])
+            size += step
+        own = rank[: len(part) - near + 1]
+        anchors[lo : lo + len(own)] = (low - (own & low)).astype(np.int64) + lo
     fits = np.ones(n, bool)
     for cut in offsets[1:]:
         fits[max(0, cut - length + 1) : cut] = False
     starts = np.flatnonzero(fits[: n - length + 1])
-    return starts, (low - (rank[starts] & low)).astype(np.int64), hashes
+    return starts, anchors[starts], hashes
 
 
 def _runs(values: np.ndarray) -> np.ndarray:

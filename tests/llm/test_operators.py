@@ -76,6 +76,20 @@ def test_suffix_array_dedup(docs, texts):
         assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"], got[d]["kept_sha256"]) == (len(b), int(away.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_anchors_of_a_long_text(monkeypatch):
+    """Every string's anchor lies in it, in texts of more than 2**24 bytes too, and does not depend on the slices."""
+    r = np.random.default_rng(5)
+    near, size = bwt_dedup.LENGTH - bwt_dedup.GRAM + 1, (1 << 24) + 3000
+    starts, anchors, _ = bwt_dedup._window_anchors(r.integers(97, 123, size, np.uint8), np.array([0, size]), bwt_dedup.LENGTH)
+    assert len(starts) == size - bwt_dedup.LENGTH + 1
+    assert ((anchors >= starts) & (anchors < starts + near)).all()
+    data, cuts = np.concatenate([r.integers(97, 99, 900, np.uint8), np.full(700, 97, np.uint8)]), np.array([0, 300, 1000, 1600])
+    want = bwt_dedup._window_anchors(data, cuts, bwt_dedup.LENGTH)[:2]
+    monkeypatch.setattr(bwt_dedup, "PLACE_BITS", 8)
+    # Places of fewer bits leave more bits of the hash, which decide no tie between equal grams.
+    assert all((a == b).all() for a, b in zip(want, bwt_dedup._window_anchors(data, cuts, bwt_dedup.LENGTH)[:2]))
+
+
 def test_merge_of_transforms():
     r = random.Random(3)
     for _ in range(40):
