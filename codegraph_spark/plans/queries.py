@@ -261,6 +261,14 @@ def impact_risk(spark, sf_dir):
     return graph.impact_risk(graph.impact(at.edges, at.nodes.where("node_id % 250 = 0").select(F.col("node_id").alias("root")), 2))
 
 
+@_query("impact_risk_all")
+def impact_risk_all(spark, sf_dir):
+    at = Lens(spark, sf_dir)
+    roots = at.nodes.select(F.col("node_id").alias("root"))
+    found = graph.impact_risk(graph.impact(at.edges, roots, 2))
+    return roots.distinct().join(found, "root", "left").fillna(0, ["affected", "risk"])
+
+
 @_query("impact_top15", f", {_bfs(_ROOT, 'src', 'dst', 3)} SELECT node_id, distance FROM near ORDER BY distance, node_id LIMIT 15")
 def impact_top15(spark, sf_dir):
     return impact_forward_d3(spark, sf_dir).select("node_id", "distance").orderBy("distance", "node_id").limit(15)

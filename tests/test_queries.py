@@ -19,6 +19,25 @@ def test_same_rows(spark, small, duck, name):
     assert rows(QUERIES[name](spark, small).toPandas()) == rows(duck.sql(ORACLES[name]).df())
 
 
+def test_risk_of_every_node(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from codegraph_spark.plans import queries
+
+    edges = [(1, 2), (1, 2), (2, 3), (3, 4), (4, 1), (5, 5), (6, 1), (6, 2), (250, 1), (7, 999)]
+    nodes = [1, 2, 3, 4, 5, 6, 7, 8, 250]
+    tables = SimpleNamespace(nodes=spark.createDataFrame([(n,) for n in nodes], "node_id long"), edges=spark.createDataFrame(edges, "src long, dst long"))
+    monkeypatch.setattr(queries, "Lens", lambda *_: tables)
+    want = {}
+    for n in nodes:
+        near = {b for a, b in edges if a == n}
+        near = (near | {b for a, b in edges if a in near}) - {n}
+        want[n] = (len(near), round(min(math.log(len(near)) / 10, 1.0), 6) if near else 0.0)
+    got = QUERIES["impact_risk_all"](spark, "").collect()
+    assert len(got) == len(nodes)
+    assert {r["root"]: (r["affected"], r["risk"]) for r in got} == want
+
+
 def test_entry_imports_and_names_all_queries(spark):
     import __spark_entry__
 
