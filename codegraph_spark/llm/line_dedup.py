@@ -12,7 +12,8 @@ Windows are compared by the 64-bit hashes of all their lines. Minima per window
 the joins that bring them back are between two plain shuffles, which adaptive execution can split where a line is hot.
 
 Null texts stay null; rows without a doc_id are kept as they are and delete nothing; rows that repeat a doc_id are at
-the same places and so do not delete each other. Texts with fewer than ``run`` lines are never touched.
+the same places and so do not delete each other. Texts with fewer than ``run`` lines are never touched, unless ``words``
+is given: then shorter runs, down to one line, are windows too, if they have so many words.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import saved
-from .textkit import pieces, prefix_sums, span_hashes, sums_by, text_bytes
+from .textkit import pieces, prefix_sums, span_hashes, sums_by, text_bytes, word_spans
 
 RUN = 3
+WORDS = 5
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -88,18 +90,59 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     offset = F.posexplode(F.expr(f"transform(sequence(0, size(hash) - {run}), k -> struct(slice(hash, k + 1, {run}) as key, line[k] as lo, line[k + {run - 1}] as hi))")).alias("k", "w")
     grown = marks.join(often, "fp").select("doc_id", "first", offset).select("doc_id", (F.col("first") + F.col("k")).alias("place"), "w.*")
     grown = saved(grown, "windows")
-    first = saved(grown.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"), "origins")
+    return _later(grown, run)
+
+
+def _later(windows: DataFrame, run: int) -> DataFrame:
+    """(doc_id, lo, hi) of the windows that have an earlier first place; windows: (key, doc_id, place, lo, hi)."""
+    first = saved(windows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"), "origins")
     later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.place") + run <= F.col("place")))
-    return grown.join(first, "key").where(later).select("doc_id", "lo", "hi")
+    return windows.join(first, "key").where(later).select("doc_id", "lo", "hi")
+
+
+def short_windows(docs: DataFrame, run: int, words: int) -> DataFrame:
+    """(doc_id, lo, hi): the windows of ``run`` lines to delete, of those with at least ``words`` words.
+
+    A window is compared by the hashes of its lines and its number of bytes.
+    """
+
+    def find(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(batch.column(1))
+            for lo, hi in pieces(offsets):
+                own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                starts, ends, of = _lines(own, at)
+                begins, _, _ = word_spans(own, at)
+                size = np.searchsorted(begins, ends) - np.searchsorted(begins, starts)
+                full = size > 0
+                line = (np.arange(len(starts)) - np.repeat(of[:-1], np.diff(of)))[full]
+                doc = np.repeat(np.arange(hi - lo), np.diff(of))[full]
+                hashes = span_hashes(prefix_sums(own), starts[full], ends[full]).view(np.int64)
+                size, length = size[full], (ends - starts)[full]
+                n = max(len(doc) - run + 1, 0)
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (size, length)]
+                hit = np.flatnonzero((doc[:n] == doc[run - 1 :][:n]) & (sums[0][run:][:n] - sums[0][:n] >= words))
+                place = hit - np.searchsorted(doc, doc[hit])
+                key = np.stack([hashes[hit + k] for k in range(run)] + [sums[1][hit + run] - sums[1][hit]], axis=1)
+                cut = pa.array(np.arange(0, (len(hit) + 1) * (run + 1), run + 1, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, pa.array(key.ravel())), pa.array(ids[lo:hi][doc[hit]].astype(np.int64)), pa.array(place), pa.array(line[hit]), pa.array(line[hit + run - 1])], names=["key", "doc_id", "place", "lo", "hi"])
+
+    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    found = saved(known.mapInArrow(find, "key array<long>, doc_id long, place long, lo long, hi long"), "short-windows")
+    return _later(found, run)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """docs with repeated runs of lines deleted from text, and n_lines, n_removed (lines that are not white) added.
 
     Columns of docs of those two names are replaced; n_chars, if there is one, follows the text.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_windows(docs, run).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("llm_gone"))
+    gone = repeated_windows(docs, run)
+    for short in range(1, run if words else 1):
+        gone = gone.unionByName(short_windows(docs, short, words))
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("llm_gone"))
     gone = gone.withColumnRenamed("doc_id", "llm_id")
     joined = docs.select(*keep).join(gone, F.col("doc_id").cast("long") == F.col("llm_id"), "left").drop("llm_id")
     at = keep.index("text")
@@ -137,9 +180,9 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in keep else done
 
 
-def digest(docs: DataFrame, run: int = RUN) -> DataFrame:
+def digest(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; null for a null text)."""
-    done = dedup_lines(docs.select("doc_id", "text"), run)
+    done = dedup_lines(docs.select("doc_id", "text"), run, words)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -19,6 +19,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"), words=line_dedup.WORDS)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.digest(_table(spark, sf_dir, "documents"))
 

@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are deleted from the texts; documents of which nothing is left go."""
-    done = line_dedup.dedup_lines(docs)
+    done = line_dedup.dedup_lines(docs, words=line_dedup.WORDS)
     return done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
 
 

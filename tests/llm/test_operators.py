@@ -60,6 +60,27 @@ def test_line_dedup(docs, texts):
         assert got[d]["n_lines"] == len(own)
 
 
+def test_line_dedup_of_short_runs(docs, texts):
+    """Runs of one and two lines go too, if they have enough words."""
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, words=5).collect()}
+    plain = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\r\v\f")] for t in texts]
+    gone = [set() for _ in texts]
+    for run in (1, 2, 3):
+        first = {}
+        for d, own in enumerate(lines):
+            for p in range(len(own) - run + 1):
+                key = tuple(x for _, x in own[p : p + run])
+                if run < 3 and sum(len(WORD.findall(x)) for x in key) < 5:
+                    continue
+                o = first.setdefault(key, (d, p))
+                if o[0] < d or (o[0] == d and o[1] + run <= p):
+                    gone[d] |= set(range(own[p][0], own[p + run - 1][0] + 1))
+    for d, t in enumerate(texts):
+        assert got[d]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]))
+    assert sum(r["n_removed"] for r in got.values()) > sum(r["n_removed"] for r in plain.values())
+
+
 def test_suffix_array_dedup(docs, texts):
     got = {r["doc_id"]: r for r in bwt_dedup.digest(docs).collect()}
     seen = set()
