@@ -6,13 +6,15 @@ from a multinomial, from which what the sources have left is held back; the k-th
 ``permutation(k mod blocks)`` of pass ``k div blocks``. Slots and blocks then meet in one join by block index.
 
 Everything random is a function of ``seed``, so reruns agree. Null, empty and white texts have size 0 and are never
-taken. Rows that repeat a doc_id are separate documents only if they differ otherwise in nothing but place; as they
-cannot be told apart, they count as one document, with the largest of their sizes. A null source is a source of its own.
+taken. Rows that repeat a doc_id, or have none, are documents of their own: where there are such, a row is known by its
+doc_id, a hash of all its columns, and its number among equal rows. A null source is a source of its own.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,24 +90,39 @@ def permutation(k: np.ndarray, n: int, seed: int, inverse: bool = False) -> np.n
     return out
 
 
+KEY = ["doc_id", "llm_hash", "llm_copy"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with llm_hash and llm_copy, which with the doc_id are a row's KEY; both null if no doc_id repeats."""
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs.withColumns({name: F.lit(None).cast("long") for name in KEY[1:]})
+    hashed = docs.withColumns({"llm_hash": F.xxhash64(*docs.columns), "llm_second": F.xxhash64(F.lit(1), *docs.columns)})
+    number = F.row_number().over(Window.partitionBy("doc_id", "llm_hash").orderBy("llm_second")).cast("long")
+    return hashed.withColumn("llm_copy", number).drop("llm_second")
+
+
+def _same_key(a: DataFrame, b: DataFrame, names: list[str]):
+    """The condition that KEY of a is that of b, where it has those names."""
+    return functools.reduce(operator.and_, (a[x].eqNullSafe(b[y]) for x, y in zip(KEY, names, strict=True)))
+
+
 def stream_places(docs: DataFrame, rows_a_chunk: int = 4000) -> DataFrame:
-    """(doc_id, source, size, start): where each document's words start in the stream of its source.
+    """(*KEY, source, size, start): where each document's words start in the stream of its source.
 
     The running sum is made in two levels, over chunks of a source and inside a chunk, so that a hot source is
     spread over as many tasks as it has chunks.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    one = sized.groupBy("doc_id").agg(F.max_by(F.struct("source", "size"), F.struct("size", F.coalesce("source", F.lit("")))).alias("x")).select("doc_id", "x.source", "x.size")
-    one = saved(one, "sized")
+    one = saved(keyed(docs).select(*KEY, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
     chunks = max(1, one.count() // rows_a_chunk)
-    placed = one.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    placed = one.withColumn("chunk", F.pmod(F.xxhash64(*KEY), F.lit(chunks)))
     of = lambda *c: [F.coalesce("source", F.lit("")), F.col("source").isNull(), *c]
     sums = placed.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = sums.withColumn("base", F.sum("words").over(Window.partitionBy(*of()).orderBy("chunk")) - F.col("words"))
-    inside = F.sum("size").over(Window.partitionBy(*of("chunk")).orderBy(F.col("doc_id").asc_nulls_first())) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy(*of("chunk")).orderBy(*(F.col(name).asc_nulls_first() for name in KEY))) - F.col("size")
     rows = placed.withColumn("inside", inside)
     before = before.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "base")
-    return rows.join(before, rows["source"].eqNullSafe(before["s"]) & (rows["chunk"] == before["c"])).select("doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("start"))
+    return rows.join(before, rows["source"].eqNullSafe(before["s"]) & (rows["chunk"] == before["c"])).select(*KEY, "source", "size", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def plan_sources(places: DataFrame, block: int, **how) -> list[MixPlan]:
@@ -172,7 +189,7 @@ def slots(spark: SparkSession, plans: list[MixPlan], block: int, shard_slots: in
 
 def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, seed: int = 7, **how) -> tuple[DataFrame, list[MixPlan], DataFrame]:
     """(parts, plans, places). parts has a row for each part of a document that a slot takes:
-    (shard, slot, pass_no, doc_id, first_word, n_words), words counted from the document's first.
+    (shard, slot, pass_no, *KEY, first_word, n_words), words counted from the document's first.
     """
     spark = docs.sparkSession
     places = saved(stream_places(docs), "places")
@@ -182,11 +199,11 @@ def mix(docs: DataFrame, block: int = 256, shard_slots: int = 4096, seed: int =
     # The names are as few as the sources, which plan_sources has just counted on the driver.
     known = places.where("size > 0").join(F.broadcast(names), places["source"].eqNullSafe(names["name"]))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    cut = known.select("doc_id", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
+    cut = known.select(*KEY, "src", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
     lo = F.greatest(F.col("start"), F.col("block_no") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("block_no") * block + F.least(F.lit(block).cast("long"), F.col("words")))
     met = cut.join(dealt.hint("merge"), ["src", "block_no"])  # there are as many slots as blocks: never a broadcast
-    parts = met.select("shard", "slot", "pass_no", "doc_id", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words")).where("n_words > 0")
+    parts = met.select("shard", "slot", "pass_no", *KEY, (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words")).where("n_words > 0")
     return parts, plans, places
 
 
@@ -194,11 +211,12 @@ def mix_digest(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source: a row a document."""
     parts, plans, places = mix(docs, **how)
     spark = docs.sparkSession
-    taken = parts.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
+    taken = parts.groupBy(*KEY).agg(F.sum("n_words").alias("taken"))
     goal = spark.createDataFrame([(p.source, p.size, p.target) for p in plans], "name string, source_size long, target double")
     rows = places.join(F.broadcast(goal), places["source"].eqNullSafe(goal["name"]), "left")
-    taken = taken.select(F.col("doc_id").alias("d"), "taken")
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["d"]), "left")
+    names = [f"{name}_taken" for name in KEY]
+    taken = taken.toDF(*names, "taken")
+    rows = rows.join(taken, _same_key(rows, taken, names), "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
@@ -210,11 +228,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     parts, _, _ = mix(docs, **how)
     names = docs.columns
-    spans = parts.groupBy("doc_id", "pass_no").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("llm_passes"))
-    spans = spans.select(F.col("doc_id").alias("llm_id"), "llm_passes")
-    one = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    joined = one.join(spans, one["doc_id"].eqNullSafe(spans["llm_id"])).drop("llm_id")
+    spans = parts.groupBy(*KEY, "pass_no").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
+    spans = spans.groupBy(*KEY).agg(F.collect_list("spans").alias("llm_passes"))
+    taken = [f"{name}_taken" for name in KEY]
+    spans, one = spans.toDF(*taken, "llm_passes"), keyed(docs)
+    joined = one.join(spans, _same_key(one, spans, taken)).select(*names, "llm_passes")
 
     def cut(batches):
         for batch in batches:

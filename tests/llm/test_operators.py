@@ -333,6 +333,26 @@ def test_mixing(docs, texts):
     assert words == collections.Counter({d: r["taken"] for d, r in got.items() if r["taken"]})
 
 
+def test_mixing_of_rows_without_own_ids(spark):
+    """Rows with a null or repeated doc_id all take part, each with its own text."""
+    rows = [(None if k % 3 == 0 else k % 4, " ".join(f"t{min(k, 30)}w{j}" for j in range(5 + min(k, 30)))) for k in range(36)]
+    frame = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    got = mixing.mix_digest(frame, block=8, shard_slots=16).collect()
+    assert sorted(r["size"] for r in got) == sorted(len(t.split()) for _, t in rows)
+    want, out = collections.Counter(), collections.Counter()
+    for r in got:
+        want[r["doc_id"]] += r["taken"]
+    known = collections.Counter((d, w) for d, t in rows for w in t.split())
+    for r in mixing.mixed_documents(frame, block=8, shard_slots=16).collect():
+        for w in r["text"].split():
+            out[r["doc_id"], w] += 1
+    total = collections.Counter()
+    for (d, _), n in out.items():
+        total[d] += n
+    assert total == want
+    assert all(n <= 2 * known[x] for x, n in out.items())
+
+
 def test_targets_are_reshared():
     assert mixing.targets([10, 1000, 10]) == [20.0, 1490.0, 20.0]
     assert mixing.targets([]) == []
