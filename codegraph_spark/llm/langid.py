@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +42,13 @@ class LanguageFilter:
 
 def _grams(column: pa.Array):
     """(documents, their offsets, n-grams) of each piece: n-grams of N bytes over letters, all else as one blank."""
-    import pyarrow.compute as pc
-
-    padded = pc.binary_join_element_wise(pa.scalar(" "), pc.fill_null(column.cast(pa.string()), ""), pa.scalar(" "), "")
-    data, offsets = text_bytes(padded)
-    for lo, hi in pieces(offsets):
-        own = _CLEAN[data[offsets[lo] : offsets[hi]]]
-        at = offsets[lo : hi + 1] - offsets[lo]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in pieces(np.concatenate([[0], np.cumsum(sizes)])):  # a batch may hold 64 MB: only pieces are copied
+        part = pc.fill_null(column.slice(lo, hi - lo).cast(pa.string()), "")
+        data, at = text_bytes(pc.binary_join_element_wise(pa.scalar(" "), part, pa.scalar(" "), ""))
+        own = _CLEAN[data]
         wide = own.astype(np.uint32)
         grams = np.zeros(len(own), np.uint32)
         for k in range(N):
@@ -117,10 +118,14 @@ def shares(column: pa.Array, known: LanguageFilter) -> np.ndarray:
 
 
 def _has_letter(column: pa.Array) -> np.ndarray:
-    data, offsets = text_bytes(column)
-    small = lowered(data)
-    plain = sums_by(((small >= 0x61) & (small <= 0x7A)).astype(np.int64), offsets) > 0
-    for d in np.flatnonzero(~plain & (np.diff(offsets) > 0)):
+    plain = np.zeros(len(column), bool)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in pieces(np.concatenate([[0], np.cumsum(sizes)])):
+        data, at = text_bytes(column.slice(lo, hi - lo))
+        small = lowered(data)
+        seen = np.append((small >= 0x61) & (small <= 0x7A), False)  # the last one is for empty texts at the end
+        plain[lo:hi] = np.logical_or.reduceat(seen, at[:-1]) & (np.diff(at) > 0)
+    for d in np.flatnonzero(~plain & (sizes > 0)):
         plain[d] = any(c.isalpha() for c in column[int(d)].as_py())
     return plain
 
@@ -161,5 +166,7 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1, **how) -> DataF
 def kept(docs: DataFrame, least: float = 0.02, **how) -> DataFrame:
     """The rows of docs whose language is told with a share of at least ``least``; ``und`` goes. Columns stay."""
     known = learn(docs.select("text", "lang"), **how)
-    told = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), known)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    names = {name: f"llm_{k}" for k, name in enumerate(docs.columns) if name != "text"}  # none clashes with the new ones
+    told = predict(docs.withColumnsRenamed(names), known)
+    back = [F.col(names.get(name, name)).alias(name) for name in docs.columns]
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*back)

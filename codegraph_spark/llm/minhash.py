@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import saved
-from .textkit import U64, lowered, mixed, pieces, prefix_sums, shingle_hashes, span_hashes, text_bytes, word_spans
+from .textkit import U64, distinct, lowered, mixed, pieces, prefix_sums, shingle_hashes, span_hashes, text_bytes, word_spans
 
 MINIMA, BITS, CHUNK, MEMBERS = 128, 2, 512, 256
 PLANES = MINIMA * BITS // 64
@@ -67,7 +67,7 @@ def text_sets(column: pa.Array, width: int):
         own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
         starts, ends, of = word_spans(own, at)
         grams, of = shingle_hashes(span_hashes(prefix_sums(own), starts, ends), of, width)
-        sets = [np.unique(grams[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
+        sets = [distinct(grams[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
         yield lo, hi, np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.concatenate(sets) if sets else grams
 
 

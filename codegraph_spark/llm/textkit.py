@@ -24,6 +24,12 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is far faster here than np.unique(), which hashes them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
