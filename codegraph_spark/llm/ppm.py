@@ -10,85 +10,92 @@ from all contexts with about as many occurrences and distinct symbols: by how of
 would be new there. The score is the log10 probability of the text. Beside it stands that of a word unigram model with
 add-one smoothing.
 
-Nothing of the model is gathered in one place. Words are counted over all training texts; the trie lies dealt over
-tasks by the last two bytes of its contexts, so that each context is with all shorter ones but those of one byte, which
-are a table of 256 by 256 counts. Each batch of texts asks for the grams and words in it and gets the grams' code
-lengths and the words' counts back. Words meet under 64-bit hashes.
-
-Without ``across``, contexts end at the beginning of a word: the model then spells words one by one, the end is coded
-after a blank alone, and the vocabulary asks for grams instead of the batches.
-
-Null and empty texts have their end only. Rows that repeat a doc_id are texts of their own. With nothing to learn from,
-all symbols are alike.
+Nothing of the model is gathered in one place. The trie lies dealt over ``home`` tasks by the last two bytes of its
+contexts, so that each context is with all shorter ones but those of one byte, which are a table of 256 by 256 counts;
+words are dealt by their hashes. Texts go through in batches of some megabytes. A batch sends each home the distinct
+grams and words that it has of it, with their counts in its training texts, as one packed row; homes add these up and
+send the code lengths and counts back, packed as well. So no row stands for a single gram, what crosses the network is
+what batches have distinct, and no task holds more than the distinct grams of a home and one packed row at a time.
+Words meet under 64-bit hashes.
+
+Without ``across``, contexts end at the beginning of a word: the model then spells words one by one, and the end is
+coded after a blank alone.
+
+Null and empty texts have their end only. Rows that repeat a doc_id, or have none, are texts of their own; texts longer
+than a batch are a batch of their own. With nothing to learn from, all symbols are alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, saved
-from .textkit import U64, lowered, pieces, prefix_sums, span_hashes, text_bytes, word_spans
+from .textkit import U64, distinct, lowered, mixed, pieces, prefix_sums, span_hashes, text_bytes, word_spans
 
 DEPTH = 6
-BATCH = 3 << 20
+BATCH = 20 << 20
+FRACTION = 36
+BYTES_A_HOME = 2 << 20
+ROWS_A_MERGE = 64
 END = 0x0A
-END_HASH = -1
-GRAMS_A_PART = 500_000
 
 
 def _mask(bytes_: int) -> np.uint64:
     return U64((1 << (8 * bytes_)) - 1)
 
 
-def batches_of(docs: DataFrame, across: bool = False) -> DataFrame:
-    """Batches of whole texts. docs: (doc_id, text, held_out).
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes: their number and width, then compressed, all first bytes first."""
+    values = np.ascontiguousarray(values)
+    raw = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.array([len(values), values.itemsize], np.int32).tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-    A row a batch: its number; the documents' ids, flags, numbers of tokens and of distinct words; for each of their
-    distinct words its place in the batch's word list and how often it is there; and the word list: hash, word, count
-    in training texts. With ``across``, also the documents' symbols, as symbols_of() gives them, and how many each has.
-    """
 
-    def count(parts):
-        number = TaskContext.get().partitionId() << 32
-        for batch in parts:
-            held = np.asarray(batch.column(2)).astype(bool)
-            data, offsets = text_bytes(batch.column(1))
-            for lo, hi in pieces(offsets, BATCH):
-                own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
-                starts, ends, of = word_spans(own, at)
-                hashes = span_hashes(prefix_sums(own), starts, ends).view(np.int64)
-                words, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-                doc = np.repeat(np.arange(hi - lo), np.diff(of))
-                pair, times = np.unique((doc.astype(np.int64) << 32) | place, return_counts=True)
-                train = np.bincount(place, ~held[lo:hi][doc], len(words)).astype(np.int64)
-                number += 1
-                row = {
-                    "batch": number,
-                    "doc_id": batch.column(0).slice(lo, hi - lo).to_pylist(),
-                    "held_out": held[lo:hi],
-                    "n_tokens": np.diff(of) + 1,
-                    "n_words": np.bincount(pair >> 32, minlength=hi - lo),
-                    "place": (pair & 0xFFFFFFFF).astype(np.int32),
-                    "times": times.astype(np.int32),
-                    "hash": words,
-                    "word": [own[a:b].tobytes() for a, b in zip(starts[first], ends[first], strict=True)],
-                    "train": train,
-                }
-                if across:
-                    flat, sizes = symbols_of(own, starts, ends, of)
-                    row |= {"flat": [flat.tobytes()], "sizes": [sizes]}
-                yield pa.RecordBatch.from_arrays([pa.array(row[f.name] if f.name in ("flat", "sizes") else [row[f.name]], f.type) for f in schema], schema=schema)
-
-    def listed(kind):
-        return pa.list_(kind)
-
-    schema = pa.schema([("batch", pa.int64()), ("doc_id", listed(pa.int64())), ("held_out", listed(pa.bool_())), ("n_tokens", listed(pa.int64())), ("n_words", listed(pa.int64())), ("place", listed(pa.int32())), ("times", listed(pa.int32())), ("hash", listed(pa.int64())), ("word", listed(pa.binary())), ("train", listed(pa.int64())), *([("flat", pa.binary()), ("sizes", listed(pa.int64()))] if across else [])])
-    return docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(count, "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_words array<long>, place array<int>, times array<int>, hash array<long>, word array<binary>, train array<long>" + (", flat binary, sizes array<long>" if across else ""))
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, width = np.frombuffer(data, np.int32, 2).tolist()
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(data[8:], n * width, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+def ascending(values: np.ndarray) -> bytes:
+    """packed() for sorted integers: what each adds to the one before."""
+    return packed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpacked_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, U64), dtype=U64)
+
+
+def coded(place: np.ndarray, values: np.ndarray) -> bytes:
+    """values[place], few of which are distinct, as places among those that are used, and these. values: sorted, none
+    above zero; they travel as whole multiples of 2**-FRACTION."""
+    used = distinct(place)
+    narrow = np.uint16 if len(used) < 1 << 16 else np.uint32
+    head = ascending(np.rint(-values[used][::-1] * 2.0**FRACTION).astype(U64))
+    return np.array([len(head)], np.int64).tobytes() + head + packed(np.searchsorted(used, place).astype(narrow))
+
+
+def uncoded(data: bytes) -> np.ndarray:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    place = data[8 + size :]
+    values = -(unpacked_ascending(data[8 : 8 + size])[::-1] / 2.0**FRACTION)
+    return values[unpacked(place, np.uint16 if np.frombuffer(place, np.int32, 2)[1] == 2 else np.uint32)]
+
+
+def tally(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and the sums of their weights."""
+    if not len(keys):
+        return keys, weights
+    order = np.argsort(keys)
+    keys = keys[order]
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[cuts], np.add.reduceat(weights[order], cuts)
 
 
 def symbols_of(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,31 +113,133 @@ def symbols_of(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.nda
     return flat, sizes
 
 
-def text_grams(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, order, document) of each symbol but the documents' first blanks, packed as word_grams() does."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[doc]
-    at = np.flatnonzero(inside > 0)
-    order = np.minimum(inside[at], DEPTH)
-    wide, gram = flat.astype(U64), np.zeros(len(at), U64)
-    for k in range(DEPTH + 1):
-        gram |= np.where(k <= order, wide[np.maximum(at - k, 0)], U64(0)) << U64(8 * k)
-    return gram, order, doc[at]
-
+def text_grams(flat: np.ndarray, sizes: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, document) of each symbol but the documents' first blanks.
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, order, word) of each symbol: the symbol and its context, packed to one integer, the last byte lowest."""
-    flat = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(U64)
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
+    A gram is the symbol and its context packed to one integer. From the highest byte on: the up to DEPTH bytes before
+    the symbol, the nearest first; the symbol; the order, the length of the context. So grams of like contexts are
+    neighbours, and those of a home lie in runs.
+    """
     begin = np.cumsum(sizes) - sizes
-    at = np.arange(1, len(flat))
-    order = np.minimum(at - begin[word], DEPTH)
-    gram = np.zeros(len(at), U64)
-    for k in range(DEPTH + 1):
-        seen = at - k >= 0
-        gram[seen] |= np.where(k <= order[seen], flat[at[seen] - k], U64(0)) << U64(8 * k)
-    return gram, order, word
+    gram = np.ndarray(len(flat), "<u8", np.append(np.zeros(8, np.uint8), flat), strides=(1,)) & _top(DEPTH)
+    gram |= (flat.astype(U64) << U64(8)) | U64(DEPTH)
+    if across:
+        fewer = np.concatenate([begin[sizes > k] + k for k in range(DEPTH)])
+        order = np.repeat(np.arange(DEPTH), [int((sizes > k).sum()) for k in range(DEPTH)])
+    else:
+        at = np.arange(len(flat))
+        order = at - np.append(0, np.maximum.accumulate(np.where(flat == 0x20, at, 0))[:-1])
+        fewer = np.flatnonzero(order < DEPTH)
+        order = order[fewer]
+    tops = np.array([_top(k) for k in range(DEPTH + 1)], U64)
+    gram[fewer] = (gram[fewer] & (tops[order] | U64(0xFF00))) | order.astype(U64)
+    return np.delete(gram, begin), np.repeat(np.arange(len(sizes)), sizes - 1)
+
+
+def _top(bytes_: int) -> np.uint64:
+    return U64(((1 << (8 * bytes_)) - 1) << (64 - 8 * bytes_))
+
+
+def parted(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the symbol in the lowest byte and then its context, from the nearest byte on; order) of grams."""
+    own = np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)
+    out = np.zeros((len(gram), 8), np.uint8)
+    out[:, 0], out[:, 1:7] = own[:, 1], own[:, :1:-1]
+    return out.view(U64).ravel(), own[:, 0].astype(np.int64)
+
+
+def gram_tally(gram: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tally() of grams, train being 0 or 1: sorts them with that in a free bit."""
+    both = np.sort(gram | (train.astype(U64) << U64(7)))
+    gram = both & ~U64(0x80)
+    cuts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+    return gram[cuts], np.add.reduceat((both >> U64(7)) & U64(1), cuts).astype(np.uint32) if len(cuts) else np.zeros(0, np.uint32)
+
+
+def _homes(parts: int) -> np.ndarray:
+    """The home of each context's last two bytes, the nearest one higher."""
+    return (mixed(np.arange(1 << 16, dtype=U64) + U64(0x51ED270B)) % U64(parts)).astype(np.int64)
+
+
+def _home_of(gram: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    return homes[(gram >> U64(48)).astype(np.int64)]
+
+
+def _home_of_word(words: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(words) % U64(parts)).astype(np.int64)
+
+
+def _by_home(home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, used homes, cuts): places sorted by home, and where each used home's lie in that order."""
+    order = np.argsort(home, kind="stable")
+    own = home[order]
+    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
+    return order, own[cuts[:-1]], cuts
+
+
+def _word_hashes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of the words among symbols."""
+    starts, ends, of = word_spans(flat, np.append(0, np.cumsum(sizes)))
+    return span_hashes(prefix_sums(flat), starts, ends), np.repeat(np.arange(len(sizes)), np.diff(of))
+
+
+ASKED = "home int, batch long, grams binary, counts binary, words binary, word_counts binary"
+TEXTS = "batch long, doc_id array<long>, held_out array<boolean>, flat binary, sizes array<long>"
+
+
+def _asked_rows(number: int, grams: list, words: list, homes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """What a batch asks its homes for. grams, words: (keys, counts) of its pieces."""
+    gram, count = tally(*(np.concatenate(x) for x in zip(*grams, strict=True)))
+    word, times = tally(*(np.concatenate(x) for x in zip(*words, strict=True)))
+    order, used, cuts = _by_home(_home_of(gram, homes))
+    w_order, w_used, w_cuts = _by_home(_home_of_word(word, parts))
+    at, w_at = ({int(h): o[a:b] for h, a, b in zip(u, c[:-1], c[1:], strict=True)} for o, u, c in ((order, used, cuts), (w_order, w_used, w_cuts)))
+    all_homes, none = sorted(at.keys() | w_at.keys()), np.zeros(0, np.int64)
+    rows = [(ascending(gram[g]), packed(count[g]), ascending(word[w]), packed(times[w])) for g, w in ((at.get(h, none), w_at.get(h, none)) for h in all_homes)]
+    columns = [pa.array(all_homes, pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(4))]
+    return pa.RecordBatch.from_arrays(columns, names=["home", "batch", "grams", "counts", "words", "word_counts"])
+
+
+def batches_of(docs: DataFrame, parts: int, across: bool) -> DataFrame:
+    """Batches of whole texts: rows with their texts as symbols (home is null) and what they ask of each home.
+
+    docs: (doc_id, text, held_out).
+    """
+    names = ["home", "batch", "doc_id", "held_out", "flat", "sizes", "grams", "counts", "words", "word_counts"]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+
+    def run(arrow):
+        homes, number, size, grams, words = _homes(parts), TaskContext.get().partitionId() << 32, 0, [], []
+
+        def filled(found: dict):
+            n = len(next(iter(found.values())))
+            return pa.RecordBatch.from_arrays([pa.array(found[x], t) if x in found else pa.nulls(n, t) for x, t in zip(names, kinds, strict=True)], names=names)
+
+        def asked():
+            found = _asked_rows(number, grams, words, homes, parts)
+            return filled({x: found.column(x) for x in found.schema.names})
+
+        for batch in arrow:
+            held = np.asarray(batch.column(2)).astype(bool)
+            data, offsets = text_bytes(batch.column(1))
+            for lo, hi in pieces(offsets):
+                own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
+                flat, sizes = symbols_of(own, *word_spans(own, at))
+                train = (~held[lo:hi]).astype(np.uint32)
+                gram, doc = text_grams(flat, sizes, across)
+                grams.append(gram_tally(gram, train[doc]))
+                word, doc = _word_hashes(flat, sizes)
+                words.append(tally(word, train[doc]))
+                yield filled({"batch": [number], "doc_id": [batch.column(0).slice(lo, hi - lo).to_pylist()], "held_out": [held[lo:hi]], "flat": [packed(flat)], "sizes": [sizes]})
+                size += len(flat)
+                if size >= BATCH:
+                    yield asked()
+                    number, size, grams, words = number + 1, 0, [], []
+        if grams:
+            yield asked()
+
+    schema = "home int, batch long, doc_id array<long>, held_out array<boolean>, flat binary, sizes array<long>, grams binary, counts binary, words binary, word_counts binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, schema)
 
 
 def _bucket(x: np.ndarray) -> np.ndarray:
@@ -142,30 +251,30 @@ def _bucket(x: np.ndarray) -> np.ndarray:
 CLASSES = 31
 
 
-def _levels(gram: np.ndarray, order: np.ndarray, count: np.ndarray, pairs: np.ndarray):
-    """From the longest order down: (order, grams, their counts, contexts, the context of each gram)."""
+def _levels(gram: np.ndarray, order: np.ndarray, count: np.ndarray, pairs: np.ndarray | None, lowest: int = 0):
+    """From the longest order down to ``lowest``: (order, grams, their counts, contexts, the context of each gram)."""
     keys = np.zeros(0, U64)
-    for k in range(DEPTH, -1, -1):
+    for k in range(DEPTH, lowest - 1, -1):
         if k >= 2:
             own = (order == k) & (count > 0)
             wide, times = np.concatenate([gram[own], keys & _mask(k + 1)]), np.concatenate([count[own], np.ones(len(keys))])
-            keys, place = np.unique(wide, return_inverse=True)
-            times = np.bincount(place, times, len(keys))
+            keys, times = tally(wide, times)
         else:
             table = pairs.ravel() if k else (pairs > 0).sum(axis=0)
             keys = np.flatnonzero(table).astype(U64)
             times = table[keys.astype(np.int64)].astype(float)
-        contexts, of = np.unique(keys >> U64(8), return_inverse=True)
+        contexts, of = keys >> U64(8), np.zeros(len(keys), np.int64)  # sorted, as the keys are
+        if len(keys):
+            new = np.append(True, contexts[1:] != contexts[:-1])
+            contexts, of = contexts[new], np.cumsum(new) - 1
         yield k, keys, times, contexts, of
 
 
-def novelty(gram: np.ndarray, order: np.ndarray, count: np.ndarray, pairs: np.ndarray, lowest: int) -> np.ndarray:
+def novelty(gram: np.ndarray, order: np.ndarray, count: np.ndarray, pairs: np.ndarray | None, lowest: int) -> np.ndarray:
     """(order, class of n, class of q, 2): of the occurrences in contexts that would have n others, of q kinds, how many
     would be known and how many new there. For the orders from ``lowest`` on."""
     out = np.zeros((DEPTH + 1, CLASSES, CLASSES, 2))
-    for k, _, times, contexts, of in _levels(gram, order, count, pairs):
-        if k < lowest:
-            break
+    for k, _, times, contexts, of in _levels(gram, order, count, pairs, lowest):
         n, q = np.bincount(of, times, len(contexts)), np.bincount(of, minlength=len(contexts))
         once = np.bincount(of, times == 1, len(contexts))
         np.add.at(out, (k, _bucket(n - 1), _bucket(q), 0), n - once)
@@ -213,170 +322,151 @@ def code_lengths(gram: np.ndarray, order: np.ndarray, count: np.ndarray, pairs:
     return out
 
 
-def vocabulary(batches: DataFrame) -> DataFrame:
-    """(hash, word, count): all words, with their counts in training texts."""
-    each = batches.select(F.explode(F.arrays_zip("hash", "word", "train")).alias("w")).select("w.*")
-    return each.groupBy("hash").agg(F.first("word").alias("word"), F.sum("train").alias("count"))
+def _merged(asked: DataFrame, batches: int) -> DataFrame:
+    """(home, grams, counts, words, word_counts): sums over all batches, in steps of ROWS_A_MERGE rows or so."""
 
+    def merge(table):
+        read = lambda name, f: [f(x) for x in table.column(name).to_pylist()]
+        out = {"home": table.column("home").slice(0, 1)}
+        for keys, counts in (("grams", "counts"), ("words", "word_counts")):
+            key, count = tally(np.concatenate(read(keys, unpacked_ascending)), np.concatenate([unpacked(x, kind).astype(U64) for x, kind in zip(read(counts, bytes), widths(table.column(counts)), strict=True)]))
+            out |= {keys: pa.array([ascending(key)], pa.binary()), counts: pa.array([packed(count)], pa.binary())}
+        return pa.table(out)
 
-def gram_codes(asked: DataFrame, ends: int, parts: int = 0) -> tuple[DataFrame, float]:
-    """(part, gram, order, code) for asked grams: the model's log10 probabilities, and that of an end after a blank alone.
+    def widths(column):
+        return [np.uint32 if np.frombuffer(x, np.int32, 2)[1] == 4 else U64 for x in column.to_pylist()]
 
-    asked: (part, gram, order, count), count being that in the part's training texts; deleted when it has been answered.
-    ends: how many ends after a blank alone there are besides; parts: in how many parts the trie is dealt.
-    """
-    grams = saved(asked.groupBy("gram", "order").agg(F.sum("count").alias("count")), "grams")
-    parts = parts or max(1, grams.count() // GRAMS_A_PART)
-    counted = grams.withColumn("home", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(parts)))
-    seen = counted.where("count > 0")
-    threes = seen.where("order > 1").select(F.col("gram").bitwiseAND(0xFFFFFF).alias("x")).distinct().select(F.col("x").bitwiseAND(0xFFFF).alias("two"), F.lit(1).alias("n"))
-    firsts = seen.where("order = 1").select(F.col("gram").alias("two"), F.col("count").alias("n"))
-    last_two = threes.unionByName(firsts).groupBy("two").agg(F.sum("n").alias("n")).toPandas()
-    pairs = np.zeros(1 << 16, np.int64)  # 256 by 256, whatever the input
-    pairs[last_two["two"].to_numpy()] = last_two["n"].to_numpy()
-    pairs[0x2000 + END] += ends
-    pairs = pairs.reshape(256, 256)
-
-    def rows_of(table):
-        return table.column("gram").to_numpy().view(U64), table.column("order").to_numpy(), table.column("count").to_numpy()
-
-    def left_out(table):
-        new = novelty(*rows_of(table), pairs, 2)
-        at = np.argwhere(new.any(axis=-1))
-        cell = np.ravel_multi_index(at.T, new.shape[:-1]) if len(at) else np.zeros(0, np.int64)
-        found = new.reshape(-1, 2)[cell]
-        return pa.table({"cell": cell.astype(np.int64), "known": found[:, 0], "fresh": found[:, 1]})
-
-    cells = seen.groupBy("home").applyInArrow(left_out, "cell long, known double, fresh double").groupBy("cell").agg(F.sum("known").alias("known"), F.sum("fresh").alias("fresh")).toPandas()
-    nothing = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    new = novelty(*nothing, pairs, 0)  # orders 0 and 1; the other cells are (DEPTH + 1) * CLASSES ** 2 at most
-    new.reshape(-1, 2)[cells["cell"].to_numpy()] += cells[["known", "fresh"]].to_numpy()
-    escape = escape_odds(new)
-
-    def code(table):
-        gram, order, count = rows_of(table)
-        return pa.table({"gram": gram.view(np.int64), "order": order, "code": code_lengths(gram, order, count, pairs, escape)})
-
-    codes = saved(counted.groupBy("home").applyInArrow(code, "gram long, order int, code double"), "codes")
-    dropped(grams)
-    answers = saved(asked.join(codes, ["gram", "order"]).select("part", "gram", "order", "code"), "answers")
-    dropped(asked, codes)
-    end = float(code_lengths(np.array([0x2000 + END], U64), np.array([1]), np.array([0]), pairs, escape)[0])
-    return answers, end
-
-
-def word_scores(words: DataFrame, ends: int, parts: int) -> tuple[DataFrame, float]:
-    """(hash, count, code), the model's log10 probability of each word, and that of an end.
-
-    words: as vocabulary() gives them; ends: how many training texts there are; parts: in how many parts the vocabulary
-    and the trie are dealt.
-    """
-    # Words that begin alike ask for the same grams, so they are dealt by their first bytes.
-    placed = words.withColumn("part", F.pmod(F.xxhash64(F.substring("word", 1, 4)), F.lit(parts)).cast("int"))
+    kept = asked.select("home", "grams", "counts", "words", "word_counts", "batch")
+    while batches > ROWS_A_MERGE:
+        batches = -(-batches // ROWS_A_MERGE)
+        kept = kept.withColumn("batch", F.pmod(F.xxhash64("batch", F.lit(batches)), F.lit(batches)))
 
-    def ask(key, table):
-        gram, order, word = word_grams(table.column("word").to_pylist())
-        packed, place = _unique(gram, order)
-        count = np.bincount(place, table.column("count").to_numpy()[word], len(packed[0])).astype(np.int64)
-        return pa.table({"part": np.full(len(count), key[0].as_py(), np.int32), "gram": packed[0].view(np.int64), "order": packed[1], "count": count})
+        def step(key, table):
+            return merge(table).append_column("batch", pa.array([key[1].as_py()], pa.int64()))
 
-    asked = saved(placed.groupBy("part").applyInArrow(ask, "part int, gram long, order int, count long"), "grams-asked")
-    answers, end = gram_codes(asked, ends, parts)
+        kept = kept.groupBy("home", "batch").applyInArrow(step, "home int, grams binary, counts binary, words binary, word_counts binary, batch long")
+    return kept.drop("batch").groupBy("home").applyInArrow(merge, "home int, grams binary, counts binary, words binary, word_counts binary")
 
-    def add_up(table, answers):
-        sort = np.lexsort((answers.column("gram").to_numpy().view(U64), answers.column("order").to_numpy()))
-        codes = answers.column("code").to_numpy()[sort]  # in the order that _unique() gives
-        gram, order, word = word_grams(table.column("word").to_pylist())
-        _, place = _unique(gram, order)
-        return pa.table({"hash": table.column("hash"), "count": table.column("count"), "code": np.bincount(word, codes[place], table.num_rows)})
 
-    scored = placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(add_up, "hash long, count long, code double")
-    return scored, end
+def _home_grams(grams: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return *parted(unpacked_ascending(grams)), unpacked(counts, U64).astype(np.int64)
 
 
-def _unique(gram: np.ndarray, order: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (gram, order), sorted by order and then gram, and where each row is among them. A gram of DEPTH + 1
-    bytes leaves the highest byte free for the order."""
-    both, place = np.unique(gram | (order.astype(U64) << U64(56)), return_inverse=True)
-    return (both & _mask(7), (both >> U64(56)).astype(np.int32)), place
+class Model:
+    """What all homes need besides their own part of the trie: tables of bounded size."""
 
+    def __init__(self, homes: DataFrame):
+        """homes: as _merged() gives them."""
 
-def batch_grams(batches: DataFrame) -> DataFrame:
-    """(part, gram, order, count): the distinct grams of each batch, and how often its training texts have them."""
+        def facts(arrow):
+            for batch in arrow:
+                for grams, counts, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    gram, order, count = _home_grams(grams, counts)
+                    seen = count > 0
+                    gram, order, count = gram[seen], order[seen], count[seen]
+                    new = novelty(gram, order, count, None, 2)
+                    at = np.flatnonzero(new.any(axis=-1))
+                    three = distinct(gram[order > 1] & _mask(3)) & _mask(2)
+                    once = order == 1
+                    two, n = tally(np.concatenate([three, gram[once]]), np.concatenate([np.ones(len(three), np.int64), count[once]]))
+                    train = unpacked(words, U64).astype(np.int64)
+                    rows = [(0, at, new.reshape(-1, 2)[at, 0], new.reshape(-1, 2)[at, 1]), (1, two.astype(np.int64), n, np.zeros(len(n))), (2, [0], [train.sum()], [(train > 0).sum()])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])), *(pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64 if k == 1 else np.float64)) for k in (1, 2, 3))], names=["kind", "cell", "known", "fresh"])
 
-    def ask(parts):
-        for batch in parts:
-            for k in range(batch.num_rows):
-                flat, sizes, held = (batch.column(c)[k] for c in (1, 2, 3))
-                gram, order, doc = text_grams(np.frombuffer(flat.as_py(), np.uint8), sizes.values.to_numpy())
-                packed, place = _unique(gram, order)
-                count = np.bincount(place, ~held.values.to_numpy(zero_copy_only=False)[doc], len(packed[0])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), batch.column(0)[k].as_py())), pa.array(packed[0].view(np.int64)), pa.array(packed[1]), pa.array(count)], names=["part", "gram", "order", "count"])
+        found = homes.select("grams", "counts", "word_counts").mapInArrow(facts, "kind int, cell long, known double, fresh double")
+        # At most (DEPTH + 1) * CLASSES ** 2 cells and 256 by 256 pairs, whatever the input.
+        table = found.groupBy("kind", "cell").agg(F.sum("known").alias("known"), F.sum("fresh").alias("fresh")).toPandas()
+        cells, pairs, words = (table[table.kind == k] for k in range(3))
+        self.pairs = np.zeros(1 << 16, np.int64)
+        self.pairs[pairs.cell.to_numpy()] = pairs.known.to_numpy()
+        self.pairs = self.pairs.reshape(256, 256)
+        nothing = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = novelty(*nothing, self.pairs, 0)  # of orders 0 and 1
+        new.reshape(-1, 2)[cells.cell.to_numpy()] += cells[["known", "fresh"]].to_numpy()
+        self.escape = escape_odds(new)
+        self.tokens, self.kinds = int(words.known.sum()), int(words.fresh.sum())
 
-    return batches.select("batch", "flat", "sizes", "held_out").mapInArrow(ask, "part long, gram long, order int, count long")
+    def codes(self, gram: np.ndarray, order: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return code_lengths(gram, order, count, self.pairs, self.escape)
 
 
-def score(docs: DataFrame, words_a_part: int = 50_000, across: bool = False) -> DataFrame:
+def _answers(homes: DataFrame, asked: DataFrame, batches: int, model: Model) -> DataFrame:
+    """(asker, home, codes, word_counts): for each row of asked its grams' code lengths and its words' counts.
+
+    A home that many batches ask is copied once for each 256 of them or so.
+    """
+    fan = -(-batches // 256)
+    asks = asked.select("home", F.pmod(F.xxhash64("batch"), F.lit(fan)).alias("chunk"), F.lit(1).alias("role"), "batch", "grams", F.lit(None).cast("binary").alias("counts"), "words", F.lit(None).cast("binary").alias("word_counts"))
+    owners = homes.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))).alias("chunk"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("batch"), "grams", "counts", "words", "word_counts")
+    dealt = owners.unionByName(asks).repartition("home", "chunk").sortWithinPartitions("home", "chunk", "role")
+
+    def answer(arrow):
+        for batch in arrow:
+            rows = []
+            for row in batch.to_pylist():
+                if row["role"] == 0:
+                    whole = unpacked_ascending(row["grams"])
+                    codes, place = np.unique(model.codes(*_home_grams(row["grams"], row["counts"])), return_inverse=True)
+                    words, times = unpacked_ascending(row["words"]), unpacked(row["word_counts"], U64)
+                    continue
+                wanted = np.searchsorted(whole, unpacked_ascending(row["grams"])), np.searchsorted(words, unpacked_ascending(row["words"]))
+                rows.append((row["batch"], row["home"], coded(place[wanted[0]], codes), packed(times[wanted[1]])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["asker", "home", "codes", "word_counts"])
+
+    return dealt.mapInArrow(answer, "asker long, home int, codes binary, word_counts binary")
+
+
+def _sorted_runs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, for each key in sorted order which of them it is, its document)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    return keys[new], (np.cumsum(new) - 1).astype(np.int32), doc[order].astype(np.int32)
+
+
+def score(docs: DataFrame, across: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs.
 
     docs: (doc_id, text, held_out); learns from the texts that are not held out. across: whether contexts reach over
     blanks.
     """
-    batches = saved(batches_of(docs, across), "batches")
-    words = saved(vocabulary(batches), "vocabulary")
-    seen = words.agg(F.count("*").alias("all"), F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
-    ends = batches.select(F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("n")).first()["n"] or 0
-    total, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
-    if across:
-        known, end_code = words.select("hash", "count", F.lit(0.0).alias("code")), 0.0
-    else:
-        scored, end_code = word_scores(words, ends, max(1, seen["all"] // words_a_part))
-        known = saved(scored, "word-codes")
-        dropped(words)
-    asked = batches.select("batch", F.posexplode("hash").alias("place", "hash"))
-    answers = saved(asked.join(known, "hash").select(F.col("batch").alias("asker"), "place", "count", "code"), "answers")
-    dropped(words if across else known)
-    if across:
-        grams, _ = gram_codes(saved(batch_grams(batches), "grams-asked"), 0)
-        answers = answers.unionByName(grams.withColumnRenamed("part", "asker"), allowMissingColumns=True)
-
-    def add_up(batch, answers):
-        if not batch.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in schema}, schema=schema)
-        get = lambda name: batch.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        if across:
-            of_words = pc.is_valid(answers.column("place"))
-            grams, answers = answers.filter(pc.invert(of_words)), answers.filter(of_words)
-        counts, codes = np.zeros(answers.num_rows), np.zeros(answers.num_rows)
-        place = answers.column("place").to_numpy()
-        counts[place], codes[place] = answers.column("count").to_numpy(), answers.column("code").to_numpy()
-        base = np.log10(counts + 1) - np.log10(total + distinct + 1)
-        end_base = np.log10(ends + 1) - np.log10(total + distinct + 1)
-        n = get("n_words")
-        of, at, times = np.concatenate([[0], np.cumsum(n)]), get("place"), get("times")
-        doc = np.repeat(np.arange(len(n)), n)
-        add = lambda x: np.bincount(doc, times * x[at], len(n))
-        out = {
-            "doc_id": batch.column("doc_id").combine_chunks().flatten(),
-            "held_out": get("held_out").astype(bool),
-            "n_tokens": get("n_tokens"),
-            "n_known": add((counts > 0).astype(float)).astype(np.int64) + (ends > 0),
-            "train_tokens": np.full(len(n), total),
-            "base_score": add(base) + end_base,
-            "score": add(codes) + end_code,
-        }
-        assert of[-1] == len(at)
-        if across:
-            sort = np.lexsort((grams.column("gram").to_numpy().view(U64), grams.column("order").to_numpy()))
-            gram, order, doc = text_grams(np.frombuffer(batch.column("flat")[0].as_py(), np.uint8), get("sizes"))
-            packed, place = _unique(gram, order)
-            assert len(packed[0]) == len(sort)
-            out["score"] = np.bincount(doc, grams.column("code").to_numpy()[sort][place], len(n))
-        return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema}, schema=schema)
+    facts = docs.agg(F.sum(F.octet_length("text") + 2).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
+    parts, ends = max(1, (facts["bytes"] or 0) // BYTES_A_HOME), facts["ends"]
+    table = saved(batches_of(docs, parts, across), "batches")
+    asked, texts = table.where("home is not null").select(*(c.split()[0] for c in ASKED.split(", "))), table.where("home is null").select(*(c.split()[0] for c in TEXTS.split(", ")))
+    batches = max(1, texts.agg(F.count_distinct("batch")).first()[0])
+    homes = saved(_merged(asked, batches), "homes")
+    model = Model(homes)
+    answers = _answers(homes, asked, batches, model)
+    total, distinct_ = model.tokens + ends, model.kinds + (ends > 0)
+
+    def add_up(texts, answers):
+        out = {f.name: [] for f in schema}
+        answers = answers.sort_by("home")
+        codes, times = (np.concatenate([np.zeros(0), *(f(x) for x in answers.column(name).to_pylist())]) for name, f in (("codes", uncoded), ("word_counts", lambda x: unpacked(x, U64))))
+        rows = [(unpacked(flat, np.uint8), np.array(sizes)) for flat, sizes in zip(texts.column("flat").to_pylist(), texts.column("sizes").to_pylist(), strict=True)]
+        found = []  # of grams and of words: what add_up needs of each row, once sorted, and the values of all keys
+        for f, home, values in ((lambda *x: text_grams(*x, across), lambda x: _home_of(x, _homes(parts)), codes), (_word_hashes, lambda x: _home_of_word(x, parts), times)):
+            each = [_sorted_runs(*f(*row)) for row in rows]
+            keys = distinct(np.concatenate([np.zeros(0, U64), *(own for own, _, _ in each)]))
+            by_key = np.zeros(len(keys))
+            by_key[np.argsort(home(keys), kind="stable")] = values
+            found.append((each, keys, by_key))
+        log = np.log10(total + distinct_ + 1)
+        for k, row in enumerate(rows):
+            n = len(row[1])
+            (gram_doc, code), (word_doc, count) = ((each[k][2], by_key[np.searchsorted(keys, each[k][0])][each[k][1]]) for each, keys, by_key in found)
+            out["doc_id"].append(texts.column("doc_id")[k].values)
+            out["held_out"].append(texts.column("held_out")[k].values)
+            out["n_tokens"].append(np.bincount(word_doc, minlength=n) + 1)
+            out["n_known"].append(np.bincount(word_doc, count > 0, n).astype(np.int64) + (ends > 0))
+            out["train_tokens"].append(np.full(n, total))
+            out["base_score"].append(np.bincount(word_doc, np.log10(count + 1) - log, n) + np.log10(ends + 1) - log)
+            out["score"].append(np.bincount(gram_doc, code, n))
+        return pa.table({f.name: pa.chunked_array([pa.array(x, f.type) for x in out[f.name]], f.type) for f in schema}, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    pairs = batches.select("batch", "doc_id", "held_out", "n_tokens", "n_words", "place", "times", *(["flat", "sizes"] if across else [])).groupBy("batch")
-    return pairs.cogroup(answers.groupBy("asker")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("batch").cogroup(answers.groupBy("asker")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_folds(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool = False) -> DataFrame:
