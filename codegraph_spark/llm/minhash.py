@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import saved
+from .shared import dropped, saved
 from .textkit import U64, distinct, lowered, mixed, pieces, prefix_sums, shingle_hashes, span_hashes, text_bytes, word_spans
 
 MINIMA, BITS, CHUNK, MEMBERS = 128, 2, 512, 256
@@ -47,7 +47,10 @@ class Rule:
     @property
     def bands(self) -> int:
         odds = (self.percent / 100) ** self.rows
-        return min(MINIMA // self.rows, max(1, math.ceil(math.log(self.missed) / math.log(1 - odds)))) if odds < 1 else 1
+        bands = max(1, math.ceil(math.log(self.missed) / math.log(1 - odds))) if odds < 1 else 1
+        if bands * self.rows > MINIMA:
+            raise ValueError(f"{bands} bands of {self.rows} minima are needed to miss no more than {self.missed}, there are {MINIMA} minima: set fewer rows")
+        return bands
 
     @property
     def least_matches(self) -> int:
@@ -134,7 +137,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("of_a"))
     chunked = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("of_a") / MEMBERS)).cast("int").alias("chunk"))
-    chunked = saved(chunked, "pairs")
+    chunked = saved(chunked, "pairs")  # as small as the pairs; the caller drops those
     b = chunked.join(sets, chunked["b"] == sets["id"]).select("a", "chunk", F.lit(1).alias("role"), "id", "grams")
     a = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("id")).select("a", "chunk", F.lit(0).alias("role"), "id", "grams")
     dealt = a.unionByName(b).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
@@ -156,17 +159,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sets(items: DataFrame, ids: DataFrame, rule: Rule, distinct: bool) -> DataFrame:
-    """(id, grams): full sets, as sorted 64-bit hashes, of the items whose id is asked for."""
+    """(id, h1, grams): full sets, as sorted 64-bit hashes, of the items whose id is asked for, and their hashes."""
 
     def build(batches):
         for batch in batches:
             for lo, hi, of, grams in text_sets(batch.column(1), rule.width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[a:b].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)], pa.binary())], names=["id", "grams"])
+                sums = np.concatenate([[U64(0)], np.cumsum(grams, dtype=U64)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array((sums[of[1:]] - sums[of[:-1]]).view(np.int64)), pa.array([grams[a:b].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)], pa.binary())], names=["id", "h1", "grams"])
 
     asked = items.select(F.col("id").cast("long"), "text").join(ids, "id", "left_semi")
     if distinct:
         asked = asked.dropDuplicates(["id"])
-    return saved(asked.mapInArrow(build, "id long, grams binary"), "sets")
+    return saved(asked.mapInArrow(build, "id long, h1 long, grams binary"), "sets")
 
 
 def _leftover_links(members: DataFrame, sets: DataFrame, rule: Rule, per_task: int = 4000) -> DataFrame:
@@ -215,35 +219,68 @@ def _leftover_links(members: DataFrame, sets: DataFrame, rule: Rule, per_task: i
     return rows.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _several(signed: DataFrame) -> DataFrame | None:
+    """(id): those whose rows have different sets; None if there are none."""
+    found = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2"))
+    found = saved(found.where("lo <> hi or lo2 <> hi2").select("id"), "several")
+    return found if found.limit(1).count() else None
+
+
 def near_duplicates(items: DataFrame, rule: Rule = Rule(), content_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """(signed, classes) for items (id, text); content_ids says that rows of one id have one set.
 
     signed has a row for each row of items: id, n (size of its set), h1, h2 (hashes of the set). classes has a row
     for each distinct set that is not empty: h1, h2, rep (smallest id with that set), component (smallest id reachable).
+    The sets of one id are linked. Both are tables in the shared folder, for the caller to drop.
     """
     signed = saved(signatures(items, rule), "signed")
+    several = None if content_ids else _several(signed)
     first = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = saved(first, "classes")
-    spread = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct()
+    # A class is known by its smallest id, or, if that has several sets, by a hash of the set.
+    own = F.col("rep") if several is None else F.when(F.col("many"), F.col("h1")).otherwise(F.col("rep"))
+    if several is not None:
+        first = first.join(several.select(F.col("id").alias("rep"), F.lit(True).alias("many")), "rep", "left")
+    classes = saved(first.withColumn("id", own).select("id", "h1", "h2", "rep", "n", "sig", "bands"), "classes")
+    slim = saved(signed.select("id", "n", "h1", "h2"), "signed-slim")
+    dropped(signed)
+    spread = classes.select("id", F.explode("bands").alias("key")).distinct()
     shared = saved(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared-bands")
     members = saved(spread.join(shared, "key"), "members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
     centres = saved(ranked.select("key", (-F.col("top.minus")).alias("a")), "centres")
-    facts = classes.select(F.col("rep").alias("id"), "n", "sig", "bands").dropDuplicates(["id"])
+    facts = classes.select("id", "n", "sig", "bands")
     pairs = members.join(centres, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    pairs = _fitting(pairs, facts, rule)
+    pairs = saved(_fitting(pairs, facts, rule), "star-pairs")
     ids = members.select("id").distinct()
-    sets = _sets(items, ids, rule, content_ids)
-    links = saved(_verified(saved(pairs, "star-pairs"), sets, rule), "star-links")
+    if several is None:
+        sets = _sets(items, ids, rule, content_ids)
+    else:
+        reps = classes.join(ids, "id", "left_semi").select("id", F.col("rep").alias("name"), "h1")
+        named = _sets(items, reps.select(F.col("name").alias("id")).distinct(), rule, False).withColumnRenamed("id", "name")
+        sets = saved(named.join(reps, ["name", "h1"]).dropDuplicates(["id"]).select("id", "h1", "grams"), "named-sets")
+        dropped(named)
+    links = saved(_verified(pairs, sets, rule), "star-links")
+    if several is not None:
+        texts = slim.join(several, "id").join(classes.select("h1", "h2", F.col("id").alias("v")), ["h1", "h2"])
+        least = texts.groupBy("id").agg(F.min("v").alias("a"))
+        joined = texts.join(least, "id").where("a <> v").select("a", F.col("v").alias("b"))
+        links = saved(links.unionByName(joined), "text-links")
     found = saved(connected(links), "star-components")
+    dropped(pairs, centres, shared)
     known = members.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(facts, "id")
-    more = saved(_leftover_links(known, sets, rule), "leftover-links")
+    more = saved(_leftover_links(known, sets.select("id", "grams"), rule), "leftover-links")
+    dropped(members, sets)
     if more.limit(1).count():
-        links = saved(links.unionByName(more), "links")
-        found = saved(connected(links), "components")
-    out = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("id"), "left")
-    return signed.select("id", "n", "h1", "h2"), saved(out.select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")), "class-components")
+        found = saved(connected(links.unionByName(more)), "components")
+    dropped(links, more)
+    out = classes.select("h1", "h2", "rep", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
+    if several is not None:  # components are known by hashes in part
+        least = out.groupBy("component").agg(F.min("rep").alias("least"))
+        out = out.join(least, "component").select("h1", "h2", "rep", F.col("least").alias("component"))
+    out = saved(out.select("h1", "h2", "rep", "component"), "class-components")
+    dropped(classes, found)
+    return slim, out
 
 
 def _fitting(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
@@ -257,7 +294,8 @@ def dedup_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs (doc_id, text).
 
     Null, empty and white texts have an empty set and link with nothing; neither do rows without a doc_id, whose
-    component is null. Rows that repeat a doc_id are one document with several texts, all of which link.
+    component is null. Rows that repeat a doc_id are one document with several texts, all of which link: with each
+    other, and with whatever one of them is near to. Other columns are not read. Texts of any length are read in whole.
     """
     signed, classes = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), rule)
     rows = signed.join(classes, ["h1", "h2"], "left")

@@ -15,15 +15,15 @@ words to each side are looked at. Where more are shared, another anchor is among
 NEAR + PASSAGE - 1 words or more that an earlier place has, no word stays.
 
 Words are compared in lower case (A-Z) and without regard to white space. Null texts stay null, texts without such
-paragraphs are not touched; rows without a doc_id are kept as they are; rows that repeat a doc_id are at the same
-places and so do not delete each other.
+paragraphs are not touched; rows without a doc_id are kept as they are; rows that repeat a doc_id are texts of their
+own, none earlier than the other, so they do not delete each other. Texts of any length are read in whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import Rule, near_duplicates
@@ -72,12 +72,20 @@ def _anchors(words: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.flatnonzero((most == words) & (at + PASSAGE <= end))
 
 
+def _known(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, body): body, a hash of the text, tells apart texts that repeat a doc_id."""
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("body"))
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """(passage, id, doc_id, first, n): paragraphs and, where passage is true, passages: content hash, first word, words."""
+    """(passage, id, doc_id, body, first, n, left_run, right_run, room): paragraphs and, where passage is true, passages:
+    content hash, first word, words; hashes of the passage with the NEAR - 1 words to each side, or those there are, and
+    how many there are to the right."""
 
     def find(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            bodies = batch.column(2).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):
                 own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
@@ -91,10 +99,12 @@ def places(docs: DataFrame) -> DataFrame:
                 passage = np.arange(len(a)) >= long.sum()
                 doc = np.searchsorted(of, a, "right") - 1
                 hashes = _run_hashes(words, a, b).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(passage), pa.array(hashes), pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(a - of[doc]), pa.array(b - a)], names=["passage", "id", "doc_id", "first", "n"])
+                # Of passages, the runs with all words beside them that longer_runs() looks at, and how many words follow.
+                room = np.minimum(of[doc + 1] - b, NEAR - 1)
+                left_run, right_run = _run_hashes(words, np.maximum(a - (NEAR - 1), of[doc]), b), _run_hashes(words, a, b + room)
+                yield pa.RecordBatch.from_arrays([pa.array(passage), pa.array(hashes), pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(bodies[lo:hi][doc]), pa.array(a - of[doc]), pa.array(b - a), *(pa.array(np.where(passage, x, 0)) for x in (left_run.view(np.int64), right_run.view(np.int64), room))], names=["passage", "id", "doc_id", "body", "first", "n", "left_run", "right_run", "room"])
 
-    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return known.mapInArrow(find, "passage boolean, id long, doc_id long, first long, n long")
+    return _known(docs).mapInArrow(find, "passage boolean, id long, doc_id long, body long, first long, n long, left_run long, right_run long, room long")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -118,18 +128,73 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(find, "id long, text string")
 
 
+def _beside(gone: DataFrame) -> DataFrame:
+    """gone with left_from and right_from: from which word beside them on, counted from 1, there are words that may go
+    only with this place; NEAR if there are none.
+
+    gone: (doc_id, body, first, ...): the places that go. Where they overlap or touch they are a block, whose words go
+    anyway; only the words that lie beside the block, but no more than NEAR - 1 words from a place, matter to that place.
+    """
+    order = Window.partitionBy("doc_id", "body").orderBy("first")
+    back = Window.partitionBy("doc_id", "body").orderBy(F.desc("first"))
+    before, after = F.lag("first").over(order), F.lead("first").over(order)
+    marked = gone.withColumn("opens", F.when(F.coalesce(before + PASSAGE < F.col("first"), F.lit(True)), F.col("first"))).withColumn("closes", F.when(F.coalesce(after > F.col("first") + PASSAGE, F.lit(True)), F.col("first")))
+    begin = F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.last("closes", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    side = lambda inside: F.least(inside + 1, F.lit(NEAR)).cast("int")
+    return marked.withColumn("left_from", side(F.col("first") - begin)).withColumn("right_from", side(end - F.col("first"))).drop("opens", "closes")
+
+
+def _later(place: str, size) -> Column:
+    """Whether a row's place lies behind the given one: in a later document, or in the same text without overlap."""
+    inside = (F.col(f"{place}.doc_id") == F.col("doc_id")) & (F.col(f"{place}.body") == F.col("body")) & (F.col(f"{place}.first") + size <= F.col("first"))
+    return (F.col(f"{place}.doc_id") < F.col("doc_id")) | inside
+
+
+def extensions(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc_id, body, first, left, right): of the passages that go, by how many words to each side an earlier place has
+    the same.
+
+    met: all places of the passages that are there more than once, later being true for those that go. Places with the
+    same words to a side, as far as these are looked at, are a class. All but the first of a class share them all with
+    an earlier place; only the firsts, one for each class, are compared word by word, and only where words that no
+    other place covers may go with one of them.
+    """
+    places = met.where("passage").select("id", "doc_id", "body", "first", "later", "left_run", "right_run", "room").distinct()
+    for side in ("left", "right"):
+        of = places.groupBy("id", f"{side}_run").agg(F.min(F.struct("doc_id", "body", "first")).alias(f"{side}_first"))
+        places = places.join(of, ["id", f"{side}_run"])
+    # Of equal starts to the right and of equal ends to the left, so the firsts' places tell whether runs overlap.
+    for side, size in (("left", PASSAGE + F.least(F.col("first"), F.lit(NEAR - 1))), ("right", PASSAGE + F.col("room"))):
+        places = places.withColumn(f"{side}_whole", _later(f"{side}_first", size))
+    places = saved(places.drop("left_run", "right_run", "left_first", "right_first"), "classed")
+    beside = _beside(places.where("later"))
+    needs = [beside.where(f"not {side}_whole").groupBy("id").agg(F.min(f"{side}_from").alias(f"{side}_from")).where(F.col(f"{side}_from") < NEAR) for side in ("left", "right")]
+    needs = saved(needs[0].join(needs[1], "id", "full"), "needs")
+    asked = places.where("not left_whole or not right_whole").join(needs, "id")
+    asked = asked.select("doc_id", "body", "first", *(F.when(~F.col(f"{side}_whole"), F.col(f"{side}_from")).alias(side) for side in ("left", "right"))).where("left is not null or right is not null").fillna(NEAR, ["left", "right"])
+    longer = longer_runs(docs, asked)
+    gone = places.where("later").join(longer, ["doc_id", "body", "first"], "left")
+    left = F.when(F.col("left_whole"), F.least(F.col("first"), F.lit(NEAR - 1))).otherwise(F.coalesce("left", F.lit(0)))
+    right = F.when(F.col("right_whole"), F.col("room")).otherwise(F.coalesce("right", F.lit(0)))
+    out = saved(gone.select("doc_id", "body", "first", left.cast("int").alias("left"), right.cast("int").alias("right")), "extensions")
+    dropped(places, needs, longer)
+    return out
+
+
 def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc_id, first, left, right): of passages, by how many words to each side an earlier place has the same.
+    """(doc_id, body, first, left, right): by how many words to each side an earlier one of the places has the same.
 
-    repeated: (id, doc_id, first): all places of the passages that are there more than once.
+    repeated: (doc_id, body, first, left, right): places of passages, and from which word beside them on, counted from
+    1, the words are looked at.
     """
-    asked = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("first", "id")).alias("asked"))
+    asked = repeated.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "left", "right")).alias("asked"))
 
     def find(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = text_bytes(batch.column(1))
-            lists = batch.column(2)
+            bodies, lists = batch.column(2).to_numpy(), batch.column(3)
             for lo, hi in pieces(offsets):
                 own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, of = word_spans(own, at)
@@ -137,50 +202,54 @@ def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 part = lists.slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
                 flat = part.flatten()
-                spot, name = of[doc] + flat.field("first").to_numpy(), flat.field("id").to_numpy()
-                here = np.flatnonzero(spot + PASSAGE <= of[doc + 1])
-                # Where a doc_id repeats, the place may be that of another text.
-                here = here[_run_hashes(words, spot[here], spot[here] + PASSAGE).view(np.int64) == name[here]]
-                spot, doc = spot[here], doc[here]
-                for sides in np.array_split(np.concatenate([-np.arange(1, NEAR), np.arange(1, NEAR)]), 5):
-                    by, place, of_doc = np.repeat(sides, len(spot)), np.tile(spot, len(sides)), np.tile(doc, len(sides))
+                spot = of[doc] + flat.field("first").to_numpy()
+                left, right = (flat.field(side).to_numpy() for side in ("left", "right"))
+                for some in np.array_split(np.arange(len(spot)), 1 + len(spot) // 20_000):
+                    sizes = 2 * NEAR - left[some] - right[some]
+                    place = np.repeat(spot[some], sizes)
+                    by = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - (NEAR - 1)
+                    by += np.where(by > -np.repeat(left[some], sizes), np.repeat(left[some] + right[some] - 1, sizes), 0)
+                    of_doc = np.repeat(doc[some], sizes)
                     a, b = place + np.minimum(by, 0), place + PASSAGE + np.maximum(by, 0)
                     fit = (a >= of[of_doc]) & (b <= of[of_doc + 1])
                     hashes = _run_hashes(words, a[fit], b[fit]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[lo:hi][of_doc[fit]]), pa.array((place - of[of_doc])[fit]), pa.array(by[fit].astype(np.int32))], names=["run", "doc_id", "first", "by"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[lo:hi][of_doc[fit]]), pa.array(bodies[lo:hi][of_doc[fit]]), pa.array((place - of[of_doc])[fit]), pa.array(by[fit].astype(np.int32))], names=["run", "doc_id", "body", "first", "by"])
 
-    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    runs = saved(known.join(asked, "doc_id").mapInArrow(find, "run long, doc_id long, first long, by int"), "longer-runs")
+    joined = _known(docs).dropDuplicates(["doc_id", "body"]).join(asked, ["doc_id", "body"]).select("doc_id", "text", "body", "asked")
+    runs = saved(joined.mapInArrow(find, "run long, doc_id long, body long, first long, by int"), "longer-runs")
     start = F.col("first") + F.least("by", F.lit(0))
-    origins = runs.groupBy("run").agg(F.min(F.struct("doc_id", start.alias("start"))).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
+    origins = runs.groupBy("run").agg(F.min(F.struct("doc_id", "body", start.alias("start"))).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
     size = PASSAGE + F.abs("by")
-    later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") + size <= start))
-    shared = runs.join(saved(origins, "longer-origins"), "run").where(later)
-    out = shared.groupBy("doc_id", "first").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right"))
+    later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.body") == F.col("body")) & (F.col("origin.start") + size <= start))
+    origins = saved(origins, "longer-origins")
+    shared = runs.join(origins, "run").where(later)
+    out = shared.groupBy("doc_id", "body", "first").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right"))
     out = saved(out, "longer")
-    dropped(runs)
+    dropped(runs, origins)
     return out
 
 
 def removals(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(doc_id, first, n, passage): the runs of words to remove."""
+    """(doc_id, body, first, n, passage): the runs of words to remove."""
     found = saved(places(docs), "places")
     signed, classes = near_duplicates(paragraphs(docs), rule, content_ids=True)
     group = signed.select("id", "h1", "h2").distinct().join(classes, ["h1", "h2"])
     sizes = group.groupBy("component").agg(F.count("*").alias("texts"))
     merged = saved(group.join(sizes, "component").where("texts > 1").select("id", "component"), "merged")
+    dropped(signed, classes)
     # A passage and a line are never one paragraph: the flag is part of the key.
     own = found.join(merged.withColumn("passage", F.lit(False)), ["passage", "id"], "left").withColumn("id", F.coalesce("component", "id")).drop("component")
     own = saved(own, "grouped")
-    first = own.groupBy("passage", "id").agg(F.min(F.struct("doc_id", "first", "n")).alias("origin"), F.count("*").alias("times"))
+    dropped(found, merged)
+    first = own.groupBy("passage", "id").agg(F.min(F.struct("doc_id", "body", "first", "n")).alias("origin"), F.count("*").alias("times"))
     first = saved(first.where("times > 1").drop("times"), "first-places")
-    later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.first") + F.col("origin.n") <= F.col("first")))
-    met = own.join(first, ["passage", "id"])
-    gone = met.where(later).select("doc_id", "first", "n", "passage")
-    longer = longer_runs(docs, met.where("passage").select("id", "doc_id", "first")).withColumn("passage", F.lit(True))
+    met = saved(own.join(first, ["passage", "id"]).withColumn("later", _later("origin", F.col("origin.n"))).drop("origin"), "repeated")
+    dropped(own, first)
+    gone = met.where("later").select("doc_id", "body", "first", "n", "passage")
+    longer = extensions(docs, met)
     left, right = (F.coalesce(side, F.lit(0)) for side in ("left", "right"))
-    gone = gone.join(longer, ["doc_id", "first", "passage"], "left")
-    return gone.select("doc_id", (F.col("first") - left).alias("first"), (F.col("n") + left + right).alias("n"), "passage")
+    gone = gone.distinct().join(longer.withColumn("passage", F.lit(True)), ["doc_id", "body", "first", "passage"], "left")
+    return gone.select("doc_id", "body", (F.col("first") - left).alias("first"), (F.col("n") + left + right).alias("n"), "passage")
 
 
 def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -188,8 +257,9 @@ def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     n_passages (removed ones) added; columns of docs of those names are replaced, n_chars follows the text."""
     new = ["n_words", "n_removed", "n_paragraphs", "n_passages"]
     keep = [c for c in docs.columns if c not in new]
-    gone = removals(docs, rule).groupBy("doc_id").agg(F.collect_set(F.struct("first", "n", "passage")).alias("llm_gone")).withColumnRenamed("doc_id", "llm_id")
-    joined = docs.select(*keep).join(gone, F.col("doc_id").cast("long") == F.col("llm_id"), "left").drop("llm_id")
+    gone = removals(docs, rule).groupBy(F.col("doc_id").alias("llm_id"), F.col("body").alias("llm_body")).agg(F.collect_set(F.struct("first", "n", "passage")).alias("llm_gone"))
+    same = (F.col("doc_id").cast("long") == F.col("llm_id")) & (F.xxhash64("text") == F.col("llm_body"))
+    joined = docs.select(*keep).join(gone, same, "left").drop("llm_id", "llm_body")
     at = keep.index("text")
 
     def cut(batches):
