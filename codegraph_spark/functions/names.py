@@ -36,16 +36,16 @@ def relative_path(path: str | Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(root + "/")), F.substring(path, len(root) + 2, 1 << 30)).otherwise(path)
 
 
-#: Language names by extension. Fixed values.
-LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python"}
+#: Language names by extension: in snapshots, in manifests (others are left out), in the status. Fixed values.
+LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "py": "python", "vue": "vue"}
+MANIFEST_LANGUAGES = {"rs": "Rust", "ts": "TypeScript", "tsx": "TypeScript", "js": "TypeScript", "jsx": "TypeScript", "py": "Python"}
+STATUS_LANGUAGES = MANIFEST_LANGUAGES | {"pyi": "Python"}
 
 
-def language(path: str | Column) -> Column:
-    extension = F.lower(F.substring_index(_col(path), ".", -1))
-    out = F.lit("other")
-    for ext, name in LANGUAGES.items():
-        out = F.when(extension == ext, name).otherwise(out)
-    return out
+def language(path: str | Column, names: dict[str, str] = LANGUAGES, other: str | None = "other") -> Column:
+    """The language of a path by its extension, whose case counts."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.substring_index(_col(path), ".", -1)), F.lit(other))
 
 
 def line_number(text: str | Column) -> Column:

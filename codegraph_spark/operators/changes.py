@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,86 +17,173 @@ def function_map(functions: DataFrame) -> DataFrame:
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old and new structs of each (file, short_name), null where a version has no such function."""
-    side = lambda df, name: function_map(df).select("file", "short_name", F.struct(*df.columns).alias(name))
-    return side(old, "old").join(side(new, "new"), ["file", "short_name"], "full")
+    """old and new structs of each (file, short_name), null where a version has no such function. Of files that only
+    one version has, placeholders count as functions, too."""
+
+    def side(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        alone = own.where("complexity IS NULL").join(other.select("file").distinct(), "file", "left_anti").select(own.columns)
+        return function_map(own).unionByName(alone).select("file", "short_name", F.struct(*own.columns).alias(name))
+
+    return side(old, new, "old").join(side(new, old, "new"), ["file", "short_name"], "full")
+
 
+_FINDING = "array<struct<kind:string,risk:string,description:string>>"
 
-def _rule(pairs: DataFrame, when: Column, kind: str, risk: Column, what: Column) -> DataFrame:
-    return pairs.where(F.coalesce(when, F.lit(False))).select("file", "short_name", F.lit(kind).alias("kind"), risk.alias("risk"), what.alias("description"))
+
+def _finding(when: Column, kind: str, risk: Column, what: Column) -> Column:
+    """An array of one finding, or none."""
+    made = F.array(F.struct(F.lit(kind).alias("kind"), risk.alias("risk"), what.alias("description")))
+    return F.when(F.coalesce(when, F.lit(False)), made).otherwise(F.array().cast(_FINDING))
 
 
 def _public(side: str, yes: str, no: str) -> Column:
-    return F.when(F.col(f"{side}.visibility") == "public", yes).otherwise(no)
+    return F.when(F.col(f"{side}.visibility") == "public", F.lit(yes)).otherwise(F.lit(no))
 
 
-def added(pairs: DataFrame) -> DataFrame:
-    return _rule(pairs, F.col("old").isNull(), "Added", _public("new", "NeedsReview", "Safe"), F.lit("function added"))
+def _said(*parts: str | Column) -> Column:
+    """'name': and then the parts."""
+    return F.concat(F.lit("'"), F.col("new.name"), F.lit("': "), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def removed(pairs: DataFrame) -> DataFrame:
-    return _rule(pairs, F.col("new").isNull(), "Removed", _public("old", "Breaking", "Safe"), F.lit("function removed"))
+def added() -> Column:
+    return _finding(F.col("old").isNull(), "FunctionAdded", _public("new", "NeedsReview", "Safe"), F.concat(F.lit("New function '"), F.col("new.name"), F.lit("'")))
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.where("old IS NOT NULL AND new IS NOT NULL")
+def removed() -> Column:
+    return _finding(F.col("new").isNull(), "FunctionRemoved", _public("old", "Breaking", "Safe"), F.concat(F.lit("Removed function '"), F.col("old.name"), F.lit("'")))
 
 
-def param_count(pairs: DataFrame) -> DataFrame:
+def param_count() -> Column:
     a, b = F.size("old.params"), F.size("new.params")
-    return _rule(_both(pairs), a != b, "SignatureChange", _public("new", "Breaking", "NeedsReview"), F.concat(a.cast("string"), F.lit(" -> "), b.cast("string"), F.lit(" parameters")))
+    return _finding(_both() & (a != b), "SignatureChange", _public("new", "Breaking", "NeedsReview"), _said("parameter count changed (", a, " → ", b, ")"))
 
 
-def param_types(pairs: DataFrame) -> DataFrame:
-    """A row for each position whose type differs, where the numbers of parameters agree."""
-    same = _both(pairs).where(F.size("old.params") == F.size("new.params"))
-    each = same.select("*", F.posexplode(F.arrays_zip(F.col("old.params").alias("a"), F.col("new.params").alias("b"))).alias("i", "p"))
-    what = F.concat(F.lit("parameter "), F.col("i").cast("string"), F.lit(": "), "p.a.type_debug", F.lit(" -> "), "p.b.type_debug")
-    return _rule(each, ~F.col("p.a.type_debug").eqNullSafe(F.col("p.b.type_debug")), "TypeChange", _public("new", "Breaking", "NeedsReview"), what)
+def param_types() -> Column:
+    """A finding for each position whose type differs, where the numbers of parameters agree."""
+    same = F.coalesce(_both() & (F.size("old.params") == F.size("new.params")), F.lit(False))
+    pairs = F.filter(F.arrays_zip(F.col("old.params").alias("a"), F.col("new.params").alias("b")), lambda p: ~p["a"]["type_debug"].eqNullSafe(p["b"]["type_debug"]))
+    risk = _public("new", "Breaking", "NeedsReview")
+    made = F.transform(pairs, lambda p: F.struct(F.lit("TypeChange").alias("kind"), risk.alias("risk"), _said("param '", p["b"]["name"], "' type changed").alias("description")))
+    return F.when(same, made).otherwise(F.array().cast(_FINDING))
 
 
-def return_type(pairs: DataFrame) -> DataFrame:
+def return_type() -> Column:
     a, b = F.col("old.return_type_debug"), F.col("new.return_type_debug")
-    shown = lambda x: F.coalesce(x, F.lit("None"))
-    return _rule(_both(pairs), ~a.eqNullSafe(b), "SignatureChange", _public("new", "Breaking", "NeedsReview"), F.concat(shown(a), F.lit(" -> "), shown(b)))
+    shown = lambda x: F.when(x.isNull(), "None").otherwise(F.concat(F.lit("Some("), x, F.lit(")")))
+    return _finding(_both() & ~a.eqNullSafe(b), "SignatureChange", _public("new", "Breaking", "NeedsReview"), _said("return type changed (", shown(a), " → ", shown(b), ")"))
 
 
-def visibility(pairs: DataFrame) -> DataFrame:
+def visibility() -> Column:
     a, b = F.col("old.visibility"), F.col("new.visibility")
-    risk = F.when(a == "public", "Breaking").when(b == "public", "NeedsReview").otherwise("Safe")
-    return _rule(_both(pairs), a != b, "ApiSurfaceChange", risk, F.concat(a, F.lit(" -> "), b))
+    risk = F.when(a == "public", F.lit("Breaking")).when(b == "public", F.lit("NeedsReview")).otherwise(F.lit("Safe"))
+    return _finding(_both() & (a != b), "ApiSurfaceChange", risk, _said("visibility changed (", F.initcap(a), " → ", F.initcap(b), ")"))
 
 
-def complexity(pairs: DataFrame, least: int = 3, high: int = 20) -> DataFrame:
+def complexity(least: int = 3, high: int = 20) -> Column:
     a, b = F.col("old.complexity"), F.col("new.complexity")
-    risk = F.when(b > high, "NeedsReview").otherwise("Safe")
-    return _rule(_both(pairs), F.abs(b - a) >= least, "ComplexityChange", risk, F.concat(a.cast("string"), F.lit(" -> "), b.cast("string")))
+    risk = F.when(b > high, F.lit("NeedsReview")).otherwise(F.lit("Safe"))
+    by = F.concat(F.when(b > a, F.lit("+")).otherwise(F.lit("")), (b - a).cast("string"))
+    return _finding(_both() & (F.abs(b - a) >= least), "ComplexityChange", risk, _said("complexity changed (", a, " → ", b, ", ", by, ")"))
 
 
-def asyncness(pairs: DataFrame) -> DataFrame:
+def asyncness() -> Column:
     a, b = F.col("old.is_async"), F.col("new.is_async")
-    return _rule(_both(pairs), a != b, "ControlFlowChange", _public("new", "Breaking", "NeedsReview"), F.when(b, "became async").otherwise("no longer async"))
+    return _finding(_both() & (a != b), "ControlFlowChange", _public("new", "Breaking", "NeedsReview"), _said("async changed (", a, " → ", b, ")"))
+
+
+def _both() -> Column:
+    return F.col("old").isNotNull() & F.col("new").isNotNull()
 
 
 RULES = (added, removed, param_count, param_types, return_type, visibility, complexity, asyncness)
 
 
-def semantic_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file, short_name, kind, risk, description) of all rules."""
-    pairs = paired(old, new)
-    return reduce(DataFrame.unionByName, [rule(pairs) for rule in RULES])
+def findings(pairs: DataFrame, *rules) -> DataFrame:
+    """(file, short_name, line, kind, risk, description) of rules, in one pass over the pairs."""
+    found = pairs.select("file", "short_name", F.coalesce("new.start_line", "old.start_line").alias("line"), F.explode(F.concat(*[rule() for rule in rules])).alias("f"))
+    return found.select("file", "short_name", "line", "f.kind", "f.risk", "f.description")
+
+
+def semantic_diff(old: DataFrame, new: DataFrame, rules=RULES) -> DataFrame:
+    """Findings of all rules."""
+    return findings(paired(old, new), *rules)
+
+
+def impact_weighted(changes: DataFrame, functions: DataFrame, edges: DataFrame, callers_from: int = 5) -> DataFrame:
+    """Findings for public functions that have a finding and more than so many callers within two steps."""
+    from .graph import impact
+
+    own = function_map(functions).where("visibility = 'public'").select("node_id", "file", "short_name", "name", F.col("start_line").alias("line"))
+    touched = own.join(changes.where("kind NOT IN ('FunctionAdded', 'FunctionRemoved')").select("file", "short_name").distinct(), ["file", "short_name"], "left_semi")
+    counted = impact(edges, touched.select(F.col("node_id").alias("root")), 2, reverse=True).groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > callers_from)
+    what = F.concat(F.lit("'"), F.col("name"), F.lit("': "), F.col("n").cast("string"), F.lit(" callers affected by above changes"))
+    return touched.join(counted, F.col("node_id") == F.col("root")).select("file", "short_name", "line", F.lit("ApiSurfaceChange").alias("kind"), F.lit("NeedsReview").alias("risk"), what.alias("description"))
+
+
+def tool_findings(errors: DataFrame) -> DataFrame:
+    """Findings of checks and tools. errors: (tool, file, line, severity, message)."""
+    risk = F.when(F.col("severity") == "error", F.lit("Breaking")).otherwise(F.lit("NeedsReview"))
+    what = F.concat(F.lit("["), F.col("tool"), F.lit("] "), F.col("message"))
+    return errors.select("file", F.lit(None).cast("string").alias("short_name"), "line", F.lit("ControlFlowChange").alias("kind"), risk.alias("risk"), what.alias("description"))
+
+
+def violations(scopes: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, line, severity, description): conventions whose nodes lie in changed files, a row a node.
+
+    scopes: (description, file, line), the nodes that a convention holds for; files: (file), the changed ones, in either
+    of two spellings: one path may be the end of the other. Paths meet under their last part, so this is an equi-join.
+    """
+    own = scopes.withColumn("path", F.replace("file", F.lit("\\"), F.lit("/"))).withColumn("last", _last("file"))
+    changed = files.select(F.replace("file", F.lit("\\"), F.lit("/")).alias("changed"), _last("file").alias("last")).distinct()
+    met = own.join(changed, (own["last"] == changed["last"]) & (F.endswith("path", F.col("changed")) | F.endswith("changed", F.col("path"))), "left_semi")
+    return met.select("file", "line", F.lit("warning").alias("severity"), F.concat(F.lit("Changed file may affect invariant: "), "description").alias("description"))
+
+
+def _last(path: str) -> Column:
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 
 
 def static_findings(functions: DataFrame, files: DataFrame) -> DataFrame:
     """Unsafe functions in changed files."""
     own = functions.where("is_unsafe").join(files, "file", "left_semi")
-    return own.select("file", "short_name", F.lit("ControlFlowChange").alias("kind"), F.lit("SecuritySensitive").alias("risk"), F.lit("unsafe function").alias("description"))
+    what = F.concat(F.lit("Unsafe function '"), "name", F.lit("' — requires careful review"))
+    return own.select("file", "short_name", F.col("start_line").alias("line"), F.lit("ControlFlowChange").alias("kind"), F.lit("SecuritySensitive").alias("risk"), what.alias("description"))
 
 
 def suggested_tests(functions: DataFrame, files: DataFrame) -> DataFrame:
     """Public functions of changed files that should have a test."""
     own = functions.where("visibility = 'public' AND complexity IS NOT NULL").join(files, "file", "left_semi")
-    return own.select("file", "short_name", F.lit("High").alias("priority"), F.concat(F.lit("test_"), "short_name").alias("test_name"))
+    skeleton = F.concat(F.lit("#[test]\nfn test_"), "short_name", F.lit("() {\n    todo!()\n}"))
+    return own.select("file", "short_name", F.lit("High").alias("priority"), F.concat(F.lit("Add tests for '"), "name", F.lit("'")).alias("description"), skeleton.alias("skeleton"))
+
+
+#: What to do about a finding, by kind and risk. Fixed values.
+ACTIONS = {
+    ("SignatureChange", "Breaking"): "Update all callers or add a backward-compatible wrapper",
+    ("FunctionRemoved", "Breaking"): "Verify no external consumers depend on this",
+    ("FunctionAdded", "NeedsReview"): "Add tests for the new function",
+    ("ComplexityChange", "NeedsReview"): "Consider splitting into smaller functions",
+    ("ControlFlowChange", "SecuritySensitive"): "Requires security review",
+}
+
+
+def advised(changes: DataFrame) -> DataFrame:
+    """changes with what they are in short, and an action or null."""
+    action = F.lit(None).cast("string")
+    for (kind, risk), text in ACTIONS.items():
+        action = F.when((F.col("kind") == kind) & (F.col("risk") == risk), text).otherwise(action)
+    name = F.regexp_extract("description", "^(?:New|Removed) function '(.*)'$", 1)
+    numbers = F.regexp_extract("description", r"\((\d+ → \d+), ", 1)
+    grown = F.when(F.contains("description", F.lit(", +")), "increased").otherwise("decreased")
+    short = F.when(F.col("kind") == "FunctionAdded", F.concat(F.lit("New function "), name)).when(F.col("kind") == "FunctionRemoved", F.concat(F.lit("Removed "), name))
+    short = short.when(F.col("kind") == "ComplexityChange", F.concat(F.lit("Complexity "), grown, F.lit(" "), numbers)).otherwise(F.col("description"))
+    return changes.select("*", short.alias("short"), action.alias("action"))
+
+
+def issues_by_file(changes: DataFrame) -> DataFrame:
+    """(file, issues, errors, warnings): how many findings each file has, by how bad they are."""
+    bad = F.col("risk").isin("Breaking", "SecuritySensitive")
+    return changes.groupBy("file").agg(F.count("*").alias("issues"), F.count_if(bad).alias("errors"), F.count_if(F.col("risk") == "NeedsReview").alias("warnings"))
 
 
 def risk_score(changes: DataFrame, files: DataFrame, violated: bool = False) -> DataFrame:
@@ -110,7 +195,12 @@ def risk_score(changes: DataFrame, files: DataFrame, violated: bool = False) ->
     return counts.crossJoin(number).withColumn("risk_score", F.round(F.least(score, F.lit(1.0)), 6))
 
 
+def confidence(files: int, with_base: bool) -> float:
+    """How far a verification can be trusted: fully without changes, less without a version to compare with."""
+    return 1.0 if not files else 0.85 if with_base else 0.5
+
+
 def sarif_rows(changes: DataFrame, tool: str = "codegraph") -> DataFrame:
-    """SARIF results: rule id, level, text and file."""
+    """SARIF results: rule id, level, text and place."""
     level = F.when(F.col("risk").isin("Breaking", "SecuritySensitive"), "error").when(F.col("risk") == "NeedsReview", "warning").otherwise("note")
-    return changes.select(F.concat(F.lit(f"{tool}/"), F.lower(F.replace("kind", F.lit(" "), F.lit("-")))).alias("rule_id"), level.alias("level"), "description", "file", "short_name")
+    return changes.select(F.concat(F.lit(f"{tool}/"), F.lower(F.replace("kind", F.lit(" "), F.lit("-")))).alias("rule_id"), level.alias("level"), "description", F.replace("file", F.lit("\\"), F.lit("/")).alias("file"), "short_name", F.coalesce("line", F.lit(0)).alias("line"), F.lit(1).alias("col"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
@@ -66,20 +68,26 @@ def merged_duplicates(left: DataFrame) -> DataFrame:
     return left.join(first, "name").where("node_id <> new_id").select(F.col("node_id").alias("old_id"), "new_id")
 
 
-def impact(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+def impact(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False, paths: bool = False) -> DataFrame:
     """(root, node_id, distance): what each root reaches within depth steps, itself left out.
 
     roots: (root). A level joins the last frontier with the edges and drops what was met before; the frontier and the
-    visited set are keyed by root, so many searches run as one.
+    visited set are keyed by root, so many searches run as one. Steps and frontiers are cut off from their plans, or
+    each level would hold all former ones; the search ends where nothing new is met. With ``paths``, also the ids from
+    the root on, by way of the smallest of the nodes that lead to a node.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
-    seen = frontier = roots.select("root", F.col("root").alias("node_id"), F.lit(0).alias("distance")).distinct()
+    steps = cut(edges.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct())
+    path = [F.array("root").alias("path")] if paths else []
+    seen = frontier = roots.select("root", F.col("root").alias("node_id"), F.lit(0).alias("distance"), *path).distinct()
     for level in range(1, depth + 1):
-        step = frontier.join(steps, F.col("node_id") == F.col("at")).select("root", F.col("next").alias("node_id")).distinct()
-        frontier = step.join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti").withColumn("distance", F.lit(level))
-        if level < depth:  # the plan doubles with each level unless it is cut
-            frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier
+        step = frontier.join(steps, F.col("node_id") == F.col("at")).withColumnRenamed("next", "found")
+        step = step.groupBy("root", "found").agg(F.min_by("path", "node_id").alias("path")) if paths else step.select("root", "found").distinct()
+        new = [F.concat("path", F.array("node_id")).alias("path")] if paths else []
+        step = step.withColumnRenamed("found", "node_id").join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti")
+        frontier = cut(step.select("root", "node_id", F.lit(level).alias("distance"), *new))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.where("distance > 0")
 
@@ -99,15 +107,28 @@ def find_target(nodes: DataFrame, file: str, name: str | None = None) -> DataFra
 
 
 def file_by_suffix(nodes: DataFrame, suffix: str) -> DataFrame:
-    """Nodes of the first file that ends with the suffix or is a suffix of it."""
+    """Nodes of the file of that path or, if there is none, of the first file that ends with it or is its end."""
     hit = nodes.where(F.endswith("file", F.lit(suffix)) | F.endswith(F.lit(suffix), F.col("file")))
-    return hit.join(hit.agg(F.min("file").alias("file")), "file", "left_semi")
+    rank = F.struct((F.col("file") != suffix).alias("r"), F.col("file"))
+    return hit.join(hit.agg(F.min(rank).alias("best")).select("best.file"), "file", "left_semi")
 
 
 def cross_file(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(from_file, to_file, caller, callee) of edges from functions to nodes of other files; callers in tests are out."""
-    a = nodes.where("node_kind = 'function'").select(F.col("node_id").alias("src"), F.col("file").alias("from_file"), F.col("short_name").alias("caller"))
-    b = nodes.select(F.col("node_id").alias("dst"), F.col("file").alias("to_file"), F.col("short_name").alias("callee"))
+    """(from_file, to_file, caller, callee) of edges from any node to functions of other files, by full names; callers
+    that are tests are out, and so are placeholders as callees."""
     from ..functions.names import is_test_name
 
-    return edges.join(a.where(~is_test_name("caller")), "src").join(b, "dst").where("from_file <> to_file").select("from_file", "to_file", "caller", "callee")
+    a = nodes.select(F.col("node_id").alias("src"), F.col("file").alias("from_file"), F.col("name").alias("caller"))
+    b = nodes.where("node_kind = 'function' AND complexity IS NOT NULL").select(F.col("node_id").alias("dst"), F.col("file").alias("to_file"), F.col("name").alias("callee"))
+    met = edges.select("src", "dst").distinct().join(a.where(~is_test_name("caller")), "src").join(b, "dst")
+    return met.where("from_file <> to_file").select("from_file", "to_file", "caller", "callee")
+
+
+def without_node(nodes: DataFrame, edges: DataFrame, node_id: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes but one, and the edges that do not touch it."""
+    return nodes.where(F.col("node_id") != node_id), edges.where((F.col("src") != node_id) & (F.col("dst") != node_id))
+
+
+def with_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """nodes with more added; of one id the added node stands."""
+    return nodes.join(more.select("node_id"), "node_id", "left_anti").unionByName(more, allowMissingColumns=True)

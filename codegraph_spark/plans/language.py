@@ -127,11 +127,6 @@ def parse(text: str, strict: bool = False) -> Query:
                 value = take() if op else None
                 if not op or value.kind not in ("ident", "string", "number", "keyword") or (value.kind == "keyword" and value.value not in ("true", "false")):
                     raise QueryError(f"a comparison of {name.value} is incomplete")
-                if value.kind == "ident":
-                    try:
-                        value = Token("number", float(value.value))
-                    except ValueError:
-                        pass
                 conditions.append(Condition(name.value, op.value, value, negated))
             if not take("keyword", "and"):
                 break
@@ -154,7 +149,10 @@ def glob_pattern(pattern: str) -> str:
 def _number(column: Column, op: str, value: Token) -> Column:
     if value.kind not in ("number", "ident"):
         return F.lit(False)
-    x = value.value if value.kind == "number" else 0.0
+    try:
+        x = float(value.value)
+    except ValueError:  # a word that is no number
+        x = 0.0
     if math.isnan(x):
         return F.lit(False)
     column = column.cast("double")
@@ -222,8 +220,13 @@ PREDICATES: dict[str, Callable[[str], Column]] = {
 PREDICATES |= {"hasfield": PREDICATES["has_field"], "infile": PREDICATES["in_file"]}
 
 
+NEIGHBOURS = frozenset("handles catches calls called_by calledby".split())
+
+
 def _neighbours(name: str, arg: str, nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     """Ids of the nodes for which a predicate on neighbours holds."""
+    if name not in NEIGHBOURS:
+        return None
     links = edges.where("src <> dst")
     ends = nodes.select(F.col("node_id").alias("n"), "name", "short_name")
     if name in ("handles", "catches"):
@@ -243,13 +246,16 @@ def candidates(query: Query, nodes: DataFrame) -> DataFrame:
     return own.where("NOT (node_kind = 'function' AND complexity IS NULL)")
 
 
-def execute(text: str | Query, nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
-    """The matching nodes. edges: resolved (src, dst). Scalar conditions come first, then joins."""
+def execute(text: str | Query, nodes: DataFrame, edges: DataFrame | Callable[[], DataFrame], strict: bool = False) -> DataFrame:
+    """The matching nodes. edges: resolved (src, dst), or what gives them, asked only if a condition looks at neighbours.
+    Scalar conditions come first, then joins."""
     query = text if isinstance(text, Query) else parse(text, strict)
     out, joins = candidates(query, nodes), []
     for c in query.conditions:
         if c.op == "call":
             arg = c.value[0] if c.value else ""
+            if c.field in NEIGHBOURS and callable(edges):
+                edges = edges()
             if (ids := _neighbours(c.field, arg, nodes, edges)) is not None:
                 joins.append((ids, "left_anti" if c.negated else "left_semi"))
                 continue

@@ -27,8 +27,15 @@ _PARAM = "CASE WHEN i = 0 THEN concat('Unresolved(\"T_', p_type, '_', CAST(k % 1
 _VISIBILITY = "CASE WHEN k % 10 = 9 THEN 'private' WHEN k % 4 = 0 THEN 'public' WHEN k % 4 = 1 THEN 'private' WHEN k % 4 = 2 THEN 'protected' ELSE 'internal' END"
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is read once for each application."""
+    key = spark.sparkContext.applicationId, id(spark), sf_dir, name
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
