@@ -4,21 +4,26 @@ The pass goes over a text from left to right and keeps, for each place, the one
 vocabulary of merges that piece is unique: a row of pieces is an encoding exactly if no merge reaches across the
 border of any two neighbours, so a piece may end at a place if it fits the piece that ends where it starts. Only the
 places of the last ``longest`` characters can be gone back to; whenever the paths back from all of these meet at one
-border, the pieces up to there are committed and forgotten. Memory is bounded by the window, whatever the length.
+border, the pieces up to there are committed and forgotten. The window never holds more than a unit, or, of a long one,
+2 * ``longest`` + STEP places, whatever the length of the text.
 
 The ids are those of the SentencePiece library for the same model (identity normaliser, dummy prefix, byte fallback),
 but that a U+2581 in a text is written as bytes, so that decoding gives back every text exactly. White space before a
-word belongs to its first piece, and no piece holds a letter and then a stop, so the text falls into units that can be
-encoded by themselves; each is encoded once and kept in a bounded cache.
+word belongs to its first piece, and no piece holds a letter and then a stop, so no piece crosses the borders of such
+units: there all paths meet. Texts stream through unit by unit, and ids of units that came by lately are looked up, in a
+bounded cache below the pass.
 
 Null texts have null ids, empty ones no ids. The vocabulary file is a parameter; it is read on the driver and sent
-to the executors, a megabyte or so whatever the input.
+to the executors, a megabyte or so whatever the input. Columns pass through, but for those of the new names, which are
+replaced; ids of rows do not matter.
 """
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
+import operator
 import re
 
 import numpy as np
@@ -32,6 +37,28 @@ from .textkit import pieces, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+STEP, LONGEST_KNOWN, HEAD = 64, 64, 4
+_GROUP = operator.methodcaller("group")
+
+
+class _Known(dict):
+    """Ids, as bytes, of units seen lately; others are encoded when they are asked for. In two generations of ``most``
+    units: when one is full, the older one goes, so memory does not grow with the length of a text."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            found = np.array(self.encode(unit), np.int32).tobytes()
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        if len(unit) <= LONGEST_KNOWN:
+            self[unit] = found
+        return found
 
 
 class Pieces:
@@ -50,8 +77,7 @@ class Pieces:
             elif (last := self._last_merge(piece)) is not None:
                 self.made[piece], self.parts[piece] = self.rank[piece], last
         self.longest = max(map(len, self.made), default=1)
-        self.begins = {piece[:k] for piece in self.made for k in range(1, len(piece) + 1)}
-        self.fitting: dict[str, dict[str, bool]] = {}
+        self.fitting: dict[str, dict[str, bool]] = collections.defaultdict(dict)  # which pieces fit after one or not
         self.tails = {piece[k:]: -1 for piece in self.made for k in range(len(piece))} | {piece: self.ids[piece] for piece in self.made}
         stops = "".join(c for c in ".,;:!?|" if not any(a.isalpha() and b == c for piece in self.made for a, b in itertools.pairwise(piece)))
         if stops:  # no piece holds a letter and then one of these, so a unit may end between them
@@ -60,7 +86,9 @@ class Pieces:
             self.units = re.compile(" *[^ \n]+| +|\n")
         self.piece_of = {k: piece for piece, k in self.ids.items()}
         self.chars = ({piece for piece in self.made if len(piece) == 1} - {SPACE}) | {" "}
-        self.cache, self.known, self.older = cache, {}, {}
+        self.known = _Known(self._unit, cache)
+        self.begun: dict[str, tuple] = {}
+        self.commits = self.widest = 0  # commits made, and the most places that the window had
         sizes = np.zeros(max(self.bytes_of, default=-1) + 2, np.int64)
         for k, found in self.bytes_of.items():
             sizes[k + 1] = len(found)
@@ -107,137 +135,79 @@ class Pieces:
             else:  # of equal ranks the left one merges first
                 end, right = math.nextafter(r_made, math.inf), self.parts[right][0]
 
-    def _fits_after(self, piece: str) -> dict[str, bool]:
-        """Which pieces are known to fit after this one or not."""
-        found = self.fitting.get(piece)
-        if found is None:
-            found = self.fitting[piece] = {}
-        return found
-
-    def _segment(self, text: str) -> list[int]:
-        """Ids of a text of known characters."""
-        if text in self.made:
-            return [self.ids[text]]
-        made, begins, longest, n = self.made, self.begins, self.longest, len(text)
-        ends: dict[int, tuple[int, str]] = {}
+    def _viterbi(self, text: str) -> list[int]:
+        """Ids of known characters. Goes through them once; for each place of the window it keeps the one piece that can
+        end there and what fits after it. STEP characters after the last time, and at the end, what all paths back from
+        the open places have in common is committed and leaves the window."""
         out: list[int] = []
-        done = 0
-        for i in range(n):
-            before = ends[i][1] if i else ""
-            after = self._fits_after(before)
-            for j in range(i + 1, min(i + longest, n) + 1):
+        done, starts, codes, afters = 0, [0], [-1], [self.fitting[""]]  # of the places from ``done`` on
+        tails, longest, fitting, begin = self.tails, self.longest, self.fitting, 1
+        if len(text) > HEAD and (state := self.begun.get(text[:HEAD])):
+            (starts, codes, afters), begin = map(list, state), HEAD + 1
+        for j in range(begin, len(text) + 1):
+            for i in range(j - 1, max(done, j - longest) - 1, -1):
                 piece = text[i:j]
-                if piece not in begins:
+                number = tails.get(piece)
+                if number is None:
                     break
-                if j in ends or piece not in made:
+                if number < 0:
                     continue
+                after = afters[i - done]
                 ok = after.get(piece)
                 if ok is None:
-                    ok = after[piece] = not i or self.fits(before, piece)
+                    ok = after[piece] = not i or self.fits(self.piece_of[codes[i - done]], piece)
                 if ok:
-                    ends[j] = (i, piece)
-            if i % 64 == 63:
-                done = self._commit(ends, done, i, out)
-        self._walk(ends, done, n, out)
-        return out
-
-    def _walk(self, ends: dict, lo: int, hi: int, out: list[int]) -> None:
+                    starts.append(i)
+                    codes.append(number)
+                    afters.append(fitting[piece])
+                    break
+            if j == HEAD:  # many units begin alike; what ends at a place depends on nothing behind it
+                if len(self.begun) >= self.known.most:
+                    self.begun.clear()
+                self.begun[text[:HEAD]] = tuple(starts), tuple(codes), tuple(afters)
+            if j - done >= STEP + longest and not j % STEP:
+                self.widest = max(self.widest, len(starts))
+                meet = self._meeting(starts, done, j)
+                out += self._path(starts, codes, done, meet)
+                del starts[: meet - done], codes[: meet - done], afters[: meet - done]
+                done = meet
+        self.widest = max(self.widest, len(starts))
+        return out + self._path(starts, codes, done, len(text))
+
+    def _meeting(self, starts: list[int], done: int, j: int) -> int:
+        """The border at which the paths back from all open places meet: those from which a later piece may start."""
+        places = set(range(max(done, j - self.longest + 1), j + 1))
+        while len(places) > 1:
+            top = max(places)
+            places.remove(top)
+            places.add(max(done, starts[top - done]))
+        return places.pop()
+
+    def _path(self, starts: list[int], codes: list[int], done: int, end: int) -> list[int]:
+        """Commits the pieces between two borders."""
         found = []
-        while hi > lo:
-            hi, piece = ends[hi]
-            found.append(self.ids[piece])
+        while end > done:
+            found.append(codes[end - done])
+            end = starts[end - done]
+        self.commits += 1
         found.reverse()
-        out += found
-
-    def _commit(self, ends: dict, done: int, i: int, out: list[int]) -> int:
-        """Commits up to the border at which the paths back from all open places meet: those after i that a piece
-        has reached, and those from which a later piece may still start."""
-        open_places = {k for k in range(i + 1, i + self.longest + 1) if k in ends}
-        while len(open_places) > 1:
-            top = max(open_places)
-            open_places.remove(top)
-            open_places.add(ends[top][0])
-        meet = open_places.pop()
-        if done < meet <= i:
-            self._walk(ends, done, meet, out)
-            for k in range(done + 1, meet):
-                ends.pop(k, None)
-            return meet
-        return done
-
-    def _sorted_segments(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """Ids of short texts of known characters, in sorted order: each goes on from the last one's common prefix,
-        as what ends at a place depends on nothing behind it."""
-        out, codes, afters, before = [], [()], [self._fits_after("")], ""
-        tails, longest = self.tails, self.longest
-        for text in texts:
-            n, k = len(text), 0
-            for a, b in zip(text, before, strict=False):
-                if a != b:
-                    break
-                k += 1
-            del codes[k + 1 :], afters[k + 1 :]
-            for j in range(k + 1, n + 1):
-                for i in range(j - 1, max(-1, j - longest - 1), -1):
-                    piece = text[i:j]
-                    number = tails.get(piece)
-                    if number is None:
-                        break
-                    if number < 0:
-                        continue
-                    after = afters[i]
-                    ok = after.get(piece)
-                    if ok is None:
-                        ok = after[piece] = not i or self.fits(self.piece_of[codes[i][-1]], piece)
-                    if ok:
-                        codes.append((*codes[i], number))
-                        afters.append(self._fits_after(piece))
-                        break
-            out.append(codes[n])
-            before = text
-        return out
+        return found
 
-    def _unit(self, text: str) -> tuple[int, ...]:
+    def _unit(self, text: str) -> list[int]:
         """Ids of any unit; characters outside the vocabulary, and U+2581 itself, become bytes."""
+        if self.chars.issuperset(text):
+            return self._viterbi(text.replace(" ", SPACE))
         out: list[int] = []
-        known = ""
-        for char in text:
-            if char == " ":
-                known += SPACE
-            elif char in self.made and char != SPACE:
-                known += char
-            else:
-                if known:
-                    out += self._segment(known)
-                    known = ""
-                out += [self.byte_ids[b] for b in char.encode()]
-        return tuple(out + self._segment(known)) if known else tuple(out)
+        for known, own in itertools.groupby(text, self.chars.__contains__):
+            part = "".join(own)
+            out += self._viterbi(part.replace(" ", SPACE)) if known else [self.byte_ids[b] for b in part.encode()]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of the texts, as bytes of 32-bit integers. Units that are new are encoded first, in sorted order, then
-        texts are put together. Units seen lately are kept in two generations of ``cache`` units at most and what one
-        call adds; a unit that comes again is taken over from the older one.
-        """
-        units = [self.units.findall(" " + text) if text else [] for text in texts]
-        if len(self.known) > self.cache:
-            self.known, self.older = {}, self.known
-        known, chars, older = self.known, self.chars, self.older
-        new = set(itertools.chain.from_iterable(units)).difference(known)
-        if older:
-            again = new.intersection(older)
-            known.update(zip(again, map(older.__getitem__, again), strict=True))
-            new -= again
-        plain = sorted(u for u in new if len(u) <= 64 and chars.issuperset(u))
-        found = self._sorted_segments([u.replace(" ", SPACE) for u in plain])
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32).tobytes()
-        cuts = list(itertools.accumulate((4 * len(codes) for codes in found), initial=0))
-        known.update((unit, flat[lo:hi]) for unit, (lo, hi) in zip(plain, itertools.pairwise(cuts), strict=True))
-        other = {u: np.array(self._unit(u), np.int32).tobytes() for u in new if u not in known}
-        if other:
-            get = lambda u: known.get(u) or other[u]
-        else:
-            get = known.__getitem__
-        return [b"".join(map(get, own)) for own in units]
+        """Ids of the texts, as bytes of 32-bit integers. Each text streams through unit by unit: all paths meet where a
+        unit ends, so its ids are committed there. Units seen lately are looked up instead of being passed over again."""
+        get, units = self.known.__getitem__, self.units.finditer
+        return [b"".join(map(get, map(_GROUP, units(" " + text)))) if text else b"" for text in texts]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()

@@ -373,6 +373,25 @@ def test_pieces_match_the_library():
     assert model.decode(model.encode("▁ x▁")) == "▁ x▁"
 
 
+def test_pieces_stream_through_a_bounded_window(docs, texts):
+    """Ordinary texts are committed unit by unit; a long unit never has more than a window open, and gives the
+    library's ids as well."""
+    import sentencepiece
+
+    model = pieces.Pieces(*pieces.Pieces.load(), cache=50)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    plain = [t for t in texts if t]
+    units = {u for t in plain for u in model.units.findall(" " + t)}
+    assert [np.frombuffer(x, np.int32).tolist() for x in model.encode_all(plain)] == [library.encode(t) for t in plain]
+    assert model.commits >= len(units) and len(model.known) <= 50 and len(model.known.older) <= 50
+    model.widest, model.commits, r = 0, 0, random.Random(8)
+    long = "".join(r.choice(["ab", "the", "ing", "x", "qu", "eé"]) for _ in range(30_000))
+    assert model.encode(long) == library.encode(long)
+    assert model.commits > 500 and model.widest <= 2 * model.longest + 2 * pieces.STEP
+    got = {x["doc_id"]: x for x in pieces.digest(docs).collect()}
+    assert all(got[d]["n_ids"] == len(library.encode(t)) for d, t in enumerate(texts) if t)
+
+
 def test_pieces_round_trip(docs):
     assert all(r["round_trip"] for r in pieces.digest(docs).collect())
 
