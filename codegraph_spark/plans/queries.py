@@ -54,7 +54,8 @@ class Lens:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.resolved(self.raw_edges, self.nodes)
+        """The graph's resolved edges: resolved once and kept, as an index is."""
+        return cut(graph.resolved(self.raw_edges, self.nodes))
 
     @cached_property
     def found(self) -> DataFrame:
