@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, saved
-from .textkit import U64, pieces, prefix_sums, power_tables, text_bytes
+from .textkit import U64, pieces, portions, power_tables, prefix_sums, text_bytes
 
 LENGTH, GRAM = 50, 28
 SHARDS, DOCS_A_PART, REGIONS_A_TASK = 8, 2000, 4000
@@ -82,7 +82,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
 
     def ask(batches):
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2)], axis=1)
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):
@@ -137,7 +137,7 @@ def regions(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """(key, doc_id, first, text): of each repeated anchor the first string that it stands for and all their bytes."""
 
     def find(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             data, offsets = text_bytes(batch.column(1))
             ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             keys, docs_, firsts, texts = [], [], [], []
@@ -289,7 +289,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     at = keep.index("text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches, at):
             data, offsets = text_bytes(batch.column(at))
             removed, runs, kept = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64), []
             for d, spans in enumerate(batch.column(len(keep)).to_pylist()):

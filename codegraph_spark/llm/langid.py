@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import U64, lowered, mixed, pieces, sums_by, text_bytes
+from .textkit import U64, lowered, mixed, pieces, portions, sums_by, text_bytes
 
 N = 4
 HASHES = 3
@@ -79,7 +79,7 @@ def learn(labelled: DataFrame, sample: int = 2000, top: int = 12_000, keen: floa
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < odds[F.col("lang")] * 1_000_000)
 
     def count(batches):
-        for batch in batches:
+        for batch in portions(batches, 0):
             languages = np.array([names.index(x) for x in batch.column(1).to_pylist()], np.uint64)
             for lo, hi, grams, of in _grams(batch.column(0)):
                 both = (np.repeat(languages[lo:hi], np.diff(of)) << U64(32)) | grams.astype(U64)
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, known: LanguageFilter) -> DataFrame:
     def score(batches):
         known = held.value
         names = pa.array([*known.languages, "und"], pa.string())
-        for batch in batches:
+        for batch in portions(batches, at):
             column = batch.column(at)
             letters = _has_letter(column)
             found = shares(column, known)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import saved
-from .textkit import pieces, prefix_sums, span_hashes, sums_by, text_bytes, word_spans
+from .textkit import pieces, portions, prefix_sums, span_hashes, sums_by, text_bytes, word_spans
 
 RUN = 3
 WORDS = 5
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     for, counted in lines that are not white; line and hash are those of all lines of its windows."""
 
     def select(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):
@@ -107,7 +107,7 @@ def short_windows(docs: DataFrame, run: int, words: int) -> DataFrame:
     """
 
     def find(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> Da
     at = keep.index("text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches, at):
             column, gone = batch.column(at), batch.column(len(keep))
             data, offsets = text_bytes(column)
             texts, lines, removed = column, np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)

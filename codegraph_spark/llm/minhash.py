@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import dropped, saved
-from .textkit import U64, distinct, lowered, mixed, pieces, prefix_sums, shingle_hashes, span_hashes, text_bytes, word_spans
+from .textkit import U64, distinct, lowered, mixed, pieces, portions, prefix_sums, shingle_hashes, span_hashes, text_bytes, word_spans
 
 MINIMA, BITS, CHUNK, MEMBERS = 128, 2, 512, 256
 PLANES = MINIMA * BITS // 64
@@ -81,7 +81,7 @@ def signatures(items: DataFrame, rule: Rule) -> DataFrame:
     bands, rows = rule.bands, rule.rows
 
     def sign(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             for lo, hi, of, grams in text_sets(batch.column(1), rule.width):
                 n = np.diff(of)
                 full = np.flatnonzero(n)
@@ -162,7 +162,7 @@ def _sets(items: DataFrame, ids: DataFrame, rule: Rule, distinct: bool) -> DataF
     """(id, h1, grams): full sets, as sorted 64-bit hashes, of the items whose id is asked for, and their hashes."""
 
     def build(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             for lo, hi, of, grams in text_sets(batch.column(1), rule.width):
                 sums = np.concatenate([[U64(0)], np.cumsum(grams, dtype=U64)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array((sums[of[1:]] - sums[of[:-1]]).view(np.int64)), pa.array([grams[a:b].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)], pa.binary())], names=["id", "h1", "grams"])

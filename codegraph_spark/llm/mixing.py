@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import saved
-from .textkit import text_bytes, word_spans
+from .textkit import portions, text_bytes, word_spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -235,7 +235,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     joined = one.join(spans, _same_key(one, spans, taken)).select(*names, "llm_passes")
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches, names.index("text")):
             column = batch.column(names.index("text"))
             data, offsets = text_bytes(column)
             starts, _, of = word_spans(data, offsets)
@@ -247,9 +247,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
                     text = b"".join(data[own[min(s["first_word"], len(own) - 1)] : own[min(s["first_word"] + s["n_words"], len(own) - 1)]].tobytes() for s in spans)
                     rows.append(d)
                     texts.append(text)
-            out = batch.select(names).take(pa.array(rows, pa.int64()))
-            text = pa.array(texts, pa.binary()).cast(pa.string())
-            fields = [text if n == "text" else out.column(i) for i, n in enumerate(names)]
+            at = pa.array(rows, pa.int64())
+            fields = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(i).take(at) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(fields, names=names)
 
     cutted = joined.mapInArrow(cut, docs.schema)

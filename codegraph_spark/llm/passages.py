@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .minhash import Rule, near_duplicates
 from .shared import dropped, saved
-from .textkit import U64, lowered, mixed, pieces, prefix_sums, span_hashes, text_bytes, word_spans
+from .textkit import U64, lowered, mixed, pieces, portions, prefix_sums, span_hashes, text_bytes, word_spans
 
 PARAGRAPH, PASSAGE, NEAR = 20, 24, 26
 RULE = Rule(width=5, percent=80, rows=3, missed=3e-4)
@@ -83,7 +83,7 @@ def places(docs: DataFrame) -> DataFrame:
     how many there are to the right."""
 
     def find(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             bodies = batch.column(2).to_numpy()
             data, offsets = text_bytes(batch.column(1))
@@ -111,7 +111,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """(id, text): the long lines, with the content hashes that places() gives them."""
 
     def find(batches):
-        for batch in batches:
+        for batch in portions(batches, 0):
             data, offsets = text_bytes(batch.column(0))
             for lo, hi in pieces(offsets):
                 own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -191,7 +191,7 @@ def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     asked = repeated.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "left", "right")).alias("asked"))
 
     def find(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = text_bytes(batch.column(1))
             bodies, lists = batch.column(2).to_numpy(), batch.column(3)
@@ -263,7 +263,7 @@ def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     at = keep.index("text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches, at):
             column, gone = batch.column(at), batch.column(len(keep))
             data, offsets = text_bytes(column)
             sizes = np.zeros((4, len(column)), np.int64)

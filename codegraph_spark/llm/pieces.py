@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .textkit import pieces, text_bytes
+from .textkit import pieces, portions, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", into: str =
 
     def run(batches):
         model = _ready(path, held)
-        for batch in batches:
+        for batch in portions(batches, at):
             texts = batch.column(at)
             _, sizes = text_bytes(texts)
             flat, offsets = [], np.zeros(len(texts) + 1, np.int32)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, saved
-from .textkit import U64, distinct, lowered, mixed, pieces, prefix_sums, span_hashes, text_bytes, word_spans
+from .textkit import U64, distinct, lowered, mixed, pieces, portions, prefix_sums, span_hashes, text_bytes, word_spans
 
 DEPTH = 6
 BATCH = 20 << 20
@@ -219,7 +219,7 @@ def batches_of(docs: DataFrame, parts: int, across: bool) -> DataFrame:
             found = _asked_rows(number, grams, words, homes, parts)
             return filled({x: found.column(x) for x in found.schema.names})
 
-        for batch in arrow:
+        for batch in portions(arrow, 1):
             held = np.asarray(batch.column(2)).astype(bool)
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in pieces(offsets):

@@ -51,6 +51,20 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * PIECE) -> Iterator[pa.RecordBatch]:
+    """Rows of batches in slices of about ``limit`` bytes of a text column, at least one row; nothing is copied.
+
+    Spark sends batches of up to 64 MB; what is made of one at a time should not be a multiple of that. What a batch
+    left behind is given back before the next one comes.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in pieces(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), limit):
+            yield batch.slice(lo, hi - lo)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case; other bytes as they are."""
     return _LOWER[data]
