@@ -51,7 +51,7 @@ def _mask(bytes_: int) -> np.uint64:
 def packed(values: np.ndarray) -> bytes:
     """Numbers as bytes: their number and width, then compressed, all first bytes first."""
     values = np.ascontiguousarray(values)
-    raw = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
     return np.array([len(values), values.itemsize], np.int32).tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 

@@ -290,6 +290,20 @@ def test_ppm_across_words(docs, texts):
         assert math.isclose(got[d]["score"], sum(code(*x) for x in symbols(s)), rel_tol=1e-9), d
 
 
+def test_ppm_with_many_homes_and_batches(docs, monkeypatch):
+    """Homes with grams and no words, batches of a few texts, merges in steps: the scores stay."""
+    ids = lambda rows: {r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows}
+    want = ids(ppm.score_folds(docs, across=True).collect())
+    for name, value in (("BYTES_A_HOME", 100), ("BATCH", 200), ("ROWS_A_MERGE", 2)):
+        monkeypatch.setattr(ppm, name, value)
+    got = ids(ppm.score_folds(docs, across=True).collect())
+    assert got.keys() == want.keys()
+    for d, row in want.items():
+        assert got[d][:2] == row[:2]
+        assert math.isclose(got[d][2], row[2], rel_tol=1e-9) and math.isclose(got[d][3], row[3], rel_tol=1e-9)
+    assert len(ppm.unpacked(ppm.packed(np.zeros(0, np.int64)), np.int64)) == 0
+
+
 def test_op4_scores_depend_on_the_order_of_words(spark, tmp_path):
     from codegraph_spark.llm import queries
 
