@@ -41,6 +41,7 @@ BATCH = 20 << 20
 FRACTION = 36
 BYTES_A_HOME = 2 << 20
 ROWS_A_MERGE = 64
+PIECES_A_TALLY = 6
 END = 0x0A
 
 
@@ -232,6 +233,9 @@ def batches_of(docs: DataFrame, parts: int, across: bool) -> DataFrame:
                 words.append(tally(word, train[doc]))
                 yield filled({"batch": [number], "doc_id": [batch.column(0).slice(lo, hi - lo).to_pylist()], "held_out": [held[lo:hi]], "flat": [packed(flat)], "sizes": [sizes]})
                 size += len(flat)
+                for keep in (grams, words):
+                    if len(keep) >= PIECES_A_TALLY:
+                        keep[:] = [tally(*(np.concatenate(x) for x in zip(*keep, strict=True)))]
                 if size >= BATCH:
                     yield asked()
                     number, size, grams, words = number + 1, 0, [], []
@@ -416,12 +420,12 @@ def _answers(homes: DataFrame, asked: DataFrame, batches: int, model: Model) ->
     return dealt.mapInArrow(answer, "asker long, home int, codes binary, word_counts binary")
 
 
-def _sorted_runs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, for each key in sorted order which of them it is, its document)."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    return keys[new], (np.cumsum(new) - 1).astype(np.int32), doc[order].astype(np.int32)
+def _looked_up(own: np.ndarray, doc: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, value) of each of own, in the order of their keys; values: of the sorted keys."""
+    order = np.argsort(own)
+    own = own[order]
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    return doc[order], values[np.searchsorted(keys, own[new])][np.cumsum(new) - 1]
 
 
 def score(docs: DataFrame, across: bool = False) -> DataFrame:
@@ -445,17 +449,16 @@ def score(docs: DataFrame, across: bool = False) -> DataFrame:
         answers = answers.sort_by("home")
         codes, times = (np.concatenate([np.zeros(0), *(f(x) for x in answers.column(name).to_pylist())]) for name, f in (("codes", uncoded), ("word_counts", lambda x: unpacked(x, U64))))
         rows = [(unpacked(flat, np.uint8), np.array(sizes)) for flat, sizes in zip(texts.column("flat").to_pylist(), texts.column("sizes").to_pylist(), strict=True)]
-        found = []  # of grams and of words: what add_up needs of each row, once sorted, and the values of all keys
+        found = []  # of grams and of words: how they are found, all keys of the batch, and their values
         for f, home, values in ((lambda *x: text_grams(*x, across), lambda x: _home_of(x, _homes(parts)), codes), (_word_hashes, lambda x: _home_of_word(x, parts), times)):
-            each = [_sorted_runs(*f(*row)) for row in rows]
-            keys = distinct(np.concatenate([np.zeros(0, U64), *(own for own, _, _ in each)]))
+            keys = distinct(np.concatenate([np.zeros(0, U64), *(distinct(f(*row)[0]) for row in rows)]))
             by_key = np.zeros(len(keys))
             by_key[np.argsort(home(keys), kind="stable")] = values
-            found.append((each, keys, by_key))
+            found.append((f, keys, by_key))
         log = np.log10(total + distinct_ + 1)
         for k, row in enumerate(rows):
             n = len(row[1])
-            (gram_doc, code), (word_doc, count) = ((each[k][2], by_key[np.searchsorted(keys, each[k][0])][each[k][1]]) for each, keys, by_key in found)
+            (gram_doc, code), (word_doc, count) = (_looked_up(*f(*row), keys, by_key) for f, keys, by_key in found)
             out["doc_id"].append(texts.column("doc_id")[k].values)
             out["held_out"].append(texts.column("held_out")[k].values)
             out["n_tokens"].append(np.bincount(word_doc, minlength=n) + 1)
