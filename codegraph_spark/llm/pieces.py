@@ -64,7 +64,7 @@ class _Known(dict):
 class Pieces:
     """A vocabulary: (piece, score) of the normal pieces by id, and the ids of the 256 byte pieces."""
 
-    def __init__(self, normal: dict[int, tuple[str, float]], byte_ids: list[int], cache: int = 100_000):
+    def __init__(self, normal: dict[int, tuple[str, float]], byte_ids: list[int], cache: int = 300_000):
         self.ids = {piece: k for k, (piece, _) in normal.items()}
         self.rank = {piece: -score for piece, score in normal.values()}
         self.byte_ids = byte_ids
@@ -161,11 +161,11 @@ class Pieces:
                     codes.append(number)
                     afters.append(fitting[piece])
                     break
-            if j == HEAD:  # many units begin alike; what ends at a place depends on nothing behind it
+            if j == HEAD and begin == 1:  # many units begin alike; what ends at a place depends on nothing behind it
                 if len(self.begun) >= self.known.most:
                     self.begun.clear()
                 self.begun[text[:HEAD]] = tuple(starts), tuple(codes), tuple(afters)
-            if j - done >= STEP + longest and not j % STEP:
+            if not j % STEP and j - done >= STEP + longest:
                 self.widest = max(self.widest, len(starts))
                 meet = self._meeting(starts, done, j)
                 out += self._path(starts, codes, done, meet)
