@@ -15,9 +15,14 @@ def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def without_file(nodes: DataFrame, edges: DataFrame, file: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes that are not in the file, and the edges between them."""
-    left = nodes.where(F.col("file") != file)
-    return left, resolved(edges, left)
+    """Nodes that are not in the file, those without a file among them, and the edges that touch none of the file's ids:
+    an id that other files have too goes with the file's edges."""
+    inside = F.col("file").eqNullSafe(F.lit(file))
+    left, gone = nodes.where(~inside), nodes.where(inside).select("node_id")
+    kept = resolved(edges, left)
+    for end in ("src", "dst"):
+        kept = kept.join(gone, F.col(end) == F.col("node_id"), "left_anti")
+    return left, kept
 
 
 def retargeted(edges: DataFrame, mapping: DataFrame) -> DataFrame:
