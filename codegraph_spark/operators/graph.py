@@ -49,17 +49,19 @@ def linked(nodes: DataFrame) -> DataFrame:
     Public functions score 10, internal ones 5, the same directory 20, a path with 'test' -5; ties go to the smaller id.
     """
     empty = "node_kind = 'function' AND complexity IS NULL"
-    asked = nodes.where(empty).select(F.col("node_id").alias("old_id"), link_key().alias("key"), F.col("file").alias("old_file"))
+    asked = nodes.where(empty).select(F.col("node_id").alias("old_id"), link_key().alias("key"), _directory("file").alias("directory"))
     own = nodes.where(f"NOT ({empty})")
     names = F.array_distinct(F.array("short_name", F.substring_index("short_name", "::", -1), F.substring_index("short_name", ".", -1)))
-    offered = own.select(F.col("node_id").alias("new_id"), F.explode(names).alias("key"), "file", "visibility", "node_kind").where("key <> ''")
-    score = (
-        F.when((F.col("node_kind") == "function") & (F.col("visibility") == "public"), 10).when((F.col("node_kind") == "function") & (F.col("visibility") == "internal"), 5).otherwise(0)
-        + F.when(_directory("file") == _directory("old_file"), 20).otherwise(0)
-        - F.when(F.contains("file", F.lit("test")), 5).otherwise(0)
-    )
-    best = asked.join(offered, "key").groupBy("old_id").agg(F.max(F.struct(score.alias("score"), (-F.col("new_id")).alias("minus"))).alias("best"))
-    return best.select("old_id", (-F.col("best.minus")).alias("new_id"))
+    offered = own.select(F.col("node_id").alias("new_id"), F.explode(names).alias("key"), _directory("file").alias("directory"), "file", "visibility", "node_kind").where("key <> ''")
+    score = F.when((F.col("node_kind") == "function") & (F.col("visibility") == "public"), 10).when((F.col("node_kind") == "function") & (F.col("visibility") == "internal"), 5).otherwise(0) - F.when(F.contains("file", F.lit("test")), 5).otherwise(0)
+    # The directory's 20 points are all that depends on who asks: a key's best in each directory and its best of all will do.
+    best = F.max(F.struct(score.alias("score"), (-F.col("new_id")).alias("minus")))
+    near = offered.groupBy("key", "directory").agg(best.alias("near"))
+    all_best = near.groupBy("key").agg(F.max("near").alias("any"))
+    nearer = F.struct((F.col("near.score") + 20).alias("score"), F.col("near.minus").alias("minus"))
+    met = asked.join(all_best, "key").join(near, ["key", "directory"], "left")
+    met = met.select("old_id", F.greatest("any", F.when(F.col("near").isNotNull(), nearer)).alias("best"))
+    return met.groupBy("old_id").agg((-F.max("best")["minus"]).alias("new_id"))
 
 
 def unresolved(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -9,3 +9,52 @@ def test_removed_file_takes_shared_ids_and_keeps_nodes_without_file(spark):
     left, kept = graph.without_file(nodes, edges, "a")
     assert sorted(r["node_id"] for r in left.collect()) == [2, 3, 4, 5]
     assert sorted(map(tuple, kept.collect())) == [(3, 4), (4, 5), (4, 5)]
+
+
+def _best(nodes):
+    """(placeholder, candidate) by a walk over all pairs."""
+    found = {}
+    for a, kind, short, file, _, complexity in nodes:
+        if kind != "function" or complexity is not None:
+            continue
+        key = short.rsplit("." if "." in short else "::", 1)[-1]
+        directory = lambda f: None if f is None else f.rsplit("/", 1)[0]
+        offers = []
+        for b, k, s, f, visibility, c in nodes:
+            if (k != "function" or c is not None) and key and key in (s, s.rsplit("::", 1)[-1], s.rsplit(".", 1)[-1]):
+                score = {"public": 10, "internal": 5}.get(visibility, 0) * (k == "function") + 20 * (file is not None and directory(f) == directory(file)) - 5 * ("test" in (f or ""))
+                offers.append((-score, b))
+        if offers:
+            found[a] = min(offers)[1]
+    return found
+
+
+SCHEMA = "node_id long, node_kind string, short_name string, file string, visibility string, complexity int"
+
+
+def test_links_are_the_best_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    nodes = [(k, r.choice(["function", "function", "type"]), r.choice(["", "x.", "m::", "x.m::"]) + r.choice("abc"), r.choice([None, "a/b.rs", "a/test_b.rs", "a/c/d.rs", "e.rs"]), r.choice(["public", "internal", "private", None]), r.choice([None, 3])) for k in range(400)]
+    got = graph.linked(spark.createDataFrame(nodes, SCHEMA)).collect()
+    assert len(got) == len({x["old_id"] for x in got})
+    assert {x["old_id"]: x["new_id"] for x in got} == _best(nodes)
+
+
+def test_links_of_a_frequent_name_make_no_pairs(spark):
+    """2,000 placeholders and 2,000 candidates of one name: no operator of the plan may make pairs of them."""
+    ids = spark.range(4_000)
+    nodes = ids.selectExpr("id as node_id", "'function' as node_kind", "concat('f', id div 100000) as short_name", "concat('d', id % 3, '/x.rs') as file", "'public' as visibility", "case when id % 2 = 0 then 1 end as complexity")
+    links = graph.linked(nodes)
+    assert {tuple(x) for x in links.selectExpr("old_id % 3", "new_id").distinct().collect()} == {(0, 0), (1, 4), (2, 2)}
+    links.collect()
+    made, todo = [], [links._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        while plan.nodeName().startswith("AdaptiveSparkPlan") or "QueryStage" in plan.nodeName():
+            plan = plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan.plan()
+        if "Join" in plan.nodeName():
+            made.append(plan.metrics().apply("numOutputRows").value())
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert made and max(made) <= 4_000
