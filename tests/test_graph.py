@@ -58,3 +58,10 @@ def test_links_of_a_frequent_name_make_no_pairs(spark):
             made.append(plan.metrics().apply("numOutputRows").value())
         todo += [plan.children().apply(k) for k in range(plan.children().size())]
     assert made and max(made) <= 4_000
+
+
+def test_retargeting_keeps_each_edge_once(spark):
+    nodes = spark.createDataFrame([(1, "function", "f", "a/x.rs", None, None), (2, "function", "f", "a/y.rs", None, 1), (2, "type", "f", "b/y.rs", None, None), (3, "function", "f", "b/x.rs", None, None)], SCHEMA)
+    edges = spark.createDataFrame([(1, 3, "calls"), (1, 3, "calls"), (2, 1, "calls"), (4, 1, "calls")], "src long, dst long, edge_kind string")
+    got = graph.retargeted(edges, graph.linked(nodes)).select("src", "dst").collect()
+    assert sorted(map(tuple, got)) == [(2, 2), (2, 2), (2, 2), (4, 2)]
