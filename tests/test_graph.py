@@ -65,3 +65,11 @@ def test_retargeting_keeps_each_edge_once(spark):
     edges = spark.createDataFrame([(1, 3, "calls"), (1, 3, "calls"), (2, 1, "calls"), (4, 1, "calls")], "src long, dst long, edge_kind string")
     got = graph.retargeted(edges, graph.linked(nodes)).select("src", "dst").collect()
     assert sorted(map(tuple, got)) == [(2, 2), (2, 2), (2, 2), (4, 2)]
+
+
+def test_link_stats_of_a_frequent_name(spark):
+    from codegraph_spark.engine import linked
+
+    nodes = spark.range(20_000).selectExpr("id as node_id", "'function' as node_kind", "concat('f', id div 19000) as short_name", "concat('f', id div 19000) as name", "concat('d', id % 3, '/x.rs') as file", "'public' as visibility", "case when id % 2 = 0 and id < 19000 then 1 end as complexity")
+    edges = spark.range(20_000).selectExpr("0L as src", "id as dst", "'calls' as edge_kind")
+    assert tuple(linked(nodes, edges)[2].first()) == (9_500, 1_000, 999, 10_499)
