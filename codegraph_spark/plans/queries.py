@@ -834,14 +834,15 @@ _SOURCES = {
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source file for each part."""
+    """A source file for each part. Keys are dealt out before the texts are made: files of parts are small, parsing is not."""
     text = F.lit(None).cast("string")
     for number, source in enumerate(_SOURCES.values()):
         parts = source.replace("{{", "{").replace("}}", "}").split("{k}")
         made = F.concat(*[x for part in parts[:-1] for x in (F.lit(part), F.col("p_partkey").cast("string"))], F.lit(parts[-1]))
         text = F.when(F.col("p_partkey") % 3 == number, made).otherwise(text)
     path = F.concat(F.lit("src/m"), (F.col("p_partkey") % 20).cast("string"), F.lit("/f_"), F.col("p_partkey").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("p_partkey") % 3 + 1).cast("int")))
-    return lens.table(spark, sf_dir, "part").select(path.alias("path"), text.alias("content"))
+    keys = lens.table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.select(path.alias("path"), text.alias("content"))
 
 
 _PATH = "concat('src/m', p_partkey % 20, '/f_', p_partkey, '.', ['rs', 'ts', 'py'][p_partkey % 3 + 1])"
@@ -857,10 +858,7 @@ def index_nodes(spark, sf_dir):
 
 @_query("index_calls", f"SELECT {_PATH} AS file, concat('fn_', p_partkey) AS caller, concat(['helper_', 'go_', 'other_'][p_partkey % 3 + 1], p_partkey) AS callee, CASE p_partkey % 3 WHEN 1 THEN 'conditional' ELSE 'conditional' END AS condition, false AS is_dynamic FROM part")
 def index_calls(spark, sf_dir):
-    parsed = frontends.parse_files(_sources(spark, sf_dir))
-    nodes = frontends.nodes_of(parsed).select("node_id", "name")
-    ends = lambda end, name: nodes.select(F.col("node_id").alias(end), F.col("name").alias(name))
-    return frontends.edges_of(parsed).join(ends("src", "caller"), "src").join(ends("dst", "callee"), "dst").select("file", "caller", "callee", "condition", "is_dynamic")
+    return frontends.calls_in(_sources(spark, sf_dir)).drop("line")
 
 
 @_query("index_stats", "SELECT count(*) FILTER (WHERE p_partkey % 7 = 0) AS files_analyzed, 1::BIGINT AS files_removed, count(*) * 3 AS nodes, count(*) AS edges, 0::BIGINT AS resolved, count(*) AS unresolved, 0::BIGINT AS merged, 0::BIGINT AS retargeted FROM part")

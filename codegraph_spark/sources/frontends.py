@@ -36,6 +36,8 @@ _FIELD = "struct<name:string,type_debug:string,visibility:string>"
 NODE = f"node_id:bigint,node_kind:string,name:string,short_name:string,file:string,start_line:int,end_line:int,visibility:string,complexity:int,is_async:boolean,is_unsafe:boolean,params:array<{_PARAM}>,return_type_debug:string,return_type_display:string,data_kind:string,fields:array<{_FIELD}>,implements:array<string>,is_constant:boolean,is_mutable:boolean"
 EDGE = "src:bigint,dst:bigint,edge_kind:string,condition:string,is_dynamic:boolean,line:int"
 IMPORT = "module:string,symbols:array<string>,wildcard:boolean"
+CALL = "file string, caller string, callee string, condition string, is_dynamic boolean, line int"
+CALL_NAMES, CALL_TYPES = ["file", "caller", "callee", "condition", "is_dynamic", "line"], [*[pa.string()] * 4, pa.bool_(), pa.int32()]
 PARSED = f"path string, language string, error string, nodes array<struct<{NODE}>>, edges array<struct<{EDGE}>>, imports array<struct<{IMPORT}>>"
 
 
@@ -60,6 +62,12 @@ def parse_file(path: str, content: bytes | str, frontends=FRONTENDS) -> FileGrap
         return FileGraph(path, frontend.name, error="nested too deeply")
 
 
+def _known(files: DataFrame, frontends) -> DataFrame:
+    """(path, content) of the files with a frontend."""
+    known = files.where(F.substring_index("path", ".", -1).isin(*by_extension(frontends)) & F.col("content").isNotNull())
+    return known.select("path", F.col("content").cast("binary").alias("content"))
+
+
 def parse_files(files: DataFrame, frontends=FRONTENDS) -> DataFrame:
     """(path, language, error, nodes, edges, imports) of files (path, content), those with a frontend."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,8 +83,28 @@ def parse_files(files: DataFrame, frontends=FRONTENDS) -> DataFrame:
                 row = {"path": path, "language": graph.language, "error": graph.error, "nodes": graph.nodes, "edges": graph.edges, "imports": graph.imports}
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
-    known = files.where(F.substring_index("path", ".", -1).isin(*by_extension(frontends)) & F.col("content").isNotNull())
-    return known.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
+    return _known(files, frontends).mapInArrow(run, schema)
+
+
+def calls_in(files: DataFrame, frontends=FRONTENDS) -> DataFrame:
+    """(file, caller, callee, condition, is_dynamic, line) of files (path, content): the edges with the names of their
+    ends, which are nodes of the same file. Files are parsed once and nothing else of them leaves Python."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [[] for _ in range(6)]
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                graph = parse_file(path, content, frontends)
+                names = {n["node_id"]: n["name"] for n in graph.nodes}
+                for e in graph.edges:
+                    for column, value in zip(columns, (path, names[e["src"]], names[e["dst"]], e["condition"], e["is_dynamic"], e["line"]), strict=True):
+                        column.append(value)
+                if len(columns[0]) >= 10_000:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, CALL_TYPES)), names=CALL_NAMES)
+                    columns = [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, CALL_TYPES)), names=CALL_NAMES)
+
+    return _known(files, frontends).mapInArrow(run, CALL)
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:

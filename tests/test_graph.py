@@ -73,3 +73,19 @@ def test_link_stats_of_a_frequent_name(spark):
     nodes = spark.range(20_000).selectExpr("id as node_id", "'function' as node_kind", "concat('f', id div 19000) as short_name", "concat('f', id div 19000) as name", "concat('d', id % 3, '/x.rs') as file", "'public' as visibility", "case when id % 2 = 0 and id < 19000 then 1 end as complexity")
     edges = spark.range(20_000).selectExpr("0L as src", "id as dst", "'calls' as edge_kind")
     assert tuple(linked(nodes, edges)[2].first()) == (9_500, 1_000, 999, 10_499)
+
+
+def test_calls_are_parsed_once_and_in_many_tasks(spark, small):
+    from codegraph_spark.plans.queries import QUERIES
+    from codegraph_spark.sources import frontends
+
+    plan = QUERIES["index_calls"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "RoundRobinPartitioning(8)" in plan
+    files = [("a.py", "def f():\n    return g(h.f())\n\ndef g(): f()\n"), ("b.rs", "fn f() { if x { m::g()?; } }"), ("c.ts", "function f(): void {}"), ("d.txt", "f()"), ("e.py", None)]
+    got = frontends.calls_in(spark.createDataFrame(files, "path string, content string")).collect()
+    want = []
+    for path, text in files[:3]:
+        graph = frontends.parse_file(path, text)
+        names = {n["node_id"]: n["name"] for n in graph.nodes}
+        want += [(path, names[e["src"]], names[e["dst"]], e["condition"], e["is_dynamic"], e["line"]) for e in graph.edges]
+    assert len(want) >= 4 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
