@@ -21,6 +21,8 @@ own, none earlier than the other, so they do not delete each other. Texts of any
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +33,8 @@ from .shared import dropped, saved
 from .textkit import U64, lowered, mixed, pieces, portions, prefix_sums, span_hashes, text_bytes, word_spans
 
 PARAGRAPH, PASSAGE, NEAR = 20, 24, 26
+#: longer_runs() compares so many slices of the runs one after the other.
+SLICES = 3
 RULE = Rule(width=5, percent=80, rows=3, missed=3e-4)
 
 
@@ -218,14 +222,19 @@ def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     joined = _known(docs).dropDuplicates(["doc_id", "body"]).join(asked, ["doc_id", "body"]).select("doc_id", "text", "body", "asked")
     runs = saved(joined.mapInArrow(find, "run long, doc_id long, body long, first long, by int"), "longer-runs")
     start = F.col("first") + F.least("by", F.lit(0))
-    origins = runs.groupBy("run").agg(F.min(F.struct("doc_id", "body", start.alias("start"))).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
     size = PASSAGE + F.abs("by")
     later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.body") == F.col("body")) & (F.col("origin.start") + size <= start))
-    origins = saved(origins, "longer-origins")
-    shared = runs.join(origins, "run").where(later)
-    out = shared.groupBy("doc_id", "body", "first").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right"))
-    out = saved(out, "longer")
-    dropped(runs, origins)
+    found = []
+    for k in range(SLICES):  # all places of a run are in one slice; only one slice's shuffles lie on disk at a time
+        some = runs.where(F.pmod("run", F.lit(SLICES)) == k)
+        origins = some.groupBy("run").agg(F.min(F.struct("doc_id", "body", start.alias("start"))).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
+        origins = saved(origins, "longer-origins")
+        shared = some.join(origins, "run").where(later)
+        found.append(saved(shared.groupBy("doc_id", "body", "first").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right")), "longer-slice"))
+        dropped(origins)
+    dropped(runs)
+    out = saved(reduce(DataFrame.unionByName, found).groupBy("doc_id", "body", "first").agg(F.max("left").alias("left"), F.max("right").alias("right")), "longer")
+    dropped(*found)
     return out
 
 

@@ -454,6 +454,20 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
 
 
+def test_slices_of_longer_runs_are_compared_apart(spark, monkeypatch):
+    """Each slice has its own table of origins, and the number of slices changes nothing."""
+    words = [f"w{k}" for k in range(90)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x"] + words[5:80] + ["y"])), (3, " ".join(words[20:70] + ["z"]))], "doc_id long, text string")
+    asked = docs.selectExpr("doc_id", "xxhash64(text) as body", "cast(case doc_id when 1 then 30 when 2 then 26 else 10 end as long) as first", "1 as left", "1 as right")
+    names, save, got = [], passages.saved, []
+    monkeypatch.setattr(passages, "saved", lambda df, name: names.append(name) or save(df, name))
+    for slices in (1, 3):
+        monkeypatch.setattr(passages, "SLICES", slices)
+        got.append({(x["doc_id"], x["left"], x["right"]) for x in passages.longer_runs(docs, asked).collect()})
+    assert got == [{(2, 25, 25), (3, 10, 16)}] * 2
+    assert names.count("longer-origins") == 1 + 3
+
+
 @pytest.mark.parametrize("run", [passages.digest, line_dedup.digest, bwt_dedup.digest, ppm.score_folds, langid.identify, minhash.dedup_documents, pieces.digest, mixing.mix_digest])
 def test_empty_documents(empty, run):
     assert run(empty).count() == 0
