@@ -9,8 +9,8 @@ from .storage import cut
 
 
 def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends are nodes."""
-    ids = nodes.select("node_id")
+    """Edges whose two ends are nodes. Ids are few and short beside edges, so they are hashed and no edge is sorted."""
+    ids = nodes.select("node_id").hint("shuffle_hash")
     return edges.join(ids, F.col("src") == F.col("node_id"), "left_semi").join(ids, F.col("dst") == F.col("node_id"), "left_semi")
 
 
@@ -43,25 +43,32 @@ def _directory(file: str) -> F.Column:
     return F.regexp_replace(file, "/[^/]*$", "")
 
 
+#: The scores that a candidate can have by itself, from the highest on.
+SCORES = (10, 5, 0, -5)
+
+
 def linked(nodes: DataFrame) -> DataFrame:
     """(old_id, new_id): each placeholder that has candidates, and the best of them.
 
     Public functions score 10, internal ones 5, the same directory 20, a path with 'test' -5; ties go to the smaller id.
     """
     empty = "node_kind = 'function' AND complexity IS NULL"
-    asked = nodes.where(empty).select(F.col("node_id").alias("old_id"), link_key().alias("key"), _directory("file").alias("directory"))
+    # Unknown directories are '' where they offer and NULL where they ask, so they never meet, and no filter of NULLs
+    # keeps the two uses of near from being one.
+    directory = F.concat(F.lit("/"), _directory("file"))
+    asked = nodes.where(empty).select(F.col("node_id").alias("old_id"), link_key().alias("key"), directory.alias("directory"))
     own = nodes.where(f"NOT ({empty})")
     names = F.array_distinct(F.array("short_name", F.substring_index("short_name", "::", -1), F.substring_index("short_name", ".", -1)))
-    offered = own.select(F.col("node_id").alias("new_id"), F.explode(names).alias("key"), _directory("file").alias("directory"), "file", "visibility", "node_kind").where("key <> ''")
+    offered = own.select(F.col("node_id").alias("new_id"), F.explode(names).alias("key"), F.coalesce(directory, F.lit("")).alias("directory"), "file", "visibility", "node_kind").where("key <> ''")
     score = F.when((F.col("node_kind") == "function") & (F.col("visibility") == "public"), 10).when((F.col("node_kind") == "function") & (F.col("visibility") == "internal"), 5).otherwise(0) - F.when(F.contains("file", F.lit("test")), 5).otherwise(0)
-    # The directory's 20 points are all that depends on who asks: a key's best in each directory and its best of all will do.
-    best = F.max(F.struct(score.alias("score"), (-F.col("new_id")).alias("minus")))
-    near = offered.groupBy("key", "directory").agg(best.alias("near"))
-    all_best = near.groupBy("key").agg(F.max("near").alias("any"))
-    nearer = F.struct((F.col("near.score") + 20).alias("score"), F.col("near.minus").alias("minus"))
+    # The directory's 20 points are all that depends on who asks: a key's best in each directory and its best of all will
+    # do. Scores are few, so the best is the smallest id of the highest score that has one; such minima need no sort.
+    offered = offered.withColumn("score", score)
+    near = offered.groupBy("key", "directory").agg(*(F.min(F.when(F.col("score") == x, F.col("new_id"))).alias(f"near{x}") for x in SCORES))
+    all_best = near.groupBy("key").agg(*(F.min(f"near{x}").alias(f"any{x}") for x in SCORES))
+    # The directory's own best, 20 points up, beats all others: scores differ by 15 at most.
     met = asked.join(all_best, "key").join(near, ["key", "directory"], "left")
-    met = met.select("old_id", F.greatest("any", F.when(F.col("near").isNotNull(), nearer)).alias("best"))
-    return met.groupBy("old_id").agg((-F.max("best")["minus"]).alias("new_id"))
+    return met.groupBy("old_id").agg(*(F.min(f"{of}{x}").alias(f"{of}{x}") for of in ("near", "any") for x in SCORES)).select("old_id", F.coalesce(*(f"{of}{x}" for of in ("near", "any") for x in SCORES)).alias("new_id"))
 
 
 def unresolved(nodes: DataFrame, links: DataFrame) -> DataFrame:

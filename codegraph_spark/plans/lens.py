@@ -83,17 +83,22 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls between parts on neighbouring order lines, calls of types, containment, and some that dangle."""
+def raw_edges(spark: SparkSession, sf_dir: str, into: DataFrame | None = None) -> DataFrame:
+    """Calls between parts on neighbouring order lines, calls of types, containment, and some that dangle.
+
+    into: (dst): only the edges that end there, all others being left out before lines are joined.
+    """
+    ends = lambda df: df if into is None else df.join(into, "dst", "left_semi").select(*df.columns)
     lines = table(spark, sf_dir, "lineitem")
-    a = lines.where("l_quantity <= 6").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("p"))
-    b = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("q"))
+    # The lines that call are few beside all lines: they are hashed, and the others are not sorted.
+    a = lines.where("l_quantity <= 6").hint("shuffle_hash").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), (F.col("l_partkey") + 1_000_000).alias("src"))
+    b = ends(lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") + 1_000_000).alias("dst")))
     kind = lambda x: F.lit(x).alias("edge_kind")
-    calls = a.join(b, ["l_orderkey", "l_linenumber"]).where("p <> q").select((F.col("p") + 1_000_000).alias("src"), (F.col("q") + 1_000_000).alias("dst"), kind("calls")).distinct()
-    made = lines.where("l_quantity <= 1").select((F.col("l_partkey") + 1_000_000).alias("src"), (F.col("l_suppkey") + 2_000_000).alias("dst"), kind("calls")).distinct()
+    calls = a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst", kind("calls")).distinct()
+    made = lines.where("l_quantity <= 1").select((F.col("l_partkey") + 1_000_000).alias("src"), (F.col("l_suppkey") + 2_000_000).alias("dst"), kind("calls"))
     within = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 3_000_000).cast("long").alias("src"), (F.col("s_suppkey") + 2_000_000).alias("dst"), kind("contains"))
     loose = table(spark, sf_dir, "part").where("p_partkey % 500 = 0").select((F.col("p_partkey") + 1_000_000).alias("src"), (F.col("p_partkey") + 9_000_000).alias("dst"), kind("calls"))
-    return calls.unionByName(made).unionByName(within).unionByName(loose)
+    return calls.unionByName(ends(made).distinct()).unionByName(ends(within)).unionByName(ends(loose))
 
 
 def new_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

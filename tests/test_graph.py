@@ -89,3 +89,15 @@ def test_calls_are_parsed_once_and_in_many_tasks(spark, small):
         names = {n["node_id"]: n["name"] for n in graph.nodes}
         want += [(path, names[e["src"]], names[e["dst"]], e["condition"], e["is_dynamic"], e["line"]) for e in graph.edges]
     assert len(want) >= 4 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_linking_and_resolving_sort_nothing(spark):
+    """Linking takes minima that need no sorted rows, offers are gathered once, and edges are not sorted for their ends."""
+    nodes = spark.createDataFrame([(1, "function", "f", "a/x.rs", None, None), (2, "function", "f", None, "public", 1), (3, "function", "f", "a/y.rs", "public", 1)], SCHEMA)
+    links = graph.linked(nodes)
+    assert [tuple(x) for x in links.collect()] == [(1, 3)]
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ReusedExchange" in plan
+    edges = spark.createDataFrame([(1, 2), (2, 9)], "src long, dst long")
+    got = graph.resolved(edges, nodes)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and [tuple(x) for x in got.collect()] == [(1, 2)]
