@@ -22,20 +22,29 @@ class State:
     manifest: DataFrame
 
 
-def linked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, stats) after linking: placeholders with a candidate are replaced by it, the others of one name are
-    one. stats: one row, resolved, unresolved, merged, retargeted."""
+def link_tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, loose, merged): placeholders with a candidate, those without, and what of these goes as one of a name."""
     links = cut(graph.linked(nodes))
     loose = graph.unresolved(nodes, links)
-    merged = cut(graph.merged_duplicates(loose))
+    return links, loose, cut(graph.merged_duplicates(loose))
+
+
+def link_stats(links: DataFrame, loose: DataFrame, merged: DataFrame, touched: DataFrame) -> DataFrame:
+    """One row, resolved, unresolved, merged, retargeted. touched: the edges that end in links or merged."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(links, "resolved").crossJoin(one(loose, "unresolved")).crossJoin(one(merged, "merged")).crossJoin(one(touched, "retargeted"))  # one row each
+
+
+def linked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, stats) after linking: placeholders with a candidate are replaced by it, the others of one name are
+    one. stats: as link_stats() gives them."""
+    links, loose, merged = link_tables(nodes)
     mapping = links.unionByName(merged)
     whole = edges.select("src", "dst", "edge_kind")
     moved = graph.retargeted(whole, mapping).distinct()
     touched = whole.join(mapping.select(F.col("old_id").alias("dst")), "dst", "left_semi")
     left = nodes.join(mapping, F.col("node_id") == F.col("old_id"), "left_anti")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    stats = one(links, "resolved").crossJoin(one(loose, "unresolved")).crossJoin(one(merged, "merged")).crossJoin(one(touched, "retargeted"))  # one row each
-    return left, moved, stats
+    return left, moved, link_stats(links, loose, merged, touched)
 
 
 def index_files(files: DataFrame, before: State | None = None, registry=frontends.FRONTENDS) -> tuple[State, DataFrame]:

@@ -101,3 +101,16 @@ def test_linking_and_resolving_sort_nothing(spark):
     edges = spark.createDataFrame([(1, 2), (2, 9)], "src long, dst long")
     got = graph.resolved(edges, nodes)
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and [tuple(x) for x in got.collect()] == [(1, 2)]
+
+
+def test_link_stats_resolves_only_edges_that_it_counts(spark, small):
+    from codegraph_spark.plans import queries
+
+    at = queries.Lens(spark, small)
+    ends = at.nodes.where("node_kind = 'function' and complexity is null").selectExpr("node_id as dst")
+    few = sorted(map(tuple, at.edges_into(ends).select("src", "dst", "edge_kind").collect()))
+    assert few and "edges" not in vars(at)
+    assert few == sorted(map(tuple, at.edges.join(ends, "dst", "left_semi").select("src", "dst", "edge_kind").collect()))
+    queries._LENSES.clear()
+    row = queries.QUERIES["link_stats"](spark, small).first()
+    assert "edges" not in vars(queries._at(spark, small)) and row["retargeted"] <= len(few)
