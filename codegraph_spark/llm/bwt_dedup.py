@@ -22,18 +22,21 @@ to look. Null texts count as empty; rows without a doc_id lose nothing; rows tha
 
 from __future__ import annotations
 
+from itertools import chain, pairwise
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, saved
-from .textkit import U64, pieces, portions, power_tables, prefix_sums, text_bytes
+from .textkit import U64, pieces, portions, power_tables, prefix_sums, sums_by, text_bytes
 
 LENGTH, GRAM = 50, 28
-SHARDS, DOCS_A_PART, REGIONS_A_TASK = 8, 2000, 4000
-PLACE_BITS = 24
+SHARDS, DOCS_A_PART, REGIONS_A_TASK, REGIONS_AT_ONCE = 8, 2000, 4000, 1000
+PLACE_BITS, SLICE = 24, 1 << 15
 
 
 def _window_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,24 +46,28 @@ def _window_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     sums, (_, down) = prefix_sums(data), power_tables(n)
-    hashes = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
-    hashes ^= hashes >> U64(29)
-    hashes *= U64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> U64(32)
+    hashes, anchors = np.empty(n - GRAM + 1, U64), np.empty(n - length + 1, np.int64)
     # The place in the low bits breaks ties to the right; the few bits of the hash that go do not matter. Places are
-    # counted in slices that overlap by a string, so they fit, however long the texts are.
+    # counted in slices that overlap by a string, so they fit, however long the texts are, and so do caches.
     low = U64((1 << PLACE_BITS) - 1)
-    anchors = np.empty(n - length + 1, np.int64)
-    for lo in range(0, len(anchors), (1 << PLACE_BITS) - near):
-        part = hashes[lo : lo + (1 << PLACE_BITS) - 1]
-        rank = (part & ~low) | (low - np.arange(len(part), dtype=U64))
+    slots = min(SLICE, 1 << PLACE_BITS)
+    back = low - np.arange(slots, dtype=U64)
+    for lo in range(0, len(anchors), slots - near):
+        hi = min(lo + slots - 1, len(hashes))
+        rank = (sums[lo + GRAM : hi + GRAM] - sums[lo:hi]) * down[lo:hi]
+        rank ^= rank >> U64(29)
+        rank *= U64(0xBF58476D1CE4E5B9)
+        rank ^= rank >> U64(32)
+        hashes[lo:hi] = rank
+        rank &= ~low
+        rank |= back[: len(rank)]
         size = 1
         while size < near:
             step = min(size, near - size)
-            rank[: len(rank) - step] = np.minimum(rank[: len(rank) - step], rank[step:])
+            np.minimum(rank[: len(rank) - step], rank[step:], out=rank[: len(rank) - step])
             size += step
-        own = rank[: len(part) - near + 1]
-        anchors[lo : lo + len(own)] = (low - (own & low)).astype(np.int64) + lo
+        own = rank[: len(rank) - near + 1] & low
+        anchors[lo : lo + len(own)] = int(low) + lo - own.view(np.int64)
     fits = np.ones(n, bool)
     for cut in offsets[1:]:
         fits[max(0, cut - length + 1) : cut] = False
@@ -91,8 +98,9 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
                 spots = anchors[_runs(anchors)[:-1]]
                 doc, key = np.searchsorted(at, spots, "right") - 1, hashes[spots] >> U64(24)
                 part = (key % U64(parts)).astype(np.int64)
+                part = part.astype(np.min_scalar_type(parts))  # narrow ones are sorted by counting
                 order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
                 number += 1
                 used = np.flatnonzero(np.diff(cuts))
                 lists = [order[cuts[p] : cuts[p + 1]] for p in used]
@@ -139,21 +147,23 @@ def regions(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     def find(batches):
         for batch in portions(batches, 1):
             data, offsets = text_bytes(batch.column(1))
-            ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            keys, docs_, firsts, texts = [], [], [], []
-            for d, name in enumerate(ids):
-                own = data[offsets[d] : offsets[d + 1]]
-                known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in wanted[d]]))
-                starts, spots, hashes = _window_anchors(own, np.array([0, len(own)]), length)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in pieces(offsets):
+                own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                lists = batch.column(2).slice(lo, hi - lo)
+                each = lists.flatten()
+                of = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+                of = np.repeat(of, pc.binary_length(each).to_numpy(zero_copy_only=False) // 8)
+                wanted = np.frombuffer(b"".join(each.to_pylist()), np.uint64)
+                starts, spots, hashes = _window_anchors(own, at, length)
                 cuts = _runs(spots)
-                key = hashes[spots[cuts[:-1]]] >> U64(24)
-                hit = np.flatnonzero(np.isin(key, known))
-                keys.append(key[hit].astype(np.int64))
-                docs_.append(np.full(len(hit), name))
-                firsts.append(starts[cuts[hit]])
-                texts += [own[a : b + length].tobytes() for a, b in zip(starts[cuts[hit]], starts[cuts[hit + 1] - 1], strict=True)]
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs_).astype(np.int64)), pa.array(np.concatenate(firsts)), pa.array(texts, pa.binary())], names=["key", "doc_id", "first", "text"])
+                first, last = starts[cuts[:-1]], starts[cuts[1:] - 1]
+                doc, key = np.searchsorted(at, first, "right") - 1, hashes[spots[cuts[:-1]]] >> U64(24)
+                # A key has 40 bits, so a document's place among the piece's fits beside it.
+                hit = np.flatnonzero(np.isin(doc.astype(U64) << U64(40) | key, of.astype(U64) << U64(40) | wanted, kind="sort"))
+                raw = own.tobytes()
+                texts = [raw[a:b] for a, b in zip(first[hit].tolist(), (last[hit] + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit].astype(np.int64)), pa.array(ids[lo:hi][doc[hit]]), pa.array(first[hit] - at[doc[hit]]), pa.array(texts, pa.binary())], names=["key", "doc_id", "first", "text"])
 
     return docs.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(find, "key long, doc_id long, first long, text binary")
 
@@ -227,8 +237,14 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH,
     return [out[b : b + max(0, s - length)] for b, s in zip(begin, sizes, strict=True)]
 
 
+def _shares(keys: np.ndarray, size: int) -> np.ndarray:
+    """Bounds of shares of sorted keys, of about ``size`` rows each; no key is parted."""
+    bounds = _runs(keys)
+    return bounds[np.unique(np.searchsorted(bounds, np.arange(0, len(keys) + size, size)).clip(max=len(bounds) - 1))]
+
+
 def _class_runs(classes: DataFrame, length: int) -> DataFrame:
-    """(key, h1, h2, n, starts, owners): the strings of a region, in runs that have the same smallest owner.
+    """(key, h1, h2, start, n, owner): the strings of a region, in runs that have the same smallest owner.
 
     classes: (key, h1, h2, n, text, owner). Regions that share their anchor are merged; an anchor's regions are never parted, as
     long as a task can hold them: what they share an anchor for is 28 equal bytes, and equal regions are one already.
@@ -237,17 +253,22 @@ def _class_runs(classes: DataFrame, length: int) -> DataFrame:
     bins = max(1, (alone.agg(F.sum("n")).first()[0] or 0) // REGIONS_A_TASK)
 
     def merge(table):
+        table = table.sort_by("key")
         texts, owners = table.column("text").to_pylist(), table.column("owner").to_numpy()
-        starts, least = [], []
-        for found in smallest_owner(texts, owners, length):
-            cuts = _runs(found)[:-1]
-            starts.append(cuts.astype(np.int32))
-            least.append(found[cuts])
-        return pa.table({**{name: table.column(name) for name in ("key", "h1", "h2", "n")}, "starts": pa.array(starts, pa.list_(pa.int32())), "owners": pa.array(least, pa.list_(pa.int64()))})
+        starts, sizes, least, runs = [], [], [], []
+        # Anchors have nothing to do with each other, and fewer regions fit the caches: about so many are merged at once.
+        for found in chain.from_iterable(smallest_owner(texts[lo:hi], owners[lo:hi], length) for lo, hi in pairwise(_shares(table.column("key").to_numpy(), REGIONS_AT_ONCE).tolist())):
+            cuts = _runs(found)
+            starts.append(cuts[:-1])
+            sizes.append(np.diff(cuts))
+            least.append(found[cuts[:-1]])
+            runs.append(len(cuts) - 1)
+        of = pa.array(np.repeat(np.arange(len(texts)), runs))
+        return pa.table({**{name: table.column(name).take(of) for name in ("key", "h1", "h2")}, **{name: np.concatenate(x) for name, x in (("start", starts), ("n", sizes), ("owner", least))}})
 
     shared = classes.join(alone.select("key"), "key").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
-    merged = shared.groupBy("bin").applyInArrow(merge, "key long, h1 long, h2 long, n int, starts array<int>, owners array<long>")
-    own = classes.join(alone.select("key"), "key", "left_anti").select("key", "h1", "h2", "n", F.array(F.lit(0)).alias("starts"), F.array("owner").alias("owners"))
+    merged = shared.groupBy("bin").applyInArrow(merge, "key long, h1 long, h2 long, start long, n long, owner long")
+    own = classes.join(alone.select("key"), "key", "left_anti").select("key", "h1", "h2", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("n"), "owner")
     return merged.unionByName(own)
 
 
@@ -269,10 +290,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dropped(with_texts)
     runs = saved(_class_runs(classes, length), "runs")
     dropped(classes)
-    met = pieces_.select("key", "h1", "h2", "doc_id", "first").join(runs, ["key", "h1", "h2"])
-    ends = F.expr("transform(sequence(1, size(starts)), k -> if(k < size(starts), starts[k], n))")
-    spans = F.filter(F.transform(F.arrays_zip("starts", ends.alias("ends"), "owners"), lambda x: F.struct((F.col("first") + x["starts"]).alias("first"), (x["ends"] - x["starts"]).cast("long").alias("n"), x["owners"].alias("owner"))), lambda x: x["owner"] < F.col("doc_id"))
-    rows = met.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.first", "s.n")
+    met = pieces_.join(runs, ["key", "h1", "h2"]).where("owner < doc_id")
+    rows = met.select("doc_id", (F.col("first") + F.col("start")).alias("first"), "n")
     whole = copies.where(F.col("n") >= length).select("doc_id", F.lit(0).cast("long").alias("first"), (F.col("n") - (length - 1)).alias("n"))
     rows = saved(rows.unionByName(whole), "spans")
     dropped(pieces_, runs)
@@ -292,18 +311,24 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in portions(batches, at):
             data, offsets = text_bytes(batch.column(at))
             removed, runs, kept = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64), []
-            for d, spans in enumerate(batch.column(len(keep)).to_pylist()):
-                own = data[offsets[d] : offsets[d + 1]]
-                if spans:
-                    turn = np.zeros(len(own) + 1, np.int64)
-                    first, n = np.array([s["first"] for s in spans]), np.array([s["n"] for s in spans])
-                    np.add.at(turn, first, 1)
-                    np.add.at(turn, np.minimum(first + n + length - 1, len(own)), -1)
-                    away = np.cumsum(turn)[:-1] > 0
-                    removed[d], runs[d] = away.sum(), (away[1:] & ~away[:-1]).sum() + away[0]
-                    own = own[~away]
-                kept.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], names=[*keep, *new])
+            for lo, hi in pieces(offsets):
+                own, here = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                lists = batch.column(len(keep)).slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                first, n = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("first", "n"))
+                first = first + here[doc]
+                turn = np.bincount(first, minlength=len(own) + 1) - np.bincount(np.minimum(first + n + length - 1, here[doc + 1]), minlength=len(own) + 1)
+                away = np.cumsum(turn)[:-1] > 0
+                begins = away.copy()
+                begins[1:] &= ~away[:-1]
+                heads = here[:-1][here[:-1] < len(own)]
+                begins[heads] = away[heads]
+                removed[lo:hi], runs[lo:hi] = sums_by(away, here), sums_by(begins, here)
+                kept.append(own[~away])
+            left = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(left), pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *kept]))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs), texts], names=[*keep, *new])
 
     schema = docs.select(*keep).schema
     for name in new:

@@ -125,6 +125,35 @@ def test_merge_of_transforms():
             assert found.tolist() == [least[t[k : k + size]] for k in range(len(t) - size + 1)]
 
 
+def test_runs_of_regions_are_rows(spark):
+    """Each run of strings with one smallest owner is a row, and anchors are merged in shares that part none."""
+    keys = np.sort(np.random.default_rng(2).integers(0, 40, 900))
+    bounds = bwt_dedup._shares(keys, 50)
+    assert bounds[0] == 0 and bounds[-1] == 900 and len(bounds) > 10
+    assert all(keys[b - 1] != keys[b] for b in bounds[1:-1]) and np.diff(bounds).max() < 50 + 2 * np.bincount(keys).max()
+    classes = spark.createDataFrame([(7, 1, 1, 5, b"abcdefgh", 3), (7, 2, 2, 4, b"xcdefgh", 2), (8, 3, 3, 1, b"wxyz", 5)], "key long, h1 long, h2 long, n int, text binary, owner long")
+    got = sorted(map(tuple, bwt_dedup._class_runs(classes, 4).collect()))
+    assert got == [(7, 1, 1, 0, 2, 3), (7, 1, 1, 2, 3, 2), (7, 2, 2, 0, 4, 2), (8, 3, 3, 0, 1, 5)]
+
+
+def test_regions_of_many_documents(spark):
+    """Each document gets the regions of its own anchors only, whatever other documents of the batch ask for."""
+    r = random.Random(9)
+    shared = "".join(r.choice("abcdef") for _ in range(300))
+    texts = ["", "short", shared, "é" * 9 + shared[:200], shared[50:], "".join(r.choice("ghijk") for _ in range(200))]
+    docs = spark.createDataFrame([(k + 10, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    own = {}
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t.encode(), np.uint8)
+        starts, spots, hashes = bwt_dedup._window_anchors(data, np.array([0, len(data)]), 50)
+        for s, a in zip(starts.tolist(), spots.tolist()):
+            own.setdefault(k + 10, {}).setdefault((a, int(hashes[a] >> np.uint64(24))), []).append((s, data[s : s + 50].tobytes()))
+    asked = {d: sorted({key for _, key in found})[d % 2 :: 2] for d, found in own.items()}
+    anchors = spark.createDataFrame([(d, [np.array(x[:2], np.uint64).tobytes(), np.array(x[2:], np.uint64).tobytes()]) for d, x in asked.items()], "doc_id long, anchors array<binary>")
+    want = sorted((key, d, s[0][0], b"".join([s[0][1], *(x[-1:] for _, x in s[1:])])) for d, found in own.items() for (_, key), s in found.items() if key in asked[d])
+    assert len(want) > 20 and sorted((x[0], x[1], x[2], bytes(x[3])) for x in bwt_dedup.regions(docs, anchors, 50).collect()) == want
+
+
 def sets_of(texts, width):
     out = []
     for t in texts:
