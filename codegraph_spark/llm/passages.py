@@ -35,6 +35,8 @@ from .textkit import U64, lowered, mixed, pieces, portions, prefix_sums, span_ha
 PARAGRAPH, PASSAGE, NEAR = 20, 24, 26
 #: longer_runs() compares so many slices of the runs one after the other.
 SLICES = 3
+#: A place is one number: a text has fewer words than this many bits count, and the texts fit the bits above.
+WORD_BITS = 31
 RULE = Rule(width=5, percent=80, rows=3, missed=3e-4)
 
 
@@ -44,13 +46,18 @@ def _line_words(own: np.ndarray, starts: np.ndarray, of: np.ndarray) -> np.ndarr
     return np.unique(np.concatenate([of, breaks, [len(starts)]]))
 
 
-def _run_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A hash of each run of words, from prefix sums of position-weighted hashes."""
+def _run_tables(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _run_hashes() needs of words: prefix sums of position-weighted hashes, and weights to take places off."""
     base = U64(0xD6E8FEB86659FD93)
     up = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(len(words), base)]))
     back = U64(pow(int(base), -1, 1 << 64))
     down = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(len(words), back)]))
-    sums = np.concatenate([[U64(0)], np.cumsum(words * up[:-1])])
+    return np.concatenate([[U64(0)], np.cumsum(words * up[:-1])]), down
+
+
+def _run_hashes(tables: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each run of words, from the words' _run_tables()."""
+    sums, down = tables
     return mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U64))
 
 
@@ -95,6 +102,7 @@ def places(docs: DataFrame) -> DataFrame:
                 own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, of = word_spans(own, at)
                 words = span_hashes(prefix_sums(own), starts, ends)
+                tables = _run_tables(words)
                 cuts = _line_words(own, starts, of)
                 a, b = cuts[:-1], cuts[1:]
                 long = b - a >= PARAGRAPH
@@ -102,10 +110,10 @@ def places(docs: DataFrame) -> DataFrame:
                 a, b = np.concatenate([a[long], spots]), np.concatenate([b[long], spots + PASSAGE])
                 passage = np.arange(len(a)) >= long.sum()
                 doc = np.searchsorted(of, a, "right") - 1
-                hashes = _run_hashes(words, a, b).view(np.int64)
+                hashes = _run_hashes(tables, a, b).view(np.int64)
                 # Of passages, the runs with all words beside them that longer_runs() looks at, and how many words follow.
                 room = np.minimum(of[doc + 1] - b, NEAR - 1)
-                left_run, right_run = _run_hashes(words, np.maximum(a - (NEAR - 1), of[doc]), b), _run_hashes(words, a, b + room)
+                left_run, right_run = _run_hashes(tables, np.maximum(a - (NEAR - 1), of[doc]), b), _run_hashes(tables, a, b + room)
                 yield pa.RecordBatch.from_arrays([pa.array(passage), pa.array(hashes), pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(bodies[lo:hi][doc]), pa.array(a - of[doc]), pa.array(b - a), *(pa.array(np.where(passage, x, 0)) for x in (left_run.view(np.int64), right_run.view(np.int64), room))], names=["passage", "id", "doc_id", "body", "first", "n", "left_run", "right_run", "room"])
 
     return _known(docs).mapInArrow(find, "passage boolean, id long, doc_id long, body long, first long, n long, left_run long, right_run long, room long")
@@ -125,7 +133,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 a, b = cuts[:-1], cuts[1:]
                 long = b - a >= PARAGRAPH
                 a, b = a[long], b[long]
-                hashes = _run_hashes(span_hashes(prefix_sums(small), starts, ends), a, b).view(np.int64)
+                hashes = _run_hashes(_run_tables(span_hashes(prefix_sums(small), starts, ends)), a, b).view(np.int64)
                 texts = [own[x:y].tobytes() for x, y in zip(starts[a], ends[b - 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "text"])
 
@@ -186,23 +194,38 @@ def extensions(docs: DataFrame, met: DataFrame) -> DataFrame:
     return out
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, body) with number, their places in the order of doc_id and body, and back, by how many numbers the
+    first text of the same doc_id is before."""
+    texts = saved(texts.orderBy("doc_id", "body").withColumn("at", F.monotonically_increasing_id()), "ordered")  # the partition above 33 bits
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = dict(map(tuple, texts.groupBy(part).count().collect()))
+    before = [0]
+    for k in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(k, 0))
+    out = texts.withColumn("number", F.element_at(F.lit(before), (part + 1).cast("int")) + inside).drop("at")
+    return out.withColumn("back", F.col("number") - F.min("number").over(Window.partitionBy("doc_id")))
+
+
 def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """(doc_id, body, first, left, right): by how many words to each side an earlier one of the places has the same.
 
     repeated: (doc_id, body, first, left, right): places of passages, and from which word beside them on, counted from
-    1, the words are looked at.
+    1, the words are looked at. Places are single numbers, the text's in the order of doc_id and body before the word's:
+    the smallest one of a run is found without sorting runs, and less is moved.
     """
     asked = repeated.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "left", "right")).alias("asked"))
+    numbers = saved(_numbered(repeated.select("doc_id", "body").distinct()), "numbers")
 
     def find(batches):
         for batch in portions(batches, 1):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            numbers, backs = (batch.column(k).to_numpy() for k in (0, 2))
             data, offsets = text_bytes(batch.column(1))
-            bodies, lists = batch.column(2).to_numpy(), batch.column(3)
+            lists = batch.column(3)
             for lo, hi in pieces(offsets):
                 own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, of = word_spans(own, at)
-                words = span_hashes(prefix_sums(own), starts, ends)
+                tables = _run_tables(span_hashes(prefix_sums(own), starts, ends))
                 part = lists.slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
                 flat = part.flatten()
@@ -216,25 +239,27 @@ def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     of_doc = np.repeat(doc[some], sizes)
                     a, b = place + np.minimum(by, 0), place + PASSAGE + np.maximum(by, 0)
                     fit = (a >= of[of_doc]) & (b <= of[of_doc + 1])
-                    hashes = _run_hashes(words, a[fit], b[fit]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[lo:hi][of_doc[fit]]), pa.array(bodies[lo:hi][of_doc[fit]]), pa.array((place - of[of_doc])[fit]), pa.array(by[fit].astype(np.int32))], names=["run", "doc_id", "body", "first", "by"])
-
-    joined = _known(docs).dropDuplicates(["doc_id", "body"]).join(asked, ["doc_id", "body"]).select("doc_id", "text", "body", "asked")
-    runs = saved(joined.mapInArrow(find, "run long, doc_id long, body long, first long, by int"), "longer-runs")
-    start = F.col("first") + F.least("by", F.lit(0))
-    size = PASSAGE + F.abs("by")
-    later = (F.col("origin.doc_id") < F.col("doc_id")) | ((F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.body") == F.col("body")) & (F.col("origin.start") + size <= start))
+                    a, b, by, of_doc = a[fit], b[fit], by[fit], of_doc[fit]
+                    places = (numbers[lo:hi][of_doc] << WORD_BITS) + a - of[of_doc]
+                    yield pa.RecordBatch.from_arrays([pa.array(_run_hashes(tables, a, b).view(np.int64)), pa.array(places), pa.array(by.astype(np.int32)), pa.array(backs[lo:hi][of_doc])], names=["run", "place", "by", "back"])
+
+    joined = _known(docs).dropDuplicates(["doc_id", "body"]).join(asked, ["doc_id", "body"]).join(numbers, ["doc_id", "body"]).select("number", "text", "back", "asked")
+    runs = saved(joined.mapInArrow(find, "run long, place long, by int, back long"), "longer-runs")
+    number, origin = F.shiftright("place", WORD_BITS), F.shiftright("origin", WORD_BITS)
+    later = (origin < number - F.col("back")) | ((origin == number) & (F.col("origin") + PASSAGE + F.abs("by") <= F.col("place")))
     found = []
     for k in range(SLICES):  # all places of a run are in one slice; only one slice's shuffles lie on disk at a time
         some = runs.where(F.pmod("run", F.lit(SLICES)) == k)
-        origins = some.groupBy("run").agg(F.min(F.struct("doc_id", "body", start.alias("start"))).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
+        origins = some.groupBy("run").agg(F.min("place").alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
         origins = saved(origins, "longer-origins")
-        shared = some.join(origins, "run").where(later)
-        found.append(saved(shared.groupBy("doc_id", "body", "first").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right")), "longer-slice"))
+        shared = some.join(origins.hint("shuffle_hash"), "run").where(later).withColumn("place", F.col("place") - F.least("by", F.lit(0)))
+        found.append(saved(shared.groupBy("place").agg(F.max(F.greatest(-F.col("by"), F.lit(0))).alias("left"), F.max(F.greatest("by", F.lit(0))).alias("right")), "longer-slice"))
         dropped(origins)
     dropped(runs)
-    out = saved(reduce(DataFrame.unionByName, found).groupBy("doc_id", "body", "first").agg(F.max("left").alias("left"), F.max("right").alias("right")), "longer")
-    dropped(*found)
+    longer = reduce(DataFrame.unionByName, found).groupBy("place").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    first = F.col("place").bitwiseAND((1 << WORD_BITS) - 1)
+    out = saved(longer.withColumn("number", number).join(numbers, "number").select("doc_id", "body", first.alias("first"), "left", "right"), "longer")
+    dropped(numbers, *found)
     return out
 
 
