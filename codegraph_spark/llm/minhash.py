@@ -243,7 +243,7 @@ def near_duplicates(items: DataFrame, rule: Rule = Rule(), content_ids: bool = F
     classes = saved(first.withColumn("id", own).select("id", "h1", "h2", "rep", "n", "sig", "bands"), "classes")
     slim = saved(signed.select("id", "n", "h1", "h2"), "signed-slim")
     dropped(signed)
-    spread = classes.select("id", F.explode("bands").alias("key")).distinct()
+    spread = classes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
     shared = saved(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared-bands")
     members = saved(spread.join(shared, "key"), "members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))

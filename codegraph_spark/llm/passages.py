@@ -35,6 +35,8 @@ from .textkit import U64, lowered, mixed, pieces, portions, prefix_sums, span_ha
 PARAGRAPH, PASSAGE, NEAR = 20, 24, 26
 #: longer_runs() compares so many slices of the runs one after the other.
 SLICES = 3
+#: Places of one passage that are compared in one task; passages with more of them go through longer_runs().
+GROUP = 20_000
 RULE = Rule(width=5, percent=80, rows=3, missed=3e-4)
 
 
@@ -155,37 +157,221 @@ def _later(place: str, size) -> Column:
     return (F.col(f"{place}.doc_id") < F.col("doc_id")) | inside
 
 
-def extensions(docs: DataFrame, met: DataFrame) -> DataFrame:
+def repeated_passages(found: DataFrame) -> DataFrame:
+    """(id, doc_id, body, first, room, later, left_whole, right_whole): the places of passages that are there more than
+    once, later being true for those that go; whether an earlier place has all words to a side, as far as looked at.
+
+    found: places(). A passage's places meet in one task; those of passages with more than GROUP places are spread.
+    """
+    passages = found.where("passage").select("id", "doc_id", "body", "first", "left_run", "right_run", "room")
+    # Passages are counted in bins of about GROUP / 8 places first, so that hardly any has to be counted by itself.
+    bins = 1 + 8 * passages.count() // GROUP
+    binned = passages.select("id", F.pmod(F.xxhash64("id"), F.lit(bins)).alias("bin"))
+    full = binned.groupBy("bin").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("bin")
+    many = saved(binned.join(F.broadcast(full), "bin", "left_semi").groupBy("id").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("id"), "many-places")
+    spread = many.limit(1).count() > 0
+
+    def classify(batches):
+        for table in _whole_passages(batches):
+            columns = [table.column(c).to_numpy() for c in ("id", "doc_id", "body", "first", "left_run", "right_run", "room")]
+            fresh = _changes(*columns[:4])  # a text that is there twice has its places twice
+            ids = columns[0][fresh]
+            cuts = np.flatnonzero(_changes(ids))
+            sizes = np.diff(np.append(cuts, len(ids)))
+            several = sizes > 1
+            kept = np.flatnonzero(fresh)[np.repeat(several, sizes)]
+            sizes = sizes[several]
+            ids, doc, body, first, left_run, right_run, room = (x[kept] for x in columns)
+            out = [_behind(np.repeat(np.cumsum(sizes) - sizes, sizes), doc, body, first, PASSAGE)]
+            for run, beside in ((left_run, np.minimum(first, NEAR - 1)), (right_run, room)):
+                order = np.argsort(run, kind="stable")
+                cuts = np.flatnonzero(_changes(run[order], ids[order]))
+                origin = np.empty_like(order)
+                origin[order] = np.repeat(order[cuts], np.diff(np.append(cuts, len(order))))
+                out.append(_behind(origin, doc, body, first, PASSAGE + beside))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, doc, body, first, room, *out)], names=["id", "doc_id", "body", "first", "room", "later", "left_whole", "right_whole"])
+
+    few = passages.join(F.broadcast(many), "id", "left_anti") if spread else passages
+    out = few.repartition("id").sortWithinPartitions("id", "doc_id", "body", "first").mapInArrow(classify, "id long, doc_id long, body long, first long, room long, later boolean, left_whole boolean, right_whole boolean")
+    parts = [_spread_classes(passages.join(F.broadcast(many), "id", "left_semi").distinct())] if spread else []
+    out = saved(reduce(DataFrame.unionByName, parts, out), "classed")
+    dropped(many, *parts)
+    return out
+
+
+def _spread_classes(places: DataFrame) -> DataFrame:
+    """What repeated_passages() finds, for passages whose places are too many for one task."""
+    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "body", "first")).alias("origin"))
+    places = saved(places.join(F.broadcast(first), "id").withColumn("later", _later("origin", PASSAGE)).drop("origin"), "spread")
+    for side, size in (("left", PASSAGE + F.least(F.col("first"), F.lit(NEAR - 1))), ("right", PASSAGE + F.col("room"))):
+        # A table of its own, so that nothing but a join meets all places of a class and Spark can split those.
+        of = saved(places.groupBy("id", f"{side}_run").agg(F.min(F.struct("doc_id", "body", "first")).alias("whose")), "class-firsts")
+        # Of equal starts to the right and of equal ends to the left, so the firsts' places tell whether runs overlap.
+        marked = saved(places.join(of, ["id", f"{side}_run"]).withColumn(f"{side}_whole", _later("whose", size)).drop("whose", f"{side}_run"), "spread")
+        dropped(places, of)
+        places = marked
+    return places
+
+
+def extensions(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, body, first, left, right): of the passages that go, by how many words to each side an earlier place has
     the same.
 
-    met: all places of the passages that are there more than once, later being true for those that go. Places with the
-    same words to a side, as far as these are looked at, are a class. All but the first of a class share them all with
-    an earlier place; only the firsts, one for each class, are compared word by word, and only where words that no
-    other place covers may go with one of them.
+    places: repeated_passages(). Places with the same words to a side, as far as these are looked at, are a class. All
+    but the first of a class share them all with an earlier place; only the firsts, one for each class, are compared
+    word by word, and only where words that no other place covers may go with one of them.
     """
-    places = met.where("passage").select("id", "doc_id", "body", "first", "later", "left_run", "right_run", "room").distinct()
-    for side in ("left", "right"):
-        of = places.groupBy("id", f"{side}_run").agg(F.min(F.struct("doc_id", "body", "first")).alias(f"{side}_first"))
-        places = places.join(of, ["id", f"{side}_run"])
-    # Of equal starts to the right and of equal ends to the left, so the firsts' places tell whether runs overlap.
-    for side, size in (("left", PASSAGE + F.least(F.col("first"), F.lit(NEAR - 1))), ("right", PASSAGE + F.col("room"))):
-        places = places.withColumn(f"{side}_whole", _later(f"{side}_first", size))
-    places = saved(places.drop("left_run", "right_run", "left_first", "right_first"), "classed")
     beside = _beside(places.where("later"))
     needs = [beside.where(f"not {side}_whole").groupBy("id").agg(F.min(f"{side}_from").alias(f"{side}_from")).where(F.col(f"{side}_from") < NEAR) for side in ("left", "right")]
     needs = saved(needs[0].join(needs[1], "id", "full"), "needs")
     asked = places.where("not left_whole or not right_whole").join(needs, "id")
-    asked = asked.select("doc_id", "body", "first", *(F.when(~F.col(f"{side}_whole"), F.col(f"{side}_from")).alias(side) for side in ("left", "right"))).where("left is not null or right is not null").fillna(NEAR, ["left", "right"])
-    longer = longer_runs(docs, asked)
+    asked = asked.select("id", "doc_id", "body", "first", *(F.when(~F.col(f"{side}_whole"), F.col(f"{side}_from")).alias(side) for side in ("left", "right"))).where("left is not null or right is not null").fillna(NEAR, ["left", "right"])
+    longer = longest(docs, asked)
     gone = places.where("later").join(longer, ["doc_id", "body", "first"], "left")
     left = F.when(F.col("left_whole"), F.least(F.col("first"), F.lit(NEAR - 1))).otherwise(F.coalesce("left", F.lit(0)))
     right = F.when(F.col("right_whole"), F.col("room")).otherwise(F.coalesce("right", F.lit(0)))
     out = saved(gone.select("doc_id", "body", "first", left.cast("int").alias("left"), right.cast("int").alias("right")), "extensions")
-    dropped(places, needs, longer)
+    dropped(needs, longer)
+    return out
+
+
+def longest(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """What longer_runs() finds for (id, doc_id, body, first, left, right), id being the passage.
+
+    Places that share a run share its passage, so those of a passage are compared in one task, word by word; those of
+    passages with more than GROUP places are spread over tasks by their runs, in longer_runs().
+    """
+    asked = saved(asked, "asked")
+    many = saved(asked.groupBy("id").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("id"), "many-places")
+    found = saved(beside_passages(docs, asked.join(many, "id", "left_anti")), "longer-sorted")
+    parts = [found]
+    if many.limit(1).count():
+        parts.append(longer_runs(docs, asked.join(many, "id", "left_semi").drop("id")))
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        out = saved(out, "longest")
+        dropped(*parts)
+    dropped(asked, many)
+    return out
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the columns."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
     return out
 
 
+def _whole_passages(batches):
+    """Tables of GROUP rows and more that hold all rows of their passages; batches are sorted by id."""
+    waiting, rows = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        rows += len(batch)
+        if rows >= GROUP:
+            table = pa.Table.from_batches(waiting)
+            ids = table.column("id").to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1]))
+            if whole:
+                yield table.slice(0, whole)
+                waiting, rows = table.slice(whole).to_batches(), rows - whole
+    if rows:
+        yield pa.Table.from_batches(waiting)
+
+
+def _behind(origin: np.ndarray, doc: np.ndarray, body: np.ndarray, first: np.ndarray, size, at=slice(None)) -> np.ndarray:
+    """_later() for rows at, whose origins are rows, too."""
+    return (doc[origin] < doc[at]) | ((doc[origin] == doc[at]) & (body[origin] == body[at]) & (first[origin] + size <= first[at]))
+
+
+def _shared_words(group: np.ndarray, words: np.ndarray, n: np.ndarray, doc: np.ndarray, body: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of its n words (a row each, from the passage on) a place shares with an earlier one of its group.
+
+    Places are in order in their groups, which the stable sorts keep.
+    """
+    best = np.zeros(len(group), np.int32)
+    at, keys = np.arange(len(group)), group
+    for k in range(words.shape[1]):
+        fit = n[at] > k
+        at, keys = at[fit], keys[fit]
+        if not len(at):
+            break
+        keys = mixed(keys * U64(0xD6E8FEB86659FD93) + words[at, k])
+        order = np.argsort(keys, kind="stable")
+        at, keys = at[order], keys[order]
+        cuts = np.flatnonzero(_changes(keys))
+        sizes = np.diff(np.append(cuts, len(at)))
+        later = _behind(np.repeat(at[cuts], sizes), doc, body, first, PASSAGE + k + 1, at)
+        best[at[later]] = k + 1
+        several = np.repeat(sizes > 1, sizes)
+        at, keys = at[several], keys[several]
+    return best
+
+
+def beside_passages(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, body, first, left, right): by how many words to each side an earlier one of a passage's places has the same.
+
+    asked: (id, doc_id, body, first, left, right); a side that is NEAR is not looked at. All places of a passage meet
+    in one task, each with the hashes of the words beside it.
+    """
+    wide = NEAR - 1
+    lists = asked.groupBy("doc_id", "body").agg(F.collect_set(F.struct("id", "first", "left", "right")).alias("asked"))
+
+    def find(batches):
+        for batch in portions(batches, 1):
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, offsets = text_bytes(batch.column(1))
+            bodies, lists = batch.column(2).to_numpy(), batch.column(3)
+            for lo, hi in pieces(offsets):
+                own, at = lowered(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
+                starts, ends, of = word_spans(own, at)
+                words = span_hashes(prefix_sums(own), starts, ends)
+                part = lists.slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
+                flat = part.flatten()
+                first = flat.field("first").to_numpy()
+                spot = of[doc] + first
+                passage = flat.field("id").to_numpy()
+                least = [flat.field(side).to_numpy() for side in ("left", "right")]
+                lefts = np.where(least[0] < NEAR, np.minimum(first, wide), 0)
+                rights = np.where(least[1] < NEAR, np.minimum(of[doc + 1] - spot - PASSAGE, wide), 0)
+                for some in np.array_split(np.arange(len(spot)), 1 + len(spot) // 20_000):
+                    # The words to the left from the passage on, then those to the right.
+                    a, sizes = lefts[some], lefts[some] + rights[some]
+                    cuts = np.concatenate([[0], np.cumsum(sizes)])
+                    by = np.arange(cuts[-1]) - np.repeat(cuts[:-1], sizes)
+                    to_left = np.repeat(a, sizes)
+                    beside = words[np.repeat(spot[some], sizes) + np.where(by < to_left, -1 - by, PASSAGE + by - to_left)]
+                    near = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(beside)])
+                    yield pa.RecordBatch.from_arrays([pa.array(passage[some]), pa.array(ids[lo:hi][doc[some]]), pa.array(bodies[lo:hi][doc[some]]), pa.array(first[some]), *(pa.array(x[some]) for x in least), pa.array(a.astype(np.int32)), near], names=["id", "doc_id", "body", "first", "left", "right", "lefts", "near"])
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        ids, doc, body, first, lefts = (table.column(c).to_numpy() for c in ("id", "doc_id", "body", "first", "lefts"))
+        near = table.column("near").combine_chunks()
+        data = np.frombuffer(near.buffers()[2] or b"", U64)
+        cuts = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64) // 8
+        start, sizes = cuts[:-1], np.diff(cuts)
+        found = []
+        for side, begin, n in (("left", start, lefts), ("right", start + lefts, sizes - lefts)):
+            words = np.zeros((len(ids), wide), U64)
+            inside = np.arange(wide) < n[:, None]
+            words[inside] = data[(begin[:, None] + np.arange(wide))[inside]]
+            shared = _shared_words(ids.view(U64), words, n, doc, body, first)
+            found.append(np.where(shared >= table.column(side).to_numpy(), shared, 0))
+        some = (found[0] > 0) | (found[1] > 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (doc, body, first, *(x.astype(np.int32) for x in found))], names=["doc_id", "body", "first", "left", "right"])
+
+    def meet(batches):
+        for table in _whole_passages(batches):
+            yield compare(table)
+
+    joined = _known(docs).join(lists, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("doc_id", "text", "body", "asked")
+    near = joined.mapInArrow(find, "id long, doc_id long, body long, first long, left int, right int, lefts int, near binary")
+    return near.repartition("id").sortWithinPartitions("id", "doc_id", "body", "first").mapInArrow(meet, "doc_id long, body long, first long, left int, right int")
+
+
 def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """(doc_id, body, first, left, right): by how many words to each side an earlier one of the places has the same.
 
@@ -239,7 +425,8 @@ def longer_runs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(doc_id, body, first, n, passage): the runs of words to remove."""
+    """(doc_id, body, place, first, n, passage): the runs of words to remove, place being the first word without those
+    to the left that go with it."""
     found = saved(places(docs), "places")
     signed, classes = near_duplicates(paragraphs(docs), rule, content_ids=True)
     group = signed.select("id", "h1", "h2").distinct().join(classes, ["h1", "h2"])
@@ -247,18 +434,20 @@ def removals(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     merged = saved(group.join(sizes, "component").where("texts > 1").select("id", "component"), "merged")
     dropped(signed, classes)
     # A passage and a line are never one paragraph: the flag is part of the key.
-    own = found.join(merged.withColumn("passage", F.lit(False)), ["passage", "id"], "left").withColumn("id", F.coalesce("component", "id")).drop("component")
-    own = saved(own, "grouped")
-    dropped(found, merged)
-    first = own.groupBy("passage", "id").agg(F.min(F.struct("doc_id", "body", "first", "n")).alias("origin"), F.count("*").alias("times"))
+    # A passage and a line are never one paragraph.
+    lines = found.where("not passage").join(merged, "id", "left").withColumn("id", F.coalesce("component", "id"))
+    lines = saved(lines.select("id", "doc_id", "body", "first", "n"), "grouped")
+    dropped(merged)
+    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "body", "first", "n")).alias("origin"), F.count("*").alias("times"))
     first = saved(first.where("times > 1").drop("times"), "first-places")
-    met = saved(own.join(first, ["passage", "id"]).withColumn("later", _later("origin", F.col("origin.n"))).drop("origin"), "repeated")
-    dropped(own, first)
-    gone = met.where("later").select("doc_id", "body", "first", "n", "passage")
-    longer = extensions(docs, met)
-    left, right = (F.coalesce(side, F.lit(0)) for side in ("left", "right"))
-    gone = gone.distinct().join(longer.withColumn("passage", F.lit(True)), ["doc_id", "body", "first", "passage"], "left")
-    return gone.select("doc_id", "body", (F.col("first") - left).alias("first"), (F.col("n") + left + right).alias("n"), "passage")
+    met = saved(lines.join(first, "id").where(_later("origin", F.col("origin.n"))).select("doc_id", "body", "first", "n").distinct(), "repeated")
+    dropped(lines, first)
+    places_met = repeated_passages(found)
+    dropped(found)
+    longer = extensions(docs, places_met)
+    dropped(places_met)
+    whole = longer.select("doc_id", "body", F.col("first").alias("place"), (F.col("first") - F.col("left")).alias("first"), (PASSAGE + F.col("left") + F.col("right")).cast("long").alias("n"), F.lit(True).alias("passage"))
+    return met.withColumn("place", F.col("first")).withColumn("passage", F.lit(False)).unionByName(whole)
 
 
 def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -266,7 +455,7 @@ def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     n_passages (removed ones) added; columns of docs of those names are replaced, n_chars follows the text."""
     new = ["n_words", "n_removed", "n_paragraphs", "n_passages"]
     keep = [c for c in docs.columns if c not in new]
-    gone = removals(docs, rule).groupBy(F.col("doc_id").alias("llm_id"), F.col("body").alias("llm_body")).agg(F.collect_set(F.struct("first", "n", "passage")).alias("llm_gone"))
+    gone = removals(docs, rule).groupBy(F.col("doc_id").alias("llm_id"), F.col("body").alias("llm_body")).agg(F.collect_set(F.struct("place", "first", "n", "passage")).alias("llm_gone"))
     same = (F.col("doc_id").cast("long") == F.col("llm_id")) & (F.xxhash64("text") == F.col("llm_body"))
     joined = docs.select(*keep).join(gone, same, "left").drop("llm_id", "llm_body")
     at = keep.index("text")

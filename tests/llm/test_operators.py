@@ -497,6 +497,41 @@ def test_slices_of_longer_runs_are_compared_apart(spark, monkeypatch):
     assert names.count("longer-origins") == 1 + 3
 
 
+def test_places_of_a_passage_are_compared_by_words(spark, monkeypatch):
+    """Only passages of more than GROUP places get a hash for each length; what goes is the same, also of repeated ids."""
+    r = random.Random(8)
+    new = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    shared, rows, wanted = new(90), [], {}
+    for d in range(12):
+        lo, hi = r.randint(0, 20), r.randint(70, 90)
+        head, tail = new(30), new(30)
+        rows.append((d, " ".join(head + shared[lo:hi] + tail)))
+        cover = [min(hi, b) - max(lo, a) for a, b, _ in wanted.values()]
+        wanted[d] = (lo, hi, max(cover, default=0))
+    rows += [rows[3], (4, " ".join(new(9) + shared[5:80])), (20, " ".join(shared + new(5) + shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    used, plain, got = [], passages.longer_runs, []
+    monkeypatch.setattr(passages, "longer_runs", lambda *x: used.append(passages.GROUP) or plain(*x))
+    for size in (passages.GROUP, 2):
+        monkeypatch.setattr(passages, "GROUP", size)
+        got.append(sorted(tuple(x) for x in passages.digest(docs).collect()))
+    assert got[0] == got[1]
+    assert used == [2]
+    removed = {x[0]: x[2] for x in got[0]}
+    assert removed[0] == 0 and removed[20] >= 90
+    assert all(removed[d] >= cover for d, (_, _, cover) in wanted.items() if d not in (3, 4))
+
+
+def test_equal_runs_of_two_passages_count_as_two(spark):
+    """Places whose words to remove are the same, once those beside them are added, are still two passages."""
+    words = [f"w{k}" for k in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x"] * 3 + words[:60] + ["y"] * 3))], "doc_id long, text string")
+    gone = [x for x in passages.removals(docs).collect() if x["passage"]]
+    got = {x["doc_id"]: x for x in passages.digest(docs).collect()}
+    assert got[2]["n_removed"] == 60
+    assert got[2]["n_passages"] == len({x["place"] for x in gone}) == len(gone)
+
+
 @pytest.mark.parametrize("run", [passages.digest, line_dedup.digest, bwt_dedup.digest, ppm.score_folds, langid.identify, minhash.dedup_documents, pieces.digest, mixing.mix_digest])
 def test_empty_documents(empty, run):
     assert run(empty).count() == 0
