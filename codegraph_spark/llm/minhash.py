@@ -93,8 +93,10 @@ def signatures(items: DataFrame, rule: Rule) -> DataFrame:
                     h2[full] = np.add.reduceat(mixed(grams ^ U64(0x5851F42D4C957F2D)), cuts).view(np.int64)
                     small = (grams >> U64(32)).astype(np.uint32)
                     least = np.empty((len(full), MINIMA), np.uint32)
+                    turned = np.empty_like(small)
                     for k in range(MINIMA):
-                        least[:, k] = np.minimum.reduceat((small ^ noise[k]) * odd[k], cuts)
+                        np.multiply(np.bitwise_xor(small, noise[k], out=turned), odd[k], out=turned)
+                        least[:, k] = np.minimum.reduceat(turned, cuts)
                     low = np.stack([(least >> np.uint32(b)) & np.uint32(1) for b in range(BITS)], axis=1).astype(np.uint8)
                     packed = np.packbits(low.reshape(len(full), -1), axis=1).view(np.int64)
                     groups = least[:, : bands * rows].astype(U64).reshape(len(full), bands, rows)
@@ -245,7 +247,7 @@ def near_duplicates(items: DataFrame, rule: Rule = Rule(), content_ids: bool = F
     dropped(signed)
     spread = classes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
     shared = saved(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared-bands")
-    members = saved(spread.join(shared, "key"), "members")
+    members = saved(spread.join(shared.hint("shuffle_hash"), "key"), "members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
     centres = saved(ranked.select("key", (-F.col("top.minus")).alias("a")), "centres")

@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,17 +201,24 @@ def repeated_passages(found: DataFrame) -> DataFrame:
 
 
 def _spread_classes(places: DataFrame) -> DataFrame:
-    """What repeated_passages() finds, for passages whose places are too many for one task."""
-    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "body", "first")).alias("origin"))
-    places = saved(places.join(F.broadcast(first), "id").withColumn("later", _later("origin", PASSAGE)).drop("origin"), "spread")
-    for side, size in (("left", PASSAGE + F.least(F.col("first"), F.lit(NEAR - 1))), ("right", PASSAGE + F.col("room"))):
-        # A table of its own, so that nothing but a join meets all places of a class and Spark can split those.
-        of = saved(places.groupBy("id", f"{side}_run").agg(F.min(F.struct("doc_id", "body", "first")).alias("whose")), "class-firsts")
-        # Of equal starts to the right and of equal ends to the left, so the firsts' places tell whether runs overlap.
-        marked = saved(places.join(of, ["id", f"{side}_run"]).withColumn(f"{side}_whole", _later("whose", size)).drop("whose", f"{side}_run"), "spread")
-        dropped(places, of)
-        places = marked
-    return places
+    """What repeated_passages() finds, for passages whose places are too many for one task.
+
+    Whatever lies in another document than the first place of its class is later than that, so only places in the
+    first's document are looked at; the others are not joined with anything.
+    """
+    places = saved(places, "spread")
+    sizes = {"later": F.lit(PASSAGE), "left_whole": PASSAGE + F.least(F.col("first"), F.lit(NEAR - 1)), "right_whole": PASSAGE + F.col("room")}
+    runs = {"later": F.lit(0), "left_whole": F.col("left_run"), "right_whole": F.col("right_run")}
+    rows = reduce(DataFrame.unionByName, [places.select("id", F.lit(flag).alias("flag"), runs[flag].cast("long").alias("run"), "doc_id", "body", "first", sizes[flag].cast("long").alias("size")) for flag in sizes])
+    firsts = saved(rows.groupBy("id", "flag", "run").agg(F.min(F.struct("doc_id", "body", "first")).alias("origin")), "class-firsts")
+    # Of equal starts to the right and of equal ends to the left, so the firsts' places tell whether runs overlap.
+    inside = rows.join(firsts.withColumn("doc_id", F.col("origin.doc_id")), ["id", "flag", "run", "doc_id"]).where(~_later("origin", F.col("size")))
+    key = ["id", "doc_id", "body", "first"]
+    either = inside.select(*key, F.lit(None).cast("long").alias("room"), *((F.col("flag") != flag).alias(flag) for flag in sizes))
+    either = either.unionByName(places.select(*key, "room", *(F.lit(True).alias(flag) for flag in sizes)))
+    out = saved(either.groupBy(*key).agg(F.max("room").alias("room"), *(F.min(flag).alias(flag) for flag in sizes)), "spread-classes")
+    dropped(places, firsts)
+    return out
 
 
 def extensions(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -429,10 +437,13 @@ def removals(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     to the left that go with it."""
     found = saved(places(docs), "places")
     signed, classes = near_duplicates(paragraphs(docs), rule, content_ids=True)
-    group = signed.select("id", "h1", "h2").distinct().join(classes, ["h1", "h2"])
-    sizes = group.groupBy("component").agg(F.count("*").alias("texts"))
-    merged = saved(group.join(sizes, "component").where("texts > 1").select("id", "component"), "merged")
-    dropped(signed, classes)
+    # Only components of several classes or of a class of several texts, which has ids besides its smallest.
+    spare = signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("h1", "h2")
+    linked = classes.where("component <> rep").select("component").unionByName(classes.join(spare, ["h1", "h2"], "left_semi").select("component")).distinct()
+    several = saved(classes.join(linked, "component", "left_semi").select("h1", "h2", "component"), "several-texts")
+    group = signed.select("id", "h1", "h2").join(several, ["h1", "h2"])
+    merged = saved(group.select("id", "component").distinct(), "merged")
+    dropped(signed, classes, several)
     # A passage and a line are never one paragraph: the flag is part of the key.
     # A passage and a line are never one paragraph.
     lines = found.where("not passage").join(merged, "id", "left").withColumn("id", F.coalesce("component", "id"))
@@ -467,17 +478,20 @@ def dedup_passages(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
             sizes = np.zeros((4, len(column)), np.int64)
             changed: dict[int, bytes] = {}
             where = np.flatnonzero(np.asarray(gone.is_valid()))
+            cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            flat = gone.flatten()
+            first, n, passage = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n", "passage"))
+            last = first + n
             for lo, hi in pieces(offsets):
                 own, here = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, _, of = word_spans(own, here)
                 sizes[0, lo:hi] = np.diff(of)
                 for d in where[(where >= lo) & (where < hi)]:
+                    runs = slice(cuts[d], cuts[d + 1])
                     begin = np.append(starts[of[d - lo] : of[d - lo + 1]], here[d - lo + 1])
-                    turn = np.zeros(len(begin), np.int64)
-                    for run in gone[int(d)].as_py():
-                        turn[run["first"]] += 1
-                        turn[run["first"] + run["n"]] -= 1
-                        sizes[3 if run["passage"] else 2, d] += 1
+                    turn = np.bincount(first[runs], minlength=len(begin)) - np.bincount(last[runs], minlength=len(begin))
+                    sizes[3, d] = passage[runs].sum()
+                    sizes[2, d] = len(first[runs]) - sizes[3, d]
                     away = np.cumsum(turn)[:-1] > 0
                     sizes[1, d] = away.sum()
                     head = own[here[d - lo] : begin[0]].tobytes()
