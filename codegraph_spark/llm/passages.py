@@ -165,11 +165,12 @@ def repeated_passages(found: DataFrame) -> DataFrame:
     found: places(). A passage's places meet in one task; those of passages with more than GROUP places are spread.
     """
     passages = found.where("passage").select("id", "doc_id", "body", "first", "left_run", "right_run", "room")
-    # Passages are counted in bins of about GROUP / 8 places first, so that hardly any has to be counted by itself.
+    # Passages are counted in bins of about GROUP / 8 places first, so that hardly any has to be counted by itself. Of
+    # bins with more than GROUP places there are fewer than places / GROUP.
     bins = 1 + 8 * passages.count() // GROUP
     binned = passages.select("id", F.pmod(F.xxhash64("id"), F.lit(bins)).alias("bin"))
-    full = binned.groupBy("bin").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("bin")
-    many = saved(binned.join(F.broadcast(full), "bin", "left_semi").groupBy("id").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("id"), "many-places")
+    full = [x["bin"] for x in binned.groupBy("bin").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("bin").collect()]
+    many = saved(binned.where(F.col("bin").isin(full)).groupBy("id").agg(F.count("*").alias("places")).where(F.col("places") > GROUP).select("id"), "many-places")
     spread = many.limit(1).count() > 0
 
     def classify(batches):
